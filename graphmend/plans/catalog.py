@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.operators import nodes
+from graphmend.operators import blocks as blocks_ops
+from graphmend.operators import edges, nodes
 from graphmend.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,111 @@ def q_remap_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("build_nodes")
 def q_build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.build_nodes(remapped_kg(spark, sf_dir))
+
+
+# --------------------------------------------------------------- edge path
+
+def _json(c):
+    return F.to_json(F.col(c)).alias(c)
+
+
+def edge_stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Signatures -> blocks -> resolver responses -> validation, as DataFrames."""
+    rk = remapped_kg(spark, sf_dir)
+    sig = edges.edge_signatures(rk)
+    members = fx.edge_block_members(sig)
+    blocks = fx.edge_blocks(members)
+    resp = fx.edge_responses(members)
+    validated = edges.validate_outputs(resp.select("id", "output_string"), blocks)
+    return {"kg": rk, "sig": sig, "members": members, "blocks": blocks, "resp": resp, "validated": validated}
+
+
+@query("edge_signatures")
+def q_edge_signatures(spark, sf_dir):
+    return edge_stage(spark, sf_dir)["sig"]
+
+
+@query("edge_blocks")
+def q_edge_blocks(spark, sf_dir):
+    return edge_stage(spark, sf_dir)["blocks"].select("cluster_id", "cluster_size", _json("ids_in_cluster"))
+
+
+@query("non_singleton_blocks")
+def q_non_singleton_blocks(spark, sf_dir):
+    b = edge_stage(spark, sf_dir)["blocks"]
+    return blocks_ops.non_singleton(b).select("cluster_id", "cluster_size")
+
+
+@query("join_outputs")
+def q_join_outputs(spark, sf_dir):
+    st = edge_stage(spark, sf_dir)
+    return edges.join_outputs(st["resp"].select("id", "output_string"), st["blocks"]).select(
+        "id", "output_string", "cluster_size"
+    )
+
+
+VALIDATION_COLS = [
+    "id", "status", "output_parsed", "list_ok", "output_matches_input",
+    "representative_in_list", "all_edges_same_type", "n_groups",
+]
+
+
+@query("validate_outputs")
+def q_validate_outputs(spark, sf_dir):
+    return edge_stage(spark, sf_dir)["validated"].select(*VALIDATION_COLS)
+
+
+@query("rerun_set")
+def q_rerun_set(spark, sf_dir):
+    return edges.rerun_set(edge_stage(spark, sf_dir)["validated"]).select("id", "status")
+
+
+@query("type_mismatch_rows")
+def q_type_mismatch_rows(spark, sf_dir):
+    v = edge_stage(spark, sf_dir)["validated"]
+    return edges.type_mismatch_rows(v).select("id", F.to_json("groups").alias("groups"))
+
+
+@query("output_matches_input")
+def q_output_matches_input(spark, sf_dir):
+    v = edge_stage(spark, sf_dir)["validated"]
+    return v.filter(F.col("list_ok")).select("id", "output_matches_input")
+
+
+@query("validation_report")
+def q_validation_report(spark, sf_dir):
+    return edges.validation_report(edge_stage(spark, sf_dir)["validated"])
+
+
+@query("extract_edge_mapping")
+def q_extract_edge_mapping(spark, sf_dir):
+    return edges.extract_mapping(edge_stage(spark, sf_dir)["validated"]).select(
+        "id", "group_pos", "member_pos", "signature", "representative"
+    )
+
+
+def edge_mapping(spark, sf_dir):
+    st = edge_stage(spark, sf_dir)
+    return st, edges.merge_mapping(edges.extract_mapping(st["validated"]))
+
+
+@query("merge_edge_mapping")
+def q_merge_edge_mapping(spark, sf_dir):
+    return edge_mapping(spark, sf_dir)[1]
+
+
+def applied_kg(spark, sf_dir):
+    st, mapping = edge_mapping(spark, sf_dir)
+    return edges.apply_edge_mapping(st["kg"], mapping)
+
+
+@query("apply_edge_mapping")
+def q_apply_edge_mapping(spark, sf_dir):
+    return applied_kg(spark, sf_dir).select(
+        "row_id", "mapped_source_type", "interaction", "mapped_target_type", "mapped_edge"
+    )
+
+
+@query("compression_stats")
+def q_compression_stats(spark, sf_dir):
+    return edges.compression_stats(applied_kg(spark, sf_dir))

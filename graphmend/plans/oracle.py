@@ -60,15 +60,15 @@ SELECT cluster_id, CAST(count(*) AS BIGINT) AS cluster_size, list(signature ORDE
 FROM blk GROUP BY cluster_id""",
 }
 
-_ORDER = list(FIXTURE_SQL)
+DEPS: dict[str, list[str]] = {
+    "remap": ["kg", "type_map"], "sig": ["remap"], "blk": ["sig"], "mem": ["blk"],
+    "grp": ["mem"], "resp": ["grp"], "blocks": ["blk"],
+}
 
 
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named fixture CTEs (dependencies included)."""
-    deps = {
-        "remap": ["kg", "type_map"], "sig": ["remap"], "blk": ["sig"], "mem": ["blk"],
-        "grp": ["mem"], "resp": ["grp"], "blocks": ["blk"],
-    }
+    deps = DEPS
     need: set[str] = set()
 
     def add(n: str) -> None:
@@ -80,21 +80,25 @@ def with_fixtures(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]}\n)" for n in _ORDER if n in need)
+    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]}\n)" for n in FIXTURE_SQL if n in need)
     return f"WITH {ctes}\n{sql}"
 
 
-ORACLE: dict[str, str] = {}
+_REGISTERED: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def oracle(name: str, *fixtures: str):
-    """Register the oracle SQL of query ``name``."""
+    """Register the oracle SQL of query ``name`` (fixtures become CTEs)."""
     def deco(sql: str) -> str:
-        ORACLE[name] = with_fixtures(sql, *fixtures) if fixtures else sql
+        _REGISTERED[name] = (sql, fixtures)
         return sql
     return deco
 
 
+def all_oracles() -> dict[str, str]:
+    return {n: (with_fixtures(sql, *fx) if fx else sql) for n, (sql, fx) in _REGISTERED.items()}
+
+
 oracle("remap_types", "remap")("""
 SELECT row_id, source, source_type, interaction, target, target_type, mapped_source_type, mapped_target_type
 FROM remap""")
@@ -109,3 +113,141 @@ SELECT id, name, node_type, extracted_definition FROM (
   SELECT target || ' [' || mapped_target_type || ']', target, mapped_target_type, target_extracted_definition, 1, row_id
   FROM remap WHERE source IS NOT NULL AND target IS NOT NULL) u) v
 WHERE rn = 1""")
+
+
+# ------------------------------------------------------------------ edge path
+
+def _strip(x: str) -> str:
+    return f"trim({x}, '*: ')"
+
+
+def _nbr(x: str, ch: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{ch}', '')))"
+
+
+def _types_ok(s: str) -> str:
+    return f"(instr(split_part({s}, ']', 1), '[') > 0 AND {_nbr(s, '[')} >= 2)"
+
+
+def _src(s: str) -> str:
+    return f"split_part(split_part({s}, ']', 1), '[', 2)"
+
+
+def _tgt(s: str) -> str:
+    return f"split_part(split_part({s}, '[', 3), ']', 1)"
+
+
+def _single_typed(groups: str) -> str:
+    parsed = (
+        f"list_filter(list_transform(g, lambda m: CASE WHEN {_types_ok(_strip('m'))} "
+        f"THEN {{'source': {_src(_strip('m'))}, 'target': {_tgt(_strip('m'))}}} END), lambda p: p IS NOT NULL)"
+    )
+    per_group = (
+        f"(len(list_distinct(list_transform({parsed}, lambda p: p.source))) <= 1 AND "
+        f"len(list_distinct(list_transform({parsed}, lambda p: p.target))) <= 1)"
+    )
+    return f"coalesce(list_bool_and(list_transform({groups}, lambda g: {per_group})), true)"
+
+
+FIXTURE_SQL["parsed"] = """
+SELECT r.id, r.cluster_id, r.output_string, b.ids_in_cluster,
+  CASE WHEN json_valid(r.output_string) THEN (json_type(r.output_string) = 'OBJECT' AND rtrim(r.output_string) LIKE '%}')
+       ELSE false END AS output_parsed
+FROM resp r JOIN blocks b ON r.id = CAST(b.cluster_id AS VARCHAR) WHERE b.cluster_size > 1"""
+
+FIXTURE_SQL["valued"] = r"""
+SELECT *, CASE WHEN output_parsed THEN json_extract_string(output_string, '$."' || json_keys(output_string)[1] || '"') END AS sval,
+  CASE WHEN output_parsed THEN regexp_matches(output_string, '^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*"') END AS is_str
+FROM parsed"""
+
+FIXTURE_SQL["grouped"] = """
+SELECT *, CASE WHEN is_str AND json_valid(sval) THEN (CASE WHEN json_type(sval) = 'ARRAY' THEN (
+    CASE WHEN json_array_length(sval) = 0 THEN []::VARCHAR[][]
+         WHEN list_bool_and(list_transform(json_extract(sval, '$[*]'), lambda e: json_type(e) = 'ARRAY'))
+           THEN json_transform(sval, '[["VARCHAR"]]')
+         WHEN list_bool_and(list_transform(json_extract(sval, '$[*]'), lambda e: json_type(e) = 'VARCHAR'))
+           THEN list_transform(json_transform(sval, '["VARCHAR"]'), lambda x: string_split(x, ''))
+    END) END) END AS groups
+FROM valued"""
+
+FIXTURE_SQL["validated"] = f"""
+SELECT id, cluster_id, groups, output_parsed,
+  groups IS NOT NULL AS list_ok,
+  coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform(flatten(groups),
+       lambda m: list_contains(ids_in_cluster, {_strip('m')}))), true) END, false) AS output_matches_input,
+  coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform(groups,
+       lambda g: coalesce(list_bool_or(list_transform(g, lambda m: contains(m, '**'))), false))), true) END, false)
+       AS representative_in_list,
+  coalesce(CASE WHEN groups IS NOT NULL THEN {_single_typed('groups')} END, false) AS all_edges_same_type,
+  coalesce(CAST(len(groups) AS BIGINT), -1) AS n_groups
+FROM grouped"""
+
+FIXTURE_SQL["statused"] = """
+SELECT *, CASE WHEN NOT output_parsed THEN 'unparsed' WHEN NOT list_ok THEN 'no_list'
+  WHEN NOT representative_in_list THEN 'no_representative' ELSE 'ok' END AS status
+FROM validated"""
+
+FIXTURE_SQL["mapping_long"] = f"""
+SELECT id, response_order, group_pos, j - 1 AS member_pos, {_strip('grp[j]')} AS signature, representative
+FROM (
+  SELECT id, response_order, group_pos, grp, representative, unnest(range(1, len(grp) + 1)) AS j
+  FROM (
+    SELECT id, response_order, i - 1 AS group_pos, groups[i] AS grp,
+           {_strip("list_filter(groups[i], lambda m: contains(m, '**'))[1]")} AS representative
+    FROM (SELECT id, CAST(id AS BIGINT) AS response_order, groups, unnest(range(1, len(groups) + 1)) AS i
+          FROM statused WHERE status = 'ok') a
+  ) b WHERE representative IS NOT NULL
+) c"""
+
+FIXTURE_SQL["mapping"] = """
+SELECT signature, representative FROM (
+  SELECT signature, representative,
+    row_number() OVER (PARTITION BY signature ORDER BY response_order DESC, group_pos DESC, member_pos DESC) AS rn
+  FROM mapping_long) x WHERE rn = 1"""
+
+_sp = "coalesce(m.representative, k.key)"
+FIXTURE_SQL["applied"] = f"""
+SELECT row_id, mapped_source_type, interaction, mapped_target_type,
+  CASE WHEN ok AND psrc = mapped_source_type AND ptgt = mapped_target_type THEN pedge ELSE interaction END AS mapped_edge
+FROM (
+  SELECT *, ({_nbr('mp', ']')} >= 1 AND {_nbr('mp', '[')} >= 2) AS ok,
+    trim(substr(split_part(mp, ']', 1), 2), ' ') AS psrc,
+    trim(substr(split_part(mp, '[', 3), 1, greatest(length(split_part(mp, '[', 3)) - 1, 0)), ' ') AS ptgt,
+    trim(split_part(split_part(mp, ']', 2), '[', 1), ' ') AS pedge
+  FROM (SELECT k.*, {_sp} AS mp FROM (
+          SELECT *, '[' || mapped_source_type || '] ' || trim(interaction, '*: ') || ' [' || mapped_target_type || ']' AS key
+          FROM remap) k
+        LEFT JOIN mapping m ON m.signature = k.key) j
+) p"""
+
+DEPS.update({
+    "parsed": ["resp", "blocks"], "valued": ["parsed"], "grouped": ["valued"], "validated": ["grouped"],
+    "statused": ["validated"], "mapping_long": ["statused"], "mapping": ["mapping_long"],
+    "applied": ["mapping", "remap"],
+})
+
+oracle("edge_signatures", "sig")("SELECT signature, freq FROM sig")
+oracle("edge_blocks", "blocks")("SELECT cluster_id, cluster_size, CAST(to_json(ids_in_cluster) AS VARCHAR) AS ids_in_cluster FROM blocks")
+oracle("non_singleton_blocks", "blocks")("SELECT cluster_id, cluster_size FROM blocks WHERE cluster_size > 1")
+oracle("join_outputs", "resp", "blocks")("""
+SELECT r.id, r.output_string, b.cluster_size FROM resp r JOIN blocks b ON r.id = CAST(b.cluster_id AS VARCHAR)
+WHERE b.cluster_size > 1""")
+oracle("validate_outputs", "statused")("""
+SELECT id, status, output_parsed, list_ok, output_matches_input, representative_in_list, all_edges_same_type, n_groups
+FROM statused""")
+oracle("rerun_set", "statused")("SELECT id, status FROM statused WHERE status <> 'ok'")
+oracle("type_mismatch_rows", "statused")(
+    "SELECT id, CAST(to_json(groups) AS VARCHAR) AS groups FROM statused WHERE NOT all_edges_same_type")
+oracle("output_matches_input", "statused")("SELECT id, output_matches_input FROM statused WHERE list_ok")
+oracle("validation_report", "statused")("""
+SELECT status, output_matches_input, all_edges_same_type, count(*) AS n FROM statused GROUP BY ALL""")
+oracle("extract_edge_mapping", "mapping_long")(
+    "SELECT id, group_pos, member_pos, signature, representative FROM mapping_long")
+oracle("merge_edge_mapping", "mapping")("SELECT signature, representative FROM mapping")
+oracle("apply_edge_mapping", "applied")(
+    "SELECT row_id, mapped_source_type, interaction, mapped_target_type, mapped_edge FROM applied")
+oracle("compression_stats", "applied")("""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_edge <> interaction) AS n_changed,
+  count(DISTINCT interaction) AS n_edges_before, count(DISTINCT mapped_edge) AS n_edges_after,
+  count(DISTINCT interaction) - count(DISTINCT mapped_edge) AS reduction
+FROM applied""")

@@ -143,3 +143,70 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+
+# ------------------------------------------------------------ edge blocks
+
+def edge_block_members(signatures: DataFrame) -> DataFrame:
+    """Long-form edge blocks: signatures in case-folded order, BLOCK_WIDTH per block."""
+    from graphmend.operators.ordinal import with_chunk
+
+    return with_chunk(
+        signatures.select("signature", "freq"), [F.lower("signature"), F.col("signature")], BLOCK_WIDTH, "cluster_id"
+    ).select("cluster_id", "signature", "freq")
+
+
+def edge_blocks(members: DataFrame) -> DataFrame:
+    """Wide blocks: cluster_id, cluster_size, ids_in_cluster."""
+    return members.groupBy("cluster_id").agg(
+        F.count("*").alias("cluster_size"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.lower("signature").alias("l"), F.col("signature").alias("s")))),
+            lambda x: x["s"],
+        ).alias("ids_in_cluster"),
+    )
+
+
+def edge_responses(members: DataFrame) -> DataFrame:
+    """Resolver responses per block, with a defect chosen by ``cluster_id % 10``.
+
+    0 truncated JSON; 1 no marker; 2 native array value; 3 invented member;
+    4 all groups merged; 5 JSON array instead of object; 6 flat list;
+    7 singletons omitted; 8, 9 clean.  Groups = same case-folded signature
+    with a trailing plural ``s`` removed; the smallest member is marked.
+    """
+    from pyspark.sql import Window
+
+    gkey = F.replace(F.lower("signature"), F.lit("s ["), F.lit(" ["))
+    m = members.withColumn("gkey", gkey)
+    w = Window.partitionBy("cluster_id", "gkey")
+    is_rep = F.col("signature") == F.min("signature").over(w)
+    marked = F.when(is_rep & (F.pmod("cluster_id", F.lit(10)) != 1), F.concat(F.lit("**"), "signature", F.lit("**"))) \
+        .otherwise(F.col("signature"))
+    m = m.withColumn("mj", F.concat(F.lit('"'), marked, F.lit('"')))
+    grp = m.groupBy("cluster_id", "gkey").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("signature", "mj"))), lambda x: x["mj"]), ", "), F.lit("]")).alias("gj"),
+        F.count("*").alias("n"),
+    )
+    grp = grp.filter((F.pmod("cluster_id", F.lit(10)) != 7) | (F.col("n") > 1))
+    g = grp.groupBy("cluster_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gkey", "gj"))), lambda x: x["gj"]), ", ").alias("gs")
+    )
+    cid = F.col("cluster_id").cast("string")
+    head = F.concat(F.lit('{"'), cid, F.lit('": '))
+
+    def quoted(s):
+        return F.concat(head, F.lit('"'), F.replace(s, F.lit('"'), F.lit('\\"')), F.lit('"}'))
+
+    gs = F.col("gs")
+    case = F.pmod("cluster_id", F.lit(10))
+    out = (
+        F.when(case == 0, F.concat(head, F.lit("["), gs))
+        .when(case == 2, F.concat(head, F.lit("["), gs, F.lit("]}")))
+        .when(case == 3, quoted(F.concat(F.lit("["), gs, F.lit(', ["**[gene] invented [gene]**"]]'))))
+        .when(case == 4, quoted(F.concat(F.lit("["), F.replace(gs, F.lit("], ["), F.lit(", ")), F.lit("]"))))
+        .when(case == 5, F.lit("[1, 2]"))
+        .when(case == 6, F.concat(head, F.lit('"[\\"a\\", \\"b\\"]"}')))
+        .otherwise(quoted(F.concat(F.lit("["), gs, F.lit("]"))))
+    )
+    return g.select("cluster_id", cid.alias("id"), out.alias("output_string"))

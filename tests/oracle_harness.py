@@ -13,6 +13,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -24,7 +25,7 @@ TABLES = (
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         v = v.tolist()
