@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
-from graphmend.operators import edges, nodes
+from graphmend.operators import edges, nodes, types
 from graphmend.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,76 @@ def q_apply_edge_mapping(spark, sf_dir):
 @query("compression_stats")
 def q_compression_stats(spark, sf_dir):
     return edges.compression_stats(applied_kg(spark, sf_dir))
+
+
+# --------------------------------------------------------------- node types
+
+def ranked_vectors(spark, sf_dir):
+    """Type vectors with a frequency rank (table order = rank order)."""
+    from graphmend.operators.ordinal import with_ordinal
+
+    return with_ordinal(fx.vectors(spark, sf_dir), [F.col("vec_id")], "rank")
+
+
+def seed_and_query_vectors(spark, sf_dir):
+    rv = ranked_vectors(spark, sf_dir)
+    return rv.filter(F.col("rank") <= types.N_SEEDS), rv.filter(F.col("rank") > types.N_SEEDS)
+
+
+@query("type_universe")
+def q_type_universe(spark, sf_dir):
+    return types.type_universe(fx.kg(spark, sf_dir))
+
+
+@query("type_frequency_rank")
+def q_type_frequency_rank(spark, sf_dir):
+    return types.type_frequency_rank(fx.kg(spark, sf_dir))
+
+
+@query("seed_parents")
+def q_seed_parents(spark, sf_dir):
+    ranked = ranked_vectors(spark, sf_dir).select(F.col("id").alias("type"), "rank")
+    return types.seed_parents(ranked)
+
+
+@query("topk_similar_types")
+def q_topk_similar_types(spark, sf_dir):
+    seeds, rest = seed_and_query_vectors(spark, sf_dir)
+    return types.topk_similar_types(rest, seeds).select("query_id", "rank", "ref_id")
+
+
+@query("type_prompts")
+def q_type_prompts(spark, sf_dir):
+    seeds, rest = seed_and_query_vectors(spark, sf_dir)
+    topk = types.topk_similar_types(rest, seeds)
+    qrank = rest.select("id", (F.col("rank") - types.N_SEEDS - 1).alias("query_index"))
+    return types.type_prompts(topk, qrank)
+
+
+def identity_type_mapping(spark, sf_dir):
+    u = types.type_universe(fx.kg(spark, sf_dir), null_text=None)
+    return u.select(F.col("type").alias("id"), F.col("type").alias("parent_node"))
+
+
+@query("curate_mapping")
+def q_curate_mapping(spark, sf_dir):
+    return types.curate_mapping(identity_type_mapping(spark, sf_dir))
+
+
+def labelled_nodes(spark, sf_dir):
+    kg = fx.kg(spark, sf_dir)
+    src = kg.select(F.col("source").alias("name"), F.col("source_type").alias("label"))
+    tgt = kg.select(F.col("target").alias("name"), F.col("target_type").alias("label"))
+    return src.unionByName(tgt).filter(F.col("name").isNotNull() & F.col("label").isNotNull()).distinct()
+
+
+@query("label_remap")
+def q_label_remap(spark, sf_dir):
+    mapping = types.curate_mapping(identity_type_mapping(spark, sf_dir))
+    return types.label_remap(labelled_nodes(spark, sf_dir), mapping, "label").select("name", "label", "remapped_label")
+
+
+@query("fold_rare_types")
+def q_fold_rare_types(spark, sf_dir):
+    mapping = types.curate_mapping(identity_type_mapping(spark, sf_dir))
+    return types.fold_rare_types(labelled_nodes(spark, sf_dir), mapping, "label").select("id", "parent_node")

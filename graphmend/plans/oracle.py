@@ -251,3 +251,69 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_edge <> interaction) AS
   count(DISTINCT interaction) AS n_edges_before, count(DISTINCT mapped_edge) AS n_edges_after,
   count(DISTINCT interaction) - count(DISTINCT mapped_edge) AS reduction
 FROM applied""")
+
+
+# ----------------------------------------------------------------- node types
+
+FIXTURE_SQL["vec"] = """
+SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS id, vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label,
+  row_number() OVER (ORDER BY vec_id) AS rank
+FROM embeddings"""
+
+FIXTURE_SQL["topk"] = """
+SELECT query_id, rank, ref_id FROM (
+  SELECT q.id AS query_id, r.id AS ref_id,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, r.embedding) DESC, r.id) AS rank
+  FROM vec q JOIN vec r ON q.rank > 30 AND r.rank <= 30) x
+WHERE rank <= 20"""
+
+FIXTURE_SQL["type_ident"] = """
+SELECT DISTINCT t AS id, t AS parent_node FROM (
+  SELECT source_type AS t FROM kg UNION ALL SELECT target_type FROM kg) u WHERE t IS NOT NULL"""
+
+
+def _curated_sql(source: str) -> str:
+    """Sequential renames: one subquery level per rule, in rule order."""
+    from graphmend.operators.types import CURATED_RENAMES
+
+    sql = f"SELECT id, parent_node FROM {source}"
+    for old, new in CURATED_RENAMES:
+        o, n = old.replace("'", "''"), new.replace("'", "''")
+        sql = f"SELECT id, CASE WHEN parent_node = '{o}' THEN '{n}' ELSE parent_node END AS parent_node FROM ({sql})"
+    return sql
+
+
+FIXTURE_SQL["curated"] = _curated_sql("type_ident")
+
+FIXTURE_SQL["lnodes"] = """
+SELECT DISTINCT name, label FROM (
+  SELECT source AS name, source_type AS label FROM kg UNION ALL SELECT target, target_type FROM kg) u
+WHERE name IS NOT NULL AND label IS NOT NULL"""
+
+FIXTURE_SQL["lremap"] = """
+SELECT n.name, n.label, c.parent_node AS remapped_label FROM lnodes n LEFT JOIN curated c ON n.label = c.id"""
+
+DEPS.update({
+    "topk": ["vec"], "type_ident": ["kg"], "curated": ["type_ident"], "lnodes": ["kg"],
+    "lremap": ["lnodes", "curated"],
+})
+
+oracle("type_universe", "kg")("""
+SELECT DISTINCT coalesce(t, 'nan') AS type FROM (SELECT source_type AS t FROM kg UNION ALL SELECT target_type FROM kg) u""")
+oracle("type_frequency_rank", "kg")("""
+SELECT type, n, row_number() OVER (ORDER BY n DESC, type) AS rank FROM (
+  SELECT t AS type, count(*) AS n FROM (SELECT source_type AS t FROM kg UNION ALL SELECT target_type FROM kg) u
+  WHERE t IS NOT NULL GROUP BY t) f""")
+oracle("seed_parents", "vec")("SELECT id, id AS parent_node FROM vec WHERE rank <= 30")
+oracle("topk_similar_types", "topk")("SELECT query_id, rank, ref_id FROM topk")
+oracle("type_prompts", "topk")("""
+SELECT t.query_id, 'Input type: ' || t.query_id || '; Query index: ' || CAST(v.rank - 31 AS VARCHAR)
+  || ';  Top 10 similar types: [' || string_agg('''' || t.ref_id || '''', ', ' ORDER BY t.rank) || ']' AS prompt
+FROM topk t JOIN vec v ON v.id = t.query_id GROUP BY t.query_id, v.rank""")
+oracle("curate_mapping", "curated")("SELECT id, parent_node FROM curated")
+oracle("label_remap", "lremap")("SELECT name, label, remapped_label FROM lremap")
+oracle("fold_rare_types", "lremap")("""
+SELECT c.id, CASE WHEN c.id IN (SELECT label FROM lremap WHERE remapped_label IN (
+    SELECT remapped_label FROM lremap WHERE remapped_label IS NOT NULL GROUP BY remapped_label HAVING count(*) < 100))
+  THEN 'other' ELSE c.parent_node END AS parent_node
+FROM curated c""")
