@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
-from graphmend.operators import edges, nodes, types
+from graphmend.operators import blocking, edges, nodes, similarity, types
 from graphmend.sources import fixtures as fx
+from graphmend.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,3 +227,73 @@ def q_label_remap(spark, sf_dir):
 def q_fold_rare_types(spark, sf_dir):
     mapping = types.curate_mapping(identity_type_mapping(spark, sf_dir))
     return types.fold_rare_types(labelled_nodes(spark, sf_dir), mapping, "label").select("id", "parent_node")
+
+
+# ----------------------------------------------------------------- blocking
+
+N_INIT = 10  # centroids for the single-step queries: the 10 lowest-ranked vectors
+
+
+def initial_centroids(spark, sf_dir):
+    rv = ranked_vectors(spark, sf_dir)
+    return rv.filter(F.col("rank") <= N_INIT).select((F.col("rank") - 1).alias("label"), F.col("embedding").alias("centroid"))
+
+
+@query("assign_nearest")
+def q_assign_nearest(spark, sf_dir):
+    cent = initial_centroids(spark, sf_dir).toPandas()  # k rows
+    return similarity.nearest(fx.vectors(spark, sf_dir), cent).select("id", "label")
+
+
+@query("lloyd_step")
+def q_lloyd_step(spark, sf_dir):
+    vec = fx.vectors(spark, sf_dir)
+    first = similarity.nearest(vec, initial_centroids(spark, sf_dir).toPandas())
+    assigned = vec.drop("label").join(first.select("id", "label"), "id")
+    cent = blocking.lloyd_update(assigned).toPandas()  # k rows
+    return similarity.nearest(vec, cent).select("id", "label")
+
+
+@query("multisect_kmeans")
+def q_multisect_kmeans(spark, sf_dir):
+    blocks, _, _ = blocking.multisect_kmeans(fx.vectors(spark, sf_dir), max_cluster_size=30, k_split=10)
+    return blocks.select("cluster_id", "cluster_size", F.to_json("member_ids").alias("member_ids"))
+
+
+@query("elbow")
+def q_elbow(spark, sf_dir):
+    return blocking.elbow(fx.vectors(spark, sf_dir), k_values=range(2, 21), max_cluster_size=30)
+
+
+def vec_blocks(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    return blocking.collect_blocks(v.select("id", "label"))
+
+
+@query("collect_blocks")
+def q_collect_blocks(spark, sf_dir):
+    return vec_blocks(spark, sf_dir).select("cluster_id", "cluster_size", _json("member_ids"))
+
+
+@query("bounded_blocks")
+def q_bounded_blocks(spark, sf_dir):
+    both = fx.doc_blocks(spark, sf_dir).withColumn("kind", F.lit("doc")).unionByName(
+        vec_blocks(spark, sf_dir).withColumn("kind", F.lit("vec")))
+    return blocks_ops.bounded(blocks_ops.non_singleton(both), 30).select("kind", "cluster_id", "cluster_size")
+
+
+@query("block_size_hist")
+def q_block_size_hist(spark, sf_dir):
+    return blocks_ops.size_histogram(fx.doc_blocks(spark, sf_dir).unionByName(vec_blocks(spark, sf_dir)), 5)
+
+
+def toxic_blocks(spark, sf_dir):
+    lab = load(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.col("toxic") == 1)
+    return lab.select(F.floor(F.col("doc_id") / 8).cast("bigint").alias("cluster_id")).distinct()
+
+
+@query("blacklist_blocks")
+def q_blacklist_blocks(spark, sf_dir):
+    return blocks_ops.without_ids(fx.doc_blocks(spark, sf_dir), toxic_blocks(spark, sf_dir)).select(
+        "cluster_id", "cluster_size"
+    )

@@ -317,3 +317,43 @@ SELECT c.id, CASE WHEN c.id IN (SELECT label FROM lremap WHERE remapped_label IN
     SELECT remapped_label FROM lremap WHERE remapped_label IS NOT NULL GROUP BY remapped_label HAVING count(*) < 100))
   THEN 'other' ELSE c.parent_node END AS parent_node
 FROM curated c""")
+
+
+# ------------------------------------------------------------------- blocking
+
+FIXTURE_SQL["cent"] = "SELECT rank - 1 AS label, embedding AS centroid FROM vec WHERE rank <= 10"
+FIXTURE_SQL["assign1"] = """
+SELECT id, label FROM (
+  SELECT v.id, c.label, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.embedding, c.centroid), c.label) AS rn
+  FROM vec v JOIN cent c ON true) x WHERE rn = 1"""
+FIXTURE_SQL["cent2"] = """
+SELECT label, list(m ORDER BY d) AS centroid FROM (
+  SELECT a.label, d, avg(v.embedding[d + 1]) AS m
+  FROM assign1 a JOIN vec v ON v.id = a.id, range(0, 64) t(d)
+  GROUP BY a.label, d) x GROUP BY label"""
+FIXTURE_SQL["vblocks"] = """
+SELECT CAST(label AS BIGINT) AS cluster_id, count(*) AS cluster_size, list(id ORDER BY id) AS member_ids
+FROM vec GROUP BY label"""
+FIXTURE_SQL["dblocks"] = """
+SELECT CAST(floor(doc_id / 8) AS BIGINT) AS cluster_id, count(*) AS cluster_size,
+  list('doc ' || CAST(doc_id AS VARCHAR) || ' [' || lang || ']' ORDER BY doc_id) AS member_ids
+FROM documents GROUP BY 1"""
+DEPS.update({"cent": ["vec"], "assign1": ["cent"], "cent2": ["assign1"], "vblocks": ["vec"]})
+
+oracle("assign_nearest", "assign1")("SELECT id, label FROM assign1")
+oracle("lloyd_step", "cent2")("""
+SELECT id, label FROM (
+  SELECT v.id, c.label, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.embedding, c.centroid), c.label) AS rn
+  FROM vec v JOIN cent2 c ON true) x WHERE rn = 1""")
+oracle("collect_blocks", "vblocks")(
+    "SELECT cluster_id, cluster_size, CAST(to_json(member_ids) AS VARCHAR) AS member_ids FROM vblocks")
+oracle("bounded_blocks", "vblocks", "dblocks")("""
+SELECT kind, cluster_id, cluster_size FROM (
+  SELECT 'doc' AS kind, cluster_id, cluster_size FROM dblocks UNION ALL SELECT 'vec', cluster_id, cluster_size FROM vblocks) u
+WHERE cluster_size > 1 AND cluster_size <= 30""")
+oracle("block_size_hist", "vblocks", "dblocks")("""
+SELECT CAST(floor(cluster_size / 5) * 5 AS BIGINT) AS size_from, count(*) AS n_blocks FROM (
+  SELECT cluster_size FROM dblocks UNION ALL SELECT cluster_size FROM vblocks) u GROUP BY 1""")
+oracle("blacklist_blocks", "dblocks")("""
+SELECT cluster_id, cluster_size FROM dblocks d WHERE NOT EXISTS (
+  SELECT 1 FROM labels l WHERE l.toxic = 1 AND CAST(floor(l.doc_id / 8) AS BIGINT) = d.cluster_id)""")
