@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
-from graphmend.operators import blocking, edges, nodes, similarity, types
+from graphmend.functions import text as T
+from graphmend.operators import batching, blocking, edges, nodes, requests, similarity, types
 from graphmend.sources import fixtures as fx
 from graphmend.sources.tables import load
 
@@ -297,3 +298,76 @@ def q_blacklist_blocks(spark, sf_dir):
     return blocks_ops.without_ids(fx.doc_blocks(spark, sf_dir), toxic_blocks(spark, sf_dir)).select(
         "cluster_id", "cluster_size"
     )
+
+
+# ------------------------------------------------- requests, tokens, shards
+
+def counted_texts(spark, sf_dir):
+    return batching.token_counts(fx.texts(spark, sf_dir), "text")
+
+
+@query("embedding_inputs")
+def q_embedding_inputs(spark, sf_dir):
+    nodes_df = nodes.build_nodes(remapped_kg(spark, sf_dir))
+    return nodes_df.select(F.col("id").alias("node_id"), T.embedding_input("id", "extracted_definition").alias("text"))
+
+
+@query("embedding_requests")
+def q_embedding_requests(spark, sf_dir):
+    nodes_df = nodes.build_nodes(remapped_kg(spark, sf_dir))
+    inputs = nodes_df.select("id", T.embedding_input("id", "extracted_definition").alias("text"))
+    return requests.embedding_requests(inputs, "id", "text")
+
+
+@query("token_counts")
+def q_token_counts(spark, sf_dir):
+    return counted_texts(spark, sf_dir).select("doc_id", "n_tokens")
+
+
+@query("token_budget")
+def q_token_budget(spark, sf_dir):
+    return batching.token_budget(counted_texts(spark, sf_dir))
+
+
+@query("oversized_inputs")
+def q_oversized_inputs(spark, sf_dir):
+    return batching.oversized(counted_texts(spark, sf_dir)).select("doc_id", "n_tokens")
+
+
+@query("token_batches")
+def q_token_batches(spark, sf_dir):
+    return batching.token_batches(counted_texts(spark, sf_dir), "doc_id", "doc_id").select("doc_id", "batch_id")
+
+
+def doc_block_requests(spark, sf_dir):
+    blocks = fx.doc_blocks(spark, sf_dir)
+    user = requests.block_payload("cluster_id", "member_ids")
+    return requests.completion_requests(blocks, "cluster_id", user, options=requests.REASONING)
+
+
+@query("completion_requests")
+def q_completion_requests(spark, sf_dir):
+    return doc_block_requests(spark, sf_dir)
+
+
+@query("request_shards")
+def q_request_shards(spark, sf_dir):
+    reqs = doc_block_requests(spark, sf_dir).withColumn("cid", F.col("custom_id").cast("bigint"))
+    sharded, ledger = batching.request_shards(reqs, [F.col("cid")], 50_000)
+    return ledger
+
+
+@query("chunk_blocks")
+def q_chunk_blocks(spark, sf_dir):
+    out = batching.chunk_blocks(fx.doc_blocks(spark, sf_dir), 1)
+    return out.select("chunk_id", F.to_json("payload").alias("payload"))
+
+
+@query("block_prompts")
+def q_block_prompts(spark, sf_dir):
+    return requests.block_prompts(edge_stage(spark, sf_dir)["blocks"])
+
+
+@query("chat_examples")
+def q_chat_examples(spark, sf_dir):
+    return requests.conversation_examples(fx.chat_turns(spark, sf_dir))

@@ -81,7 +81,7 @@ def with_fixtures(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]}\n)" for n in FIXTURE_SQL if n in need)
-    return f"WITH {ctes}\n{sql}"
+    return f"WITH RECURSIVE {ctes}\n{sql}"
 
 
 _REGISTERED: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -357,3 +357,75 @@ SELECT CAST(floor(cluster_size / 5) * 5 AS BIGINT) AS size_from, count(*) AS n_b
 oracle("blacklist_blocks", "dblocks")("""
 SELECT cluster_id, cluster_size FROM dblocks d WHERE NOT EXISTS (
   SELECT 1 FROM labels l WHERE l.toxic = 1 AND CAST(floor(l.doc_id / 8) AS BIGINT) = d.cluster_id)""")
+
+
+# ------------------------------------------------ requests, tokens, shards
+
+FIXTURE_SQL["bnodes"] = """
+SELECT id, name, node_type, extracted_definition FROM (
+ SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, row_id) rn FROM (
+  SELECT source || ' [' || mapped_source_type || ']' AS id, source AS name, mapped_source_type AS node_type,
+         source_extracted_definition AS extracted_definition, 0 AS side, row_id
+  FROM remap WHERE source IS NOT NULL AND target IS NOT NULL
+  UNION ALL
+  SELECT target || ' [' || mapped_target_type || ']', target, mapped_target_type, target_extracted_definition, 1, row_id
+  FROM remap WHERE source IS NOT NULL AND target IS NOT NULL) u) v
+WHERE rn = 1"""
+FIXTURE_SQL["counted"] = r"""
+SELECT doc_id, text, CAST(len(regexp_extract_all(coalesce(text, ''), '(\w+|[^\w\s])', 1)) AS BIGINT) AS n_tokens
+FROM documents"""
+FIXTURE_SQL["docreq"] = """
+SELECT CAST(cluster_id AS VARCHAR) AS custom_id, CAST(to_json({'custom_id': CAST(cluster_id AS VARCHAR), 'method': 'POST',
+  'url': '/v1/chat/completions', 'body': {'model': 'o3-mini', 'response_format': {'type': 'json_object'},
+  'messages': [{'role': 'system', 'content': $SYS$}, {'role': 'user', 'content': CAST(to_json(MAP([CAST(cluster_id AS VARCHAR)], [member_ids])) AS VARCHAR)}],
+  'reasoning_effort': 'high'}}) AS VARCHAR) AS request
+FROM dblocks"""
+DEPS.update({"bnodes": ["remap"], "docreq": ["dblocks"]})
+
+
+def _sys_literal() -> str:
+    from graphmend.operators.requests import SUBCLUSTER_PROMPT
+
+    return "'" + SUBCLUSTER_PROMPT.replace("'", "''") + "'"
+
+
+FIXTURE_SQL["docreq"] = FIXTURE_SQL["docreq"].replace("$SYS$", _sys_literal())
+
+oracle("embedding_inputs", "bnodes")("""
+SELECT id AS node_id, id || ' : ' || coalesce(extracted_definition, 'nan') AS text FROM bnodes""")
+oracle("embedding_requests", "bnodes")("""
+SELECT id AS custom_id, CAST(to_json({'custom_id': id, 'method': 'POST', 'url': '/v1/embeddings',
+  'body': {'model': 'text-embedding-ada-002', 'input': id || ' : ' || coalesce(extracted_definition, 'nan')}}) AS VARCHAR) AS request
+FROM bnodes""")
+oracle("token_counts", "counted")("SELECT doc_id, n_tokens FROM counted")
+oracle("token_budget", "counted")("""
+SELECT count(*) AS n_requests, CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
+  round(sum(n_tokens) / 1000000.0 * 0.1, 6) AS est_cost FROM counted""")
+oracle("oversized_inputs", "counted")("SELECT doc_id, n_tokens FROM counted WHERE n_tokens > 8192")
+FIXTURE_SQL["tb_items"] = """
+SELECT doc_id, n_tokens, row_number() OVER (ORDER BY doc_id) AS rn FROM counted WHERE n_tokens <= 8192"""
+FIXTURE_SQL["r"] = """
+SELECT rn, doc_id, 0 AS batch, n_tokens AS used FROM tb_items WHERE rn = 1
+UNION ALL
+SELECT t.rn, t.doc_id, CASE WHEN r.used + t.n_tokens > 8192 THEN r.batch + 1 ELSE r.batch END,
+       CASE WHEN r.used + t.n_tokens > 8192 THEN t.n_tokens ELSE r.used + t.n_tokens END
+FROM r JOIN tb_items t ON t.rn = r.rn + 1"""
+DEPS.update({"tb_items": ["counted"], "r": ["tb_items"]})
+oracle("token_batches", "r")("SELECT doc_id, CAST(batch AS BIGINT) AS batch_id FROM r")
+oracle("completion_requests", "docreq")("SELECT custom_id, request FROM docreq")
+oracle("request_shards", "docreq")("""
+SELECT CAST(floor((rn - 1) / 50000) AS BIGINT) AS shard_id, count(*) AS n_requests,
+  min(custom_id) AS first_custom_id, max(custom_id) AS last_custom_id
+FROM (SELECT custom_id, row_number() OVER (ORDER BY CAST(custom_id AS BIGINT)) AS rn FROM docreq) x GROUP BY 1""")
+oracle("chunk_blocks", "dblocks")("""
+SELECT CAST(rn - 1 AS BIGINT) AS chunk_id, CAST(to_json(MAP([CAST(cluster_id AS VARCHAR)], [member_ids])) AS VARCHAR) AS payload
+FROM (SELECT *, row_number() OVER (ORDER BY cluster_id) AS rn FROM dblocks) x""")
+oracle("block_prompts", "blocks")("""
+SELECT cluster_id, CAST(cluster_id AS VARCHAR) || ': [' || array_to_string(list_transform(ids_in_cluster,
+  lambda x: CASE WHEN contains(x, '''') AND NOT contains(x, '"') THEN '"' || x || '"'
+                 ELSE '''' || replace(x, '''', '\\''') || '''' END), ', ') || ']' AS text,
+  CAST(cluster_id AS VARCHAR) AS key
+FROM blocks""")
+oracle("chat_examples")("""
+SELECT conv_id, CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS VARCHAR) AS example
+FROM conversations GROUP BY conv_id""")
