@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
 from graphmend.functions import text as T
-from graphmend.operators import batching, blocking, edges, nodes, requests, similarity, types
+from graphmend.operators import batching, blocking, edges, nodes, requests, responses, similarity, types
 from graphmend.sources import fixtures as fx
 from graphmend.sources.tables import load
 
@@ -371,3 +371,64 @@ def q_block_prompts(spark, sf_dir):
 @query("chat_examples")
 def q_chat_examples(spark, sf_dir):
     return requests.conversation_examples(fx.chat_turns(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- responses
+
+def parsed_completions(spark, sf_dir):
+    return responses.parse_completion_lines(fx.completion_lines(edge_stage(spark, sf_dir)["resp"]))
+
+
+@query("ingest_completions")
+def q_ingest_completions(spark, sf_dir):
+    return responses.completion_entries(parsed_completions(spark, sf_dir))
+
+
+@query("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    return responses.ingest_report(parsed_completions(spark, sf_dir))
+
+
+@query("ingest_embeddings")
+def q_ingest_embeddings(spark, sf_dir):
+    ok, _ = responses.ingest_embeddings(fx.embedding_lines(spark, sf_dir), dim=64)
+    return ok.select("id", F.size("embedding").cast("bigint").alias("dims"))
+
+
+@query("embedding_rejects")
+def q_embedding_rejects(spark, sf_dir):
+    _, rejects = responses.ingest_embeddings(fx.embedding_lines(spark, sf_dir), dim=64)
+    return rejects
+
+
+def parsed_verdicts(spark, sf_dir):
+    return responses.parse_completion_lines(fx.verdict_response_lines(spark, sf_dir))
+
+
+@query("ingest_verdicts")
+def q_ingest_verdicts(spark, sf_dir):
+    return responses.verdict_entries(parsed_verdicts(spark, sf_dir))
+
+
+@query("verdict_summary")
+def q_verdict_summary(spark, sf_dir):
+    return responses.verdict_summary(responses.verdict_entries(parsed_verdicts(spark, sf_dir)))
+
+
+@query("ingest_reasoning")
+def q_ingest_reasoning(spark, sf_dir):
+    parsed = responses.parse_completion_lines(fx.reasoning_response_lines(spark, sf_dir))
+    return responses.reasoning_entries(parsed)
+
+
+@query("pending_requests")
+def q_pending_requests(spark, sf_dir):
+    st = edge_stage(spark, sf_dir)
+    blocks = blocks_ops.non_singleton(st["blocks"])
+    reqs = requests.completion_requests(
+        blocks, "cluster_id", requests.block_payload("cluster_id", "ids_in_cluster"),
+        system_prompt=requests.EDGE_PROMPT, options=requests.REASONING,
+    ).withColumn("cid", F.col("custom_id").cast("bigint"))
+    sharded, _ = batching.request_shards(reqs, [F.col("cid")], 25_000)
+    received = responses.parse_completion_lines(fx.completion_lines(st["resp"])).filter(F.col("status") == "ok")
+    return responses.pending_requests(sharded, received)

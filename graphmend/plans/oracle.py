@@ -429,3 +429,86 @@ FROM blocks""")
 oracle("chat_examples")("""
 SELECT conv_id, CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS VARCHAR) AS example
 FROM conversations GROUP BY conv_id""")
+
+
+# ------------------------------------------------------------------ responses
+
+def _cline(cid: str, content: str) -> str:
+    esc = f"""'"' || replace(replace({content}, '\\', '\\\\'), '"', '\\"') || '"'"""
+    return (f"""'{{"id": "batch_req_' || {cid} || '", "custom_id": "' || {cid} || '", "response": {{"status_code": 200, """
+            f""""body": {{"choices": [{{"index": 0, "message": {{"role": "assistant", "content": ' || {esc} || '}}}}]}}}}, "error": null}}'""")
+
+
+FIXTURE_SQL["clines"] = f"""
+SELECT CASE WHEN cluster_id % 7 = 3 THEN substr(full_line, 1, 60)
+            WHEN cluster_id % 7 = 5 THEN '{{"custom_id": "' || id || '", "response": null}}'
+            ELSE full_line END AS value,
+       'part-' || CAST(cluster_id % 4 AS VARCHAR) || '.jsonl' AS source_file
+FROM (SELECT cluster_id, id, {_cline('id', 'output_string')} AS full_line FROM resp) r
+UNION ALL
+SELECT {_cline('id', 'output_string')}, 'part-' || CAST((cluster_id + 1) % 4 AS VARCHAR) || '.jsonl' FROM resp WHERE cluster_id % 7 = 6"""
+
+
+def _parsed(lines: str) -> str:
+    return f"""
+SELECT source_file, custom_id, content,
+  CASE WHEN NOT obj THEN 'corrupt' WHEN content IS NULL THEN 'no_content'
+       WHEN NOT coalesce(CASE WHEN json_valid(content) THEN json_type(content) = 'OBJECT' AND rtrim(content) LIKE '%}}' END, false)
+         THEN 'bad_payload' ELSE 'ok' END AS status
+FROM (SELECT source_file, coalesce(CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' END, false) AS obj,
+        CASE WHEN json_valid(value) THEN json_extract_string(value, '$.custom_id') END AS custom_id,
+        CASE WHEN json_valid(value) THEN json_extract_string(value, '$.response.body.choices[0].message.content') END AS content
+      FROM {lines}) x"""
+
+
+def _entries(parsed: str) -> str:
+    return f"""
+SELECT custom_id, source_file, k AS key, json_extract_string(content, '$."' || k || '"') AS value,
+  json_extract(content, '$."' || k || '"') AS raw
+FROM (SELECT custom_id, source_file, content, unnest(json_keys(content)) AS k FROM {parsed} WHERE status = 'ok') e"""
+
+
+FIXTURE_SQL["cparsed"] = _parsed("clines")
+FIXTURE_SQL["centries"] = _entries("cparsed")
+FIXTURE_SQL["vlines"] = f"""
+SELECT {_cline("CAST(doc_id AS VARCHAR)", "content")} AS value, NULL AS source_file FROM (
+  SELECT doc_id, CASE WHEN toxic = 1 THEN '{{"' || CAST(doc_id AS VARCHAR) || '": {{"user_prompt": "block ' || CAST(doc_id AS VARCHAR) || '"}}}}'
+    ELSE '{{"' || CAST(doc_id AS VARCHAR) || '": ' || CAST(to_json({{'is_correct': CASE WHEN quality = 1 THEN 'True' ELSE 'False' END,
+      'user_prompt': 'block ' || CAST(doc_id AS VARCHAR), 'clusters': [['doc ' || CAST(doc_id AS VARCHAR)]]}}) AS VARCHAR) || '}}' END AS content
+  FROM labels) l"""
+FIXTURE_SQL["vparsed"] = _parsed("vlines")
+FIXTURE_SQL["ventries"] = _entries("vparsed")
+FIXTURE_SQL["verdicts"] = """
+SELECT key AS cluster_id, coalesce(json_extract_string(raw, '$.is_correct'), 'N/A') AS is_correct,
+  coalesce(json_extract_string(raw, '$.user_prompt'), 'N/A') AS user_prompt,
+  coalesce(CAST(json_extract(raw, '$.clusters') AS VARCHAR), '[]') AS clusters
+FROM ventries WHERE json_type(raw) = 'OBJECT'"""
+FIXTURE_SQL["rlines"] = f"""
+SELECT {_cline("CAST(doc_id AS VARCHAR)", """'{"' || CAST(doc_id AS VARCHAR) || '": {"reasoning": "quality ' || CAST(quality AS VARCHAR) || '"}}'""")} AS value,
+  NULL AS source_file FROM labels"""
+FIXTURE_SQL["rparsed"] = _parsed("rlines")
+FIXTURE_SQL["rentries"] = _entries("rparsed")
+DEPS.update({
+    "clines": ["resp"], "cparsed": ["clines"], "centries": ["cparsed"],
+    "vparsed": ["vlines"], "ventries": ["vparsed"], "verdicts": ["ventries"],
+    "rparsed": ["rlines"], "rentries": ["rparsed"],
+})
+
+oracle("ingest_completions", "centries")("""
+SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
+oracle("ingest_report", "cparsed")("SELECT source_file, status, count(*) AS n_lines FROM cparsed GROUP BY ALL")
+oracle("ingest_embeddings")("""
+SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS BIGINT) AS dims FROM embeddings
+WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0""")
+oracle("embedding_rejects")("""
+SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS custom_id,
+  CASE WHEN vec_id % 17 = 0 THEN 'no_content' ELSE 'wrong_dimension' END AS reason
+FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 13 = 0""")
+oracle("ingest_verdicts", "verdicts")("SELECT cluster_id, is_correct, user_prompt, clusters FROM verdicts")
+oracle("verdict_summary", "verdicts")("SELECT is_correct, count(*) AS n FROM verdicts GROUP BY ALL")
+oracle("ingest_reasoning", "rentries")(
+    "SELECT key AS cluster_id, json_extract_string(raw, '$.reasoning') AS reasoning FROM rentries")
+oracle("pending_requests", "cparsed", "blocks")("""
+SELECT CAST(0 AS BIGINT) AS shard_id, count(*) AS n_pending FROM blocks b
+WHERE b.cluster_size > 1 AND NOT EXISTS (SELECT 1 FROM cparsed p WHERE p.status = 'ok' AND p.custom_id = CAST(b.cluster_id AS VARCHAR))
+HAVING count(*) > 0""")

@@ -210,3 +210,67 @@ def edge_responses(members: DataFrame) -> DataFrame:
         .otherwise(quoted(F.concat(F.lit("["), gs, F.lit("]"))))
     )
     return g.select("cluster_id", cid.alias("id"), out.alias("output_string"))
+
+
+# -------------------------------------------------------- response lines
+
+def _json_str(col) -> F.Column:
+    """A string as a JSON string literal (quotes and backslashes escaped)."""
+    esc = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), esc, F.lit('"'))
+
+
+def _completion_line(cid, content) -> F.Column:
+    return F.concat(
+        F.lit('{"id": "batch_req_'), cid, F.lit('", "custom_id": "'), cid,
+        F.lit('", "response": {"status_code": 200, "body": {"choices": [{"index": 0, "message": '
+              '{"role": "assistant", "content": '), _json_str(content), F.lit("}}]}}, \"error\": null}"),
+    )
+
+
+def completion_lines(resp: DataFrame) -> DataFrame:
+    """Edge responses as batch-output JSONL lines in 4 files.
+
+    By ``cluster_id % 7``: 3 truncated line, 5 ``response: null``, 6 delivered
+    twice (second copy in the next file).
+    """
+    cid = F.col("id")
+    full = _completion_line(cid, F.col("output_string"))
+    case = F.pmod("cluster_id", F.lit(7))
+    value = (
+        F.when(case == 3, F.substring(full, 1, 60))
+        .when(case == 5, F.concat(F.lit('{"custom_id": "'), cid, F.lit('", "response": null}')))
+        .otherwise(full)
+    )
+    part = lambda c: F.concat(F.lit("part-"), F.pmod(c, F.lit(4)).cast("string"), F.lit(".jsonl"))
+    base = resp.select(value.alias("value"), part(F.col("cluster_id")).alias("source_file"))
+    dup = resp.filter(case == 6).select(full.alias("value"), part(F.col("cluster_id") + 1).alias("source_file"))
+    return base.unionByName(dup)
+
+
+def verdict_response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge verdicts over labelled documents as completion lines."""
+    v = verdict_lines(spark, sf_dir)
+    return v.select(_completion_line(F.col("cluster_id").cast("string"), F.col("content")).alias("value"))
+
+
+def reasoning_response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = load(spark, sf_dir, "labels", "doc_id", "quality")
+    key = F.col("doc_id").cast("string")
+    content = F.concat(F.lit('{"'), key, F.lit('": {"reasoning": "quality '), F.col("quality").cast("string"), F.lit('"}}'))
+    return lab.select(_completion_line(key, content).alias("value"))
+
+
+def embedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding responses: ``vec_id % 13 == 0`` truncated vector, ``% 17 == 0`` no response."""
+    v = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    cid = F.concat(F.lit("vec "), F.col("vec_id").cast("string"))
+    emb = F.when(F.pmod("vec_id", F.lit(13)) == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    rec = F.struct(
+        cid.alias("custom_id"),
+        F.when(F.pmod("vec_id", F.lit(17)) == 0, F.lit(None)).otherwise(
+            F.struct(F.lit(200).alias("status_code"), F.struct(F.array(F.struct(
+                F.lit(0).alias("index"), emb.cast("array<double>").alias("embedding"))).alias("data")).alias("body"))
+        ).alias("response"),
+    )
+    return v.select(F.to_json(rec).alias("value"))
