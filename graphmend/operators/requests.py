@@ -112,7 +112,8 @@ def write_requests(sharded: DataFrame, path: str, mode: str = "overwrite") -> No
 def finetune_examples(df: DataFrame, system_prompt: str, user_col, assistant_col) -> DataFrame:
     """Chat fine-tune line: {"messages": [system, user, assistant]}."""
     msgs = messages(("system", system_prompt), ("user", _c(user_col)), ("assistant", _c(assistant_col)))
-    return df.select(F.to_json(F.struct(msgs.alias("messages"))).alias("example"))
+    keep = [c for c in df.columns if c not in (user_col, assistant_col)]
+    return df.select(*keep, F.to_json(F.struct(msgs.alias("messages"))).alias("example"))
 
 
 def conversation_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

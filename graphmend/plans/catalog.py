@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
 from graphmend.functions import text as T
-from graphmend.operators import batching, blocking, edges, nodes, requests, responses, similarity, types
+from graphmend.operators import batching, blocking, edges, nodes, requests, resolvers, responses, similarity, training, types
 from graphmend.sources import fixtures as fx
 from graphmend.sources.tables import load
 
@@ -432,3 +432,102 @@ def q_pending_requests(spark, sf_dir):
     sharded, _ = batching.request_shards(reqs, [F.col("cid")], 25_000)
     received = responses.parse_completion_lines(fx.completion_lines(st["resp"])).filter(F.col("status") == "ok")
     return responses.pending_requests(sharded, received)
+
+
+# ------------------------------------------------------------ training data
+
+def run_frame_a(spark, sf_dir, shuffle_seed=None):
+    outs = fx.run_outputs(spark, sf_dir).join(fx.run_a_ids(spark, sf_dir), "cluster_id", "left_semi")
+    return training.run_frame(outs, shuffle_seed=shuffle_seed)
+
+
+def run_frame_b(spark, sf_dir):
+    outs = fx.run_outputs(spark, sf_dir).join(fx.run_b_ids(spark, sf_dir), "cluster_id", "left_semi")
+    return training.run_frame(outs)
+
+
+@query("run_frame")
+def q_run_frame(spark, sf_dir):
+    return run_frame_a(spark, sf_dir)
+
+
+@query("shuffle_members")
+def q_shuffle_members(spark, sf_dir):
+    return run_frame_a(spark, sf_dir, shuffle_seed=7).select("cluster_id", "input")
+
+
+@query("combine_runs")
+def q_combine_runs(spark, sf_dir):
+    return training.combine_runs(run_frame_a(spark, sf_dir), run_frame_b(spark, sf_dir)).select("cluster_id", "run")
+
+
+@query("common_blocks")
+def q_common_blocks(spark, sf_dir):
+    return training.common_ids(run_frame_a(spark, sf_dir), run_frame_b(spark, sf_dir))
+
+
+def test_ids(spark, sf_dir):
+    return fx.run_b_ids(spark, sf_dir).join(fx.run_a_ids(spark, sf_dir), "cluster_id", "left_anti")
+
+
+@query("split_leakage")
+def q_split_leakage(spark, sf_dir):
+    return training.leakage(run_frame_a(spark, sf_dir), test_ids(spark, sf_dir))
+
+
+@query("semi_blocks")
+def q_semi_blocks(spark, sf_dir):
+    return blocks_ops.only_ids(fx.doc_blocks(spark, sf_dir), fx.run_a_ids(spark, sf_dir)).select("cluster_id", "cluster_size")
+
+
+@query("anti_blocks")
+def q_anti_blocks(spark, sf_dir):
+    return blocks_ops.without_ids(fx.doc_blocks(spark, sf_dir), fx.run_a_ids(spark, sf_dir)).select("cluster_id", "cluster_size")
+
+
+@query("resume_pending")
+def q_resume_pending(spark, sf_dir):
+    seeds, _ = seed_and_query_vectors(spark, sf_dir)
+    mapping = seeds.select("id", F.col("id").alias("parent_node"))
+    return types.pending_types(fx.vectors(spark, sf_dir).select("id"), mapping)
+
+
+@query("attach_inputs")
+def q_attach_inputs(spark, sf_dir):
+    out = training.attach_inputs(run_frame_a(spark, sf_dir), fx.doc_blocks(spark, sf_dir))
+    return out.select("cluster_id", F.to_json("input_members").alias("input_members"))
+
+
+@query("attach_corrections")
+def q_attach_corrections(spark, sf_dir):
+    out = training.attach_corrections(run_frame_a(spark, sf_dir), fx.correction_versions(spark, sf_dir))
+    return out.select("cluster_id", F.to_json("groups").alias("groups"))
+
+
+def restored(spark, sf_dir):
+    frame = training.attach_inputs(run_frame_a(spark, sf_dir), fx.doc_blocks(spark, sf_dir))
+    frame = training.attach_corrections(frame, fx.correction_versions(spark, sf_dir))
+    return frame.withColumn("restored", training.restore_missing(F.col("input_members"), F.col("groups")))
+
+
+@query("restore_missing")
+def q_restore_missing(spark, sf_dir):
+    r = restored(spark, sf_dir)
+    return r.select("cluster_id", training._key_json("cluster_id", F.col("restored")).alias("clusters"))
+
+
+@query("test_split")
+def q_test_split(spark, sf_dir):
+    t = training.test_split(fx.doc_blocks(spark, sf_dir), test_ids(spark, sf_dir))
+    return t.select("cluster_id", "cluster_size", training._key_json("cluster_id", F.col("member_ids")).alias("input"))
+
+
+@query("finetune_examples")
+def q_finetune_examples(spark, sf_dir):
+    r = restored(spark, sf_dir).select(
+        "cluster_id",
+        training._key_json("cluster_id", F.col("input_members")).alias("user"),
+        training._key_json("cluster_id", F.col("restored")).alias("assistant"),
+    )
+    ex = requests.finetune_examples(r.select("cluster_id", "user", "assistant"), requests.SUBCLUSTER_PROMPT, "user", "assistant")
+    return ex

@@ -512,3 +512,77 @@ oracle("pending_requests", "cparsed", "blocks")("""
 SELECT CAST(0 AS BIGINT) AS shard_id, count(*) AS n_pending FROM blocks b
 WHERE b.cluster_size > 1 AND NOT EXISTS (SELECT 1 FROM cparsed p WHERE p.status = 'ok' AND p.custom_id = CAST(b.cluster_id AS VARCHAR))
 HAVING count(*) > 0""")
+
+
+# -------------------------------------------------------------- training data
+
+def _kj(key: str, value: str) -> str:
+    return f"CAST(to_json(MAP([CAST({key} AS VARCHAR)], [{value}])) AS VARCHAR)"
+
+
+FIXTURE_SQL["dmembers"] = """
+SELECT CAST(floor(doc_id / 8) AS BIGINT) AS cluster_id, doc_id, lang,
+  'doc ' || CAST(doc_id AS VARCHAR) || ' [' || lang || ']' AS member FROM documents"""
+FIXTURE_SQL["routs"] = """
+SELECT cluster_id, list(grp ORDER BY lang) AS groups FROM (
+  SELECT cluster_id, lang, CASE WHEN len(g) > 1 THEN list_concat(['**' || g[1] || '**'], g[2:]) ELSE g END AS grp
+  FROM (SELECT cluster_id, lang, list(member ORDER BY doc_id) AS g FROM dmembers GROUP BY cluster_id, lang) x) y
+GROUP BY cluster_id"""
+FIXTURE_SQL["run_a"] = "SELECT DISTINCT CAST(floor(doc_id / 8) AS BIGINT) AS cluster_id FROM labels WHERE quality = 1"
+FIXTURE_SQL["run_b"] = "SELECT DISTINCT CAST(floor(doc_id / 8) AS BIGINT) AS cluster_id FROM documents WHERE lang = 'en'"
+FIXTURE_SQL["frame_a"] = f"""
+SELECT cluster_id, groups, list_transform(flatten(groups), lambda m: trim(m, '*')) AS flat,
+  list_filter(groups, lambda g: len(g) > 1) AS multi
+FROM routs WHERE cluster_id IN (SELECT cluster_id FROM run_a)"""
+FIXTURE_SQL["frame_b"] = "SELECT cluster_id FROM routs WHERE cluster_id IN (SELECT cluster_id FROM run_b)"
+FIXTURE_SQL["common"] = "SELECT cluster_id FROM frame_a INTERSECT SELECT cluster_id FROM frame_b"
+FIXTURE_SQL["test_ids"] = "SELECT cluster_id FROM run_b WHERE cluster_id NOT IN (SELECT cluster_id FROM run_a)"
+FIXTURE_SQL["corr"] = """
+SELECT cluster_id, groups FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord DESC) AS rn FROM (
+    SELECT cluster_id, list(g ORDER BY lang) AS groups, 0 AS ord FROM (
+      SELECT cluster_id, lang, list(member ORDER BY doc_id) AS g FROM dmembers WHERE doc_id % 8 <> 5 GROUP BY cluster_id, lang) a
+    GROUP BY cluster_id
+    UNION ALL
+    SELECT cluster_id, [list(member ORDER BY doc_id)], 1 FROM dmembers
+    WHERE cluster_id IN (SELECT cluster_id FROM dmembers WHERE lang = 'de') GROUP BY cluster_id) v) w
+WHERE rn = 1"""
+FIXTURE_SQL["restored"] = """
+SELECT f.cluster_id, d.member_ids, c.groups,
+  list_concat(c.groups, list_transform(list_filter(d.member_ids, lambda x: NOT list_contains(
+    list_transform(flatten(c.groups), lambda m: trim(m, '*')), x)), lambda x: [x])) AS restored
+FROM frame_a f LEFT JOIN dblocks d ON d.cluster_id = f.cluster_id LEFT JOIN corr c ON c.cluster_id = f.cluster_id"""
+DEPS.update({
+    "routs": ["dmembers"], "frame_a": ["routs", "run_a"], "frame_b": ["routs", "run_b"],
+    "common": ["frame_a", "frame_b"], "test_ids": ["run_a", "run_b"], "corr": ["dmembers"],
+    "restored": ["frame_a", "dblocks", "corr"],
+})
+
+oracle("run_frame", "frame_a")(f"""
+SELECT cluster_id, {_kj('cluster_id', 'flat')} AS input, {_kj('cluster_id', 'groups')} AS output,
+  {_kj('cluster_id', 'multi')} AS output_multi, len(multi) = 0 AS one_item FROM frame_a""")
+oracle("combine_runs", "common")("""
+SELECT cluster_id, 'a' AS run FROM frame_a WHERE cluster_id NOT IN (SELECT cluster_id FROM common)
+UNION ALL SELECT cluster_id, 'b' FROM frame_b WHERE cluster_id NOT IN (SELECT cluster_id FROM common)""")
+oracle("common_blocks", "common")("SELECT cluster_id FROM common")
+oracle("split_leakage", "frame_a", "test_ids")(
+    "SELECT cluster_id FROM frame_a INTERSECT SELECT cluster_id FROM test_ids")
+oracle("semi_blocks", "dblocks", "run_a")(
+    "SELECT cluster_id, cluster_size FROM dblocks WHERE cluster_id IN (SELECT cluster_id FROM run_a)")
+oracle("anti_blocks", "dblocks", "run_a")(
+    "SELECT cluster_id, cluster_size FROM dblocks WHERE cluster_id NOT IN (SELECT cluster_id FROM run_a)")
+oracle("resume_pending", "vec")("SELECT id FROM vec WHERE rank > 30")
+oracle("attach_inputs", "frame_a", "dblocks")("""
+SELECT f.cluster_id, CAST(to_json(d.member_ids) AS VARCHAR) AS input_members
+FROM frame_a f LEFT JOIN dblocks d ON d.cluster_id = f.cluster_id""")
+oracle("attach_corrections", "frame_a", "corr")("""
+SELECT f.cluster_id, CAST(to_json(c.groups) AS VARCHAR) AS groups FROM frame_a f LEFT JOIN corr c ON c.cluster_id = f.cluster_id""")
+oracle("restore_missing", "restored")(f"SELECT cluster_id, {_kj('cluster_id', 'restored')} AS clusters FROM restored")
+oracle("test_split", "dblocks", "test_ids")(f"""
+SELECT cluster_id, cluster_size, {_kj('cluster_id', 'member_ids')} AS input FROM dblocks
+WHERE cluster_id IN (SELECT cluster_id FROM test_ids) AND cluster_size <= 30""")
+oracle("finetune_examples", "restored")(f"""
+SELECT cluster_id, CAST(to_json({{'messages': [{{'role': 'system', 'content': {_sys_literal()}}},
+  {{'role': 'user', 'content': {_kj('cluster_id', 'member_ids')}}},
+  {{'role': 'assistant', 'content': {_kj('cluster_id', 'restored')}}}]}}) AS VARCHAR) AS example
+FROM restored""")

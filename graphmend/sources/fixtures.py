@@ -113,16 +113,43 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolver output per block as list-literal text (groups by language)."""
+    """Resolver output per block as list-literal text: members grouped by
+    language (doc order), the first member of a multi-member group marked."""
     m = doc_members(spark, sf_dir)
     g = m.groupBy("cluster_id", "lang").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "member"))), lambda s: s["member"]).alias("grp")
     )
+    g = g.withColumn("grp", F.when(F.size("grp") > 1, F.concat(
+        F.array(F.concat(F.lit("**"), F.get("grp", 0), F.lit("**"))), F.slice("grp", 2, 1 << 20))).otherwise(F.col("grp")))
     return g.groupBy("cluster_id").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("lang", "grp"))), lambda s: s["grp"])).alias("output")
     )
 
 
+def run_a_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the first judged run: those holding a document labelled good."""
+    lab = load(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1)
+    return lab.select(F.floor(F.col("doc_id") / 8).cast("bigint").alias("cluster_id")).distinct()
+
+
+def run_b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the second run: those holding an English document."""
+    d = load(spark, sf_dir, "documents", "doc_id", "lang").filter(F.col("lang") == "en")
+    return d.select(F.floor(F.col("doc_id") / 8).cast("bigint").alias("cluster_id")).distinct()
+
+
+def correction_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected groups with a version order: v0 for every block, and a
+    later v1 (all members in one group) for blocks holding a German document."""
+    v0 = corrections(spark, sf_dir).withColumn("ord", F.lit(0))
+    m = doc_members(spark, sf_dir)
+    de = m.filter(F.col("lang") == "de").select("cluster_id").distinct()
+    v1 = m.join(de, "cluster_id", "left_semi").groupBy("cluster_id").agg(
+        F.array(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "member"))), lambda s: s["member"])).alias("groups")
+    ).withColumn("ord", F.lit(1))
+    return v0.unionByName(v1)
+
+
 def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge responses: one JSON object text per labelled document."""
     lab = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
