@@ -125,3 +125,23 @@ def collapse_entities(
         F.coalesce("_sr", source).alias(source), F.col(relation), F.coalesce("_tr", target).alias(target)
     )
     return out.groupBy(source, relation, target).agg(F.count("*").alias("weight"))
+
+
+def text_key(col) -> Column:
+    """Whole-text duplicate key: lower case, whitespace runs collapsed."""
+    return F.btrim(F.lower(F.regexp_replace(T._c(col), r"\s+", " ")), F.lit(" "))
+
+
+def duplicate_mapping(docs: DataFrame, id_col: str, text_col: str, node_prefix: str = "doc ") -> DataFrame:
+    """node_id -> representative for documents whose whole texts match after
+    normalisation (representative = smallest id).  ``min`` is a partial
+    aggregate, so a text copied a million times collapses per task, and the
+    join back is salted for such hot keys."""
+    # The shuffle carries a 256-bit digest of the normalised text, not the text.
+    keyed = docs.select(F.col(id_col).alias("_id"), F.sha2(text_key(text_col), 256).alias("_k")).filter(F.col("_k").isNotNull())
+    reps = keyed.groupBy("_k").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    m = lookup_join(keyed, reps.select("_k", "_rep"), ["_k"], how="inner").filter(F.col("_id") != F.col("_rep"))
+    return m.select(
+        F.concat(F.lit(node_prefix), F.col("_id").cast("string")).alias("node_id"),
+        F.concat(F.lit(node_prefix), F.col("_rep").cast("string")).alias("representative"),
+    )

@@ -167,3 +167,83 @@ def fold_rare_types(
     return out.withColumn(
         "parent_node", F.when(F.col("_rare"), F.lit(other)).otherwise(F.col("parent_node"))
     ).drop("_rare")
+
+
+# ------------------------------------------------------ parallel type resolution
+
+def similarity_edges(vectors: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """Pairs (child, parent) with cos >= tau where the parent ranks lower.
+
+    Scored on Arrow batches against a broadcast, size-checked matrix of all
+    ranked vectors; only pairs above ``tau`` leave the task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from graphmend.operators.joins import bounded_rows
+    from graphmend.operators.similarity import BROADCAST_REFS, _stack, _unit
+
+    ref = vectors.select(F.col(id_col).alias("pid"), F.col("rank").alias("prank"), F.col(vec_col).alias("pvec"))
+    if not bounded_rows(ref, BROADCAST_REFS):
+        raise ValueError("type universe larger than the broadcast bound; block it first (multisect_kmeans)")
+    pdf = ref.toPandas()
+    spark = vectors.sparkSession
+    bc = spark.sparkContext.broadcast((pdf["pid"].tolist(), pdf["prank"].to_numpy(), _unit(_stack(pdf["pvec"]))))
+
+    def score(batches):
+        pids, pranks, mat = bc.value
+        for b in batches:
+            sims = np.nan_to_num(_unit(_stack(b["vec"])) @ mat.T, nan=-1.0)
+            rows = []
+            for i, (cid, crank) in enumerate(zip(b["cid"], b["crank"])):
+                js = np.nonzero((sims[i] >= tau) & (pranks < crank))[0]
+                rows.extend((cid, int(crank), pids[j], int(pranks[j]), float(sims[i, j])) for j in js)
+            yield pd.DataFrame(rows, columns=["child", "crank", "parent", "prank", "cosine"])
+
+    q = vectors.select(F.col(id_col).alias("cid"), F.col("rank").alias("crank"), F.col(vec_col).alias("vec"))
+    return q.mapInPandas(score, "child string, crank long, parent string, prank long, cosine double")
+
+
+def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS, max_rounds: int = 1000) -> DataFrame:
+    """Frequency-ordered "join a parent, else become one", decided in parallel.
+
+    Sequential rule: walk types by rank; a type whose best lower-ranked
+    parent has cos >= tau follows it, otherwise it becomes a parent (the
+    ``n_seeds`` most frequent are parents from the start).  Parallel rounds
+    (lexicographically-first maximal independent set): a type follows as soon
+    as a decided parent is adjacent; it becomes a parent once every
+    lower-ranked neighbour is a follower.  Each round is a join over the
+    thresholded edge table; the state is checkpointed per round.
+    Output: id, parent_node (the most similar adjacent parent), rank.
+    """
+    from graphmend.session import cut_lineage
+
+    edges = cut_lineage(similarity_edges(vectors, tau))
+    state = cut_lineage(vectors.select(
+        "id", "rank",
+        F.when(F.col("rank") <= n_seeds, F.lit("parent")).otherwise(F.lit("open")).alias("state"),
+    ))
+    for _ in range(max_rounds):
+        if not state.filter(F.col("state") == "open").limit(1).count():
+            break
+        nb = edges.join(state.select(F.col("id").alias("parent"), F.col("state").alias("pstate")), "parent")
+        summary = nb.groupBy("child").agg(
+            F.max(F.col("pstate") == "parent").alias("has_parent"),
+            F.max(F.col("pstate") == "open").alias("has_open"),
+        )
+        s = state.join(summary.withColumnRenamed("child", "id"), "id", "left")
+        new_state = (
+            F.when(F.col("state") != "open", F.col("state"))
+            .when(F.coalesce("has_parent", F.lit(False)), F.lit("follower"))
+            .when(~F.coalesce("has_open", F.lit(False)), F.lit("parent"))
+            .otherwise(F.lit("open"))
+        )
+        state = cut_lineage(s.select("id", "rank", new_state.alias("state")))
+    parents = state.filter(F.col("state") == "parent").select(F.col("id").alias("parent"))
+    best = edges.join(parents, "parent", "left_semi").groupBy("child").agg(
+        F.max_by("parent", F.struct("cosine", (-F.col("prank")).alias("r"))).alias("best")
+    )
+    out = state.join(best.withColumnRenamed("child", "id"), "id", "left")
+    return out.select(
+        "id", F.when(F.col("state") == "parent", F.col("id")).otherwise(F.col("best")).alias("parent_node"), "rank"
+    )

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
 from graphmend.functions import text as T
-from graphmend.operators import batching, blocking, edges, nodes, requests, resolvers, responses, similarity, training, types
+from graphmend.operators import (
+    batching, blocking, edges, embed, nodes, requests, resolvers, responses, sampling, similarity, training, types,
+)
 from graphmend.sources import fixtures as fx
 from graphmend.sources.tables import load
 
@@ -531,3 +533,138 @@ def q_finetune_examples(spark, sf_dir):
     )
     ex = requests.finetune_examples(r.select("cluster_id", "user", "assistant"), requests.SUBCLUSTER_PROMPT, "user", "assistant")
     return ex
+
+
+# ------------------------------------------------------- payload functions
+
+@query("strip_markers")
+def q_strip_markers(spark, sf_dir):
+    kg = fx.kg(spark, sf_dir)
+    return kg.select("row_id", "interaction", T.strip_markers("interaction").alias("stripped"))
+
+
+@query("parse_payload")
+def q_parse_payload(spark, sf_dir):
+    resp = edge_stage(spark, sf_dir)["resp"]
+    m = T.parse_object(F.col("output_string"))
+    return resp.select(
+        "id",
+        m.isNotNull().alias("is_object"),
+        F.coalesce(F.size(m).cast("bigint"), F.lit(-1).cast("bigint")).alias("n_keys"),
+        T.first_value(m).alias("first_value"),
+    )
+
+
+@query("parse_groups")
+def q_parse_groups(spark, sf_dir):
+    resp = edge_stage(spark, sf_dir)["resp"]
+    g = T.parse_groups(T.first_value(T.parse_object(F.col("output_string"))))
+    return resp.select("id", F.to_json(g).alias("groups"))
+
+
+@query("safe_extract")
+def q_safe_extract(spark, sf_dir):
+    frame = run_frame_a(spark, sf_dir)
+    return frame.select("cluster_id", F.to_json(T.safe_extract(F.col("output"))).alias("extracted"))
+
+
+@query("flatten_bracketed")
+def q_flatten_bracketed(spark, sf_dir):
+    outs = fx.run_outputs(spark, sf_dir)
+    g = T.parse_groups(F.col("output"), lenient_flat=False)
+    mixed = F.concat(F.flatten(g), F.array(F.to_json(F.get(g, 0))))
+    return outs.select("cluster_id", F.to_json(T.flatten_bracketed(mixed)).alias("members"))
+
+
+# ---------------------------------------------------------------- sampling
+
+@query("sample_blocks")
+def q_sample_blocks(spark, sf_dir):
+    return sampling.sample_rows(fx.doc_blocks(spark, sf_dir), 100, seed=1).select("cluster_id", "cluster_size")
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    return sampling.stratified_sample(run_frame_a(spark, sf_dir), "one_item", 25, seed=128).select("cluster_id", "one_item")
+
+
+@query("shuffled_shards")
+def q_shuffled_shards(spark, sf_dir):
+    return sampling.shuffled_shards(fx.doc_blocks(spark, sf_dir), 50_000, seed=42).select("cluster_id", "shard_id")
+
+
+# --------------------------------------------------------------- resolvers
+
+def edge_surface(spark, sf_dir):
+    st = edge_stage(spark, sf_dir)
+    return st, resolvers.surface_groups(st["members"].withColumnRenamed("signature", "member"), "member", "freq")
+
+
+@query("surface_groups")
+def q_surface_groups(spark, sf_dir):
+    _, g = edge_surface(spark, sf_dir)
+    return g.select("cluster_id", "key", F.to_json("group").alias("group"))
+
+
+@query("choose_representative")
+def q_choose_representative(spark, sf_dir):
+    _, g = edge_surface(spark, sf_dir)
+    return g.select("cluster_id", "key", "representative")
+
+
+@query("wrap_payload")
+def q_wrap_payload(spark, sf_dir):
+    _, g = edge_surface(spark, sf_dir)
+    return resolvers.marked_payload(g)
+
+
+def locally_resolved(spark, sf_dir):
+    st, g = edge_surface(spark, sf_dir)
+    validated = edges.validate_outputs(resolvers.marked_payload(g), st["blocks"])
+    mapping = edges.merge_mapping(edges.extract_mapping(validated))
+    return edges.apply_edge_mapping(st["kg"], mapping)
+
+
+@query("resolve_edges")
+def q_resolve_edges(spark, sf_dir):
+    return edges.compression_stats(locally_resolved(spark, sf_dir))
+
+
+@query("similarity_groups")
+def q_similarity_groups(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    blocks, _, _ = blocking.multisect_kmeans(v, max_cluster_size=30, k_split=10)
+    members = blocks_ops.explode_blocks(blocks).join(v.select(F.col("id").alias("member"), "embedding"), "member")
+    return resolvers.similarity_groups(members, tau=0.5)
+
+
+@query("entity_mapping")
+def q_entity_mapping(spark, sf_dir):
+    return resolvers.duplicate_mapping(fx.texts(spark, sf_dir), "doc_id", "text")
+
+
+@query("collapse_entities")
+def q_collapse_entities(spark, sf_dir):
+    mapping = resolvers.duplicate_mapping(fx.texts(spark, sf_dir), "doc_id", "text")
+    return resolvers.collapse_entities(fx.doc_triples(spark, sf_dir), mapping)
+
+
+# ------------------------------------------------- embeddings, type choice
+
+@query("hash_embed")
+def q_hash_embed(spark, sf_dir):
+    e = embed.hash_embed(fx.texts(spark, sf_dir), "doc_id", "text")
+    return e.select("id", F.size("embedding").cast("bigint").alias("dims"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"))
+
+
+@query("resolve_types")
+def q_resolve_types(spark, sf_dir):
+    return types.resolve_types(ranked_vectors(spark, sf_dir), tau=0.3)
+
+
+@query("cosine_pairs")
+def q_cosine_pairs(spark, sf_dir):
+    seeds, rest = seed_and_query_vectors(spark, sf_dir)
+    t = types.topk_similar_types(rest, seeds, k=1)
+    return t.select("query_id", "ref_id", F.round("cosine", 6).alias("cosine"))

@@ -205,8 +205,8 @@ SELECT signature, representative FROM (
     row_number() OVER (PARTITION BY signature ORDER BY response_order DESC, group_pos DESC, member_pos DESC) AS rn
   FROM mapping_long) x WHERE rn = 1"""
 
-_sp = "coalesce(m.representative, k.key)"
-FIXTURE_SQL["applied"] = f"""
+def _applied_sql(mapping: str) -> str:
+    return f"""
 SELECT row_id, mapped_source_type, interaction, mapped_target_type,
   CASE WHEN ok AND psrc = mapped_source_type AND ptgt = mapped_target_type THEN pedge ELSE interaction END AS mapped_edge
 FROM (
@@ -214,12 +214,15 @@ FROM (
     trim(substr(split_part(mp, ']', 1), 2), ' ') AS psrc,
     trim(substr(split_part(mp, '[', 3), 1, greatest(length(split_part(mp, '[', 3)) - 1, 0)), ' ') AS ptgt,
     trim(split_part(split_part(mp, ']', 2), '[', 1), ' ') AS pedge
-  FROM (SELECT k.*, {_sp} AS mp FROM (
+  FROM (SELECT k.*, coalesce(m.representative, k.key) AS mp FROM (
           SELECT *, '[' || mapped_source_type || '] ' || trim(interaction, '*: ') || ' [' || mapped_target_type || ']' AS key
           FROM remap) k
-        LEFT JOIN mapping m ON m.signature = k.key) j
+        LEFT JOIN {mapping} m ON m.signature = k.key) j
 ) p"""
 
+
+FIXTURE_SQL["applied"] = _applied_sql("mapping")
+
 DEPS.update({
     "parsed": ["resp", "blocks"], "valued": ["parsed"], "grouped": ["valued"], "validated": ["grouped"],
     "statused": ["validated"], "mapping_long": ["statused"], "mapping": ["mapping_long"],
@@ -586,3 +589,102 @@ SELECT cluster_id, CAST(to_json({{'messages': [{{'role': 'system', 'content': {_
   {{'role': 'user', 'content': {_kj('cluster_id', 'member_ids')}}},
   {{'role': 'assistant', 'content': {_kj('cluster_id', 'restored')}}}]}}) AS VARCHAR) AS example
 FROM restored""")
+
+
+# ------------------------------------------------------- payload functions
+
+def _groups_from_text(sval: str) -> str:
+    """List-literal JSON text -> VARCHAR[][] (flat lists read as characters)."""
+    return f"""CASE WHEN json_valid({sval}) THEN (CASE WHEN json_type({sval}) = 'ARRAY' THEN (
+    CASE WHEN json_array_length({sval}) = 0 THEN []::VARCHAR[][]
+         WHEN list_bool_and(list_transform(json_extract({sval}, '$[*]'), lambda e: json_type(e) = 'ARRAY'))
+           THEN json_transform({sval}, '[["VARCHAR"]]')
+         WHEN list_bool_and(list_transform(json_extract({sval}, '$[*]'), lambda e: json_type(e) = 'VARCHAR'))
+           THEN list_transform(json_transform({sval}, '["VARCHAR"]'), lambda x: string_split(x, ''))
+    END) END) END"""
+
+
+FIXTURE_SQL["payload"] = """
+SELECT id, output_string, obj,
+  CASE WHEN obj THEN json_extract(output_string, '$."' || json_keys(output_string)[1] || '"') END AS raw
+FROM (SELECT id, output_string, coalesce(CASE WHEN json_valid(output_string)
+        THEN json_type(output_string) = 'OBJECT' AND rtrim(output_string) LIKE '%}' END, false) AS obj FROM resp) x"""
+FIXTURE_SQL["payload_text"] = """
+SELECT *, CASE WHEN json_type(raw) = 'VARCHAR' THEN json_extract_string(raw, '$') ELSE CAST(raw AS VARCHAR) END AS fv
+FROM payload"""
+DEPS.update({"payload": ["resp"], "payload_text": ["payload"]})
+
+oracle("strip_markers", "kg")("SELECT row_id, interaction, trim(interaction, '*: ') AS stripped FROM kg")
+oracle("parse_payload", "payload_text")("""
+SELECT id, obj AS is_object, CASE WHEN obj THEN CAST(len(json_keys(output_string)) AS BIGINT) ELSE -1 END AS n_keys,
+  fv AS first_value FROM payload_text""")
+oracle("parse_groups", "payload_text")(
+    f"SELECT id, CAST(to_json({_groups_from_text('fv')}) AS VARCHAR) AS groups FROM payload_text")
+oracle("safe_extract", "frame_a")("SELECT cluster_id, CAST(to_json(groups) AS VARCHAR) AS extracted FROM frame_a")
+oracle("flatten_bracketed", "routs")(
+    "SELECT cluster_id, CAST(to_json(list_concat(flatten(groups), groups[1])) AS VARCHAR) AS members FROM routs")
+
+
+# ------------------------------------------------------------------ resolvers
+
+def _surface_key(m: str) -> str:
+    head = f"regexp_extract({m}, '^(\\[[^\\]]*\\])', 1)"
+    tail = f"regexp_extract({m}, '(\\[[^\\]]*\\])$', 1)"
+    body = f"substr({m}, length({head}) + 1, greatest(length({m}) - length({head}) - length({tail}), 0))"
+    norm = f"trim(regexp_replace(lower({body}), '[^0-9a-z]+', ' ', 'g'), ' ')"
+    fold = f"regexp_replace({norm}, '([a-z]{{2}}[a-rt-z])s\\b', '\\1', 'g')"
+    return f"{head} || '|' || {fold} || '|' || {tail}"
+
+
+FIXTURE_SQL["sgroups"] = f"""
+SELECT cluster_id, key, list(signature ORDER BY signature) AS grp,
+  arg_min(signature, rk) AS representative
+FROM (SELECT cluster_id, signature, {_surface_key('signature')} AS key,
+        row_number() OVER (PARTITION BY cluster_id, {_surface_key('signature')}
+                           ORDER BY freq DESC, length(signature) DESC, signature) AS rk
+      FROM blk) x
+GROUP BY cluster_id, key"""
+FIXTURE_SQL["smap"] = """
+SELECT g.signature, s.representative FROM (
+  SELECT cluster_id, key, unnest(grp) AS signature FROM sgroups) g
+JOIN sgroups s ON s.cluster_id = g.cluster_id AND s.key = g.key
+WHERE g.cluster_id IN (SELECT cluster_id FROM blocks WHERE cluster_size > 1)"""
+FIXTURE_SQL["sapplied"] = _applied_sql("smap")
+DEPS.update({"sgroups": ["blk"], "smap": ["sgroups", "blocks"], "sapplied": ["smap", "remap"]})
+
+oracle("surface_groups", "sgroups")(
+    "SELECT cluster_id, key, CAST(to_json(grp) AS VARCHAR) AS \"group\" FROM sgroups")
+oracle("choose_representative", "sgroups")("SELECT cluster_id, key, representative FROM sgroups")
+oracle("wrap_payload", "sgroups")("""
+SELECT CAST(cluster_id AS VARCHAR) AS id,
+  CAST(to_json(MAP([CAST(cluster_id AS VARCHAR)], [CAST(to_json(list(mg ORDER BY key)) AS VARCHAR)])) AS VARCHAR) AS output_string
+FROM (SELECT cluster_id, key, list_transform(grp, lambda m: CASE WHEN m = representative THEN '**' || m || '**' ELSE m END) AS mg
+      FROM sgroups) x GROUP BY cluster_id""")
+oracle("resolve_edges", "sapplied")("""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_edge <> interaction) AS n_changed,
+  count(DISTINCT interaction) AS n_edges_before, count(DISTINCT mapped_edge) AS n_edges_after,
+  count(DISTINCT interaction) - count(DISTINCT mapped_edge) AS reduction
+FROM sapplied""")
+
+FIXTURE_SQL["dkey"] = r"""
+SELECT doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS k FROM documents WHERE text IS NOT NULL"""
+FIXTURE_SQL["emap"] = """
+SELECT 'doc ' || CAST(d.doc_id AS VARCHAR) AS node_id, 'doc ' || CAST(r.rep AS VARCHAR) AS representative
+FROM dkey d JOIN (SELECT k, min(doc_id) AS rep FROM dkey GROUP BY k HAVING count(*) > 1) r ON d.k = r.k
+WHERE d.doc_id <> r.rep"""
+FIXTURE_SQL["dtriples"] = """
+SELECT 'doc ' || CAST(doc_id AS VARCHAR) AS source, 'written_in' AS relation, 'lang ' || lang AS target FROM documents
+UNION ALL SELECT 'doc ' || CAST(doc_id AS VARCHAR), 'from', source FROM documents"""
+DEPS.update({"emap": ["dkey"]})
+
+oracle("entity_mapping", "emap")("SELECT node_id, representative FROM emap")
+oracle("collapse_entities", "emap", "dtriples")("""
+SELECT coalesce(s.representative, t.source) AS source, t.relation, coalesce(g.representative, t.target) AS target,
+  count(*) AS weight
+FROM dtriples t LEFT JOIN emap s ON s.node_id = t.source LEFT JOIN emap g ON g.node_id = t.target
+GROUP BY ALL""")
+oracle("cosine_pairs", "vec")("""
+SELECT query_id, ref_id, round(cos, 6) AS cosine FROM (
+  SELECT q.id AS query_id, r.id AS ref_id, list_cosine_similarity(q.embedding, r.embedding) AS cos,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, r.embedding) DESC, r.id) AS rn
+  FROM vec q JOIN vec r ON q.rank > 30 AND r.rank <= 30) x WHERE rn = 1""")

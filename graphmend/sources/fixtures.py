@@ -301,3 +301,14 @@ def embedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("response"),
     )
     return v.select(F.to_json(rec).alias("value"))
+
+
+# ------------------------------------------------------------ document KG
+
+def doc_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small property graph over documents: language and source edges."""
+    d = load(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    node = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    lang = d.select(node.alias("source"), F.lit("written_in").alias("relation"), F.concat(F.lit("lang "), F.col("lang")).alias("target"))
+    src = d.select(node.alias("source"), F.lit("from").alias("relation"), F.col("source").alias("target"))
+    return lang.unionByName(src)
