@@ -8,6 +8,7 @@ rendered as JSON text so both engines compare scalars.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -668,3 +669,17 @@ def q_cosine_pairs(spark, sf_dir):
     seeds, rest = seed_and_query_vectors(spark, sf_dir)
     t = types.topk_similar_types(rest, seeds, k=1)
     return t.select("query_id", "ref_id", F.round("cosine", 6).alias("cosine"))
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    from graphmend.session import scratch_path
+    from graphmend.streaming import ingest
+
+    base = scratch_path(spark, "stream-ingest")
+    src, sink, ckpt = (os.path.join(base, p) for p in ("outputs", "parsed", "checkpoint"))
+    ingest.write_line_files(fx.completion_lines(edge_stage(spark, sf_dir)["resp"]), src)
+    parsed = ingest.stream_completions(spark, src, sink, ckpt)
+    return responses.completion_entries(parsed)

@@ -688,3 +688,7 @@ SELECT query_id, ref_id, round(cos, 6) AS cosine FROM (
   SELECT q.id AS query_id, r.id AS ref_id, list_cosine_similarity(q.embedding, r.embedding) AS cos,
     row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, r.embedding) DESC, r.id) AS rn
   FROM vec q JOIN vec r ON q.rank > 30 AND r.rank <= 30) x WHERE rn = 1""")
+
+# The stream must end with exactly what the batch reader ingests.
+oracle("stream_ingest", "centries")("""
+SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
