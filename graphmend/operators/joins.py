@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmend.session import cut_lineage
+
 # Lookup sides up to this many rows are broadcast (a few hundred MB of
 # short string keys at most); larger ones take the shuffled path.
 BROADCAST_ROWS = 2_000_000
@@ -39,15 +41,21 @@ def lookup_join(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
+    small_fits: bool | None = None,
 ) -> DataFrame:
     """Equi-join ``big`` with a lookup table unique on ``keys``.
 
     Broadcast when the lookup side is proven small; otherwise a shuffled
     join with hot keys of ``big`` salted over ``ceil(rows/rows_per_task)``
     buckets.  The hot-key table holds at most ``rows(big)/rows_per_task``
-    rows, so it is itself broadcast.
+    rows, so it is itself broadcast.  A derived lookup side is checkpointed
+    before its size check, so checking and joining read it once;
+    ``small_fits`` passes a check the caller already made.
     """
-    if bounded_rows(small, broadcast_rows):
+    if small_fits is None:
+        small = cut_lineage(small)
+        small_fits = bounded_rows(small, broadcast_rows)
+    if small_fits:
         return big.join(F.broadcast(small), keys, how)
 
     hot = (

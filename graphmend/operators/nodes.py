@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmend.functions.text import node_id
-from graphmend.operators.joins import assert_unique, lookup_join
+from graphmend.operators.joins import BROADCAST_ROWS, assert_unique, bounded_rows, lookup_join
+from graphmend.session import cut_lineage
 
 OTHER = "other"  # fixed value: parent type of every unmapped node type
 
@@ -24,12 +25,14 @@ def remap_types(
     ``type_map`` is ``(id, parent_node)``; types not in it map to
     ``default``.  A repeated ``id`` is an error, as a fan-out would be.
     """
+    type_map = cut_lineage(type_map.select("id", "parent_node"))
     if check_unique:
         assert_unique(type_map, ["id"], "type map")
+    fits = bounded_rows(type_map, BROADCAST_ROWS)  # one size check for both endpoint lookups
     src = type_map.select(F.col("id").alias("_st"), F.col("parent_node").alias("_sp"))
     tgt = type_map.select(F.col("id").alias("_tt"), F.col("parent_node").alias("_tp"))
-    out = lookup_join(kg.withColumn("_st", F.col(source_type)), src, ["_st"])
-    out = lookup_join(out.withColumn("_tt", F.col(target_type)), tgt, ["_tt"])
+    out = lookup_join(kg.withColumn("_st", F.col(source_type)), src, ["_st"], small_fits=fits)
+    out = lookup_join(out.withColumn("_tt", F.col(target_type)), tgt, ["_tt"], small_fits=fits)
     return (
         out.withColumn("mapped_source_type", F.coalesce("_sp", F.lit(default)))
         .withColumn("mapped_target_type", F.coalesce("_tp", F.lit(default)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from graphmend.functions import text as T
 from graphmend.operators.joins import lookup_join
 from graphmend.operators.similarity import _stack, _unit
+from graphmend.session import cut_lineage
 
 
 def surface_key(col) -> Column:
@@ -117,10 +118,14 @@ def collapse_entities(
     shuffle); the merge counts duplicates into ``weight`` with a partial
     aggregate, so a hot endpoint does not funnel into one task.
     """
+    from graphmend.operators.joins import BROADCAST_ROWS, bounded_rows
+
+    mapping = cut_lineage(mapping.select("node_id", "representative"))  # used twice: computed once
+    fits = bounded_rows(mapping, BROADCAST_ROWS)
     m_src = mapping.select(F.col("node_id").alias("_s"), F.col("representative").alias("_sr"))
     m_tgt = mapping.select(F.col("node_id").alias("_t"), F.col("representative").alias("_tr"))
-    out = lookup_join(triples.withColumn("_s", F.col(source)), m_src, ["_s"])
-    out = lookup_join(out.withColumn("_t", F.col(target)), m_tgt, ["_t"])
+    out = lookup_join(triples.withColumn("_s", F.col(source)), m_src, ["_s"], small_fits=fits)
+    out = lookup_join(out.withColumn("_t", F.col(target)), m_tgt, ["_t"], small_fits=fits)
     out = out.select(
         F.coalesce("_sr", source).alias(source), F.col(relation), F.coalesce("_tr", target).alias(target)
     )
@@ -138,7 +143,10 @@ def duplicate_mapping(docs: DataFrame, id_col: str, text_col: str, node_prefix:
     aggregate, so a text copied a million times collapses per task, and the
     join back is salted for such hot keys."""
     # The shuffle carries a 256-bit digest of the normalised text, not the text.
-    keyed = docs.select(F.col(id_col).alias("_id"), F.sha2(text_key(text_col), 256).alias("_k")).filter(F.col("_k").isNotNull())
+    # Texts are normalised and hashed once; (id, digest) is checkpointed.
+    keyed = cut_lineage(
+        docs.select(F.col(id_col).alias("_id"), F.sha2(text_key(text_col), 256).alias("_k")).filter(F.col("_k").isNotNull())
+    )
     reps = keyed.groupBy("_k").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
     m = lookup_join(keyed, reps.select("_k", "_rep"), ["_k"], how="inner").filter(F.col("_id") != F.col("_rep"))
     return m.select(

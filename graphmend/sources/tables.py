@@ -21,10 +21,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Key used to spread each table when its scan has too few splits.
+SPREAD_KEYS = {
+    "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "labels": "doc_id",
+    "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id",
+}
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition a scan that yields fewer splits than the cluster has cores.
+
+    A large input already has many splits and is returned unchanged (no
+    shuffle); a file stored as one row group would otherwise run all the
+    per-row work of the next stage in a single task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key and key in df.columns else df.repartition(target)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one driver table; optional column list prunes the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, SPREAD_KEYS.get(name))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
