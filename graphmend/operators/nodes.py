@@ -56,18 +56,18 @@ def build_nodes(
     """
     base = remapped.filter(F.col("source").isNotNull() & F.col("target").isNotNull())
 
-    def side(prefix: str, type_col: str, tag: int) -> DataFrame:
-        cols = [F.col(f"{prefix}_{d}").alias(d) for d in definitions]
-        return base.select(
+    def side(prefix: str, type_col: str, tag: int):
+        return F.struct(
             node_id(F.col(prefix), F.col(type_col)).alias("id"),
             F.col(prefix).alias("name"),
             F.col(type_col).alias("node_type"),
-            *cols,
+            *[F.col(f"{prefix}_{d}").alias(d) for d in definitions],
             F.lit(tag).alias("_side"),
             F.col(order_col).alias("_ord"),
         )
 
-    both = side("source", "mapped_source_type", 0).unionByName(side("target", "mapped_target_type", 1))
+    # Both endpoints of a triple come out of one pass over the table.
+    both = base.select(F.inline(F.array(side("source", "mapped_source_type", 0), side("target", "mapped_target_type", 1))))
     payload = F.struct("name", "node_type", *definitions)
     first = both.groupBy("id").agg(F.min_by(payload, F.struct("_side", "_ord")).alias("_n"))
     return first.select("id", "_n.*")

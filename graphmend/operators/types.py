@@ -60,14 +60,12 @@ CURATED_RENAMES = [
 
 
 def type_occurrences(kg: DataFrame, cols=("source_type", "target_type"), null_text: str | None = NULL_TEXT) -> DataFrame:
-    """One row per endpoint type occurrence (``type``); nulls become text."""
-    parts = []
-    for c in cols:
-        t = as_text(c, null_text) if null_text is not None else F.col(c)
-        parts.append(kg.select(t.alias("type")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """One row per endpoint type occurrence (``type``); nulls become text.
+
+    All endpoint columns come out of one pass (``explode`` of an array).
+    """
+    vals = [as_text(c, null_text) if null_text is not None else F.col(c) for c in cols]
+    out = kg.select(F.explode(F.array(*vals)).alias("type"))
     return out if null_text is not None else out.filter(F.col("type").isNotNull())
 
 
