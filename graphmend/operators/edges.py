@@ -187,3 +187,20 @@ def validation_report(validated: DataFrame) -> DataFrame:
     return validated.groupBy("status", "output_matches_input", "all_edges_same_type").agg(
         F.count("*").alias("n")
     )
+
+
+def contract_report(validated: DataFrame) -> DataFrame:
+    """Rules the resolver is asked to follow but the gate does not check.
+
+    Per response with readable groups: members repeated, block members left
+    out, groups without exactly one marked representative, singleton groups.
+    """
+    g = F.col("groups")
+    flat = F.transform(F.flatten(g), lambda m: T.strip_markers(m))
+    return validated.filter(F.col("list_ok")).select(
+        "id",
+        (F.size(flat) != F.size(F.array_distinct(flat))).alias("has_duplicates"),
+        F.size(F.filter("ids_in_cluster", lambda x: ~F.array_contains(flat, x))).cast("bigint").alias("n_omitted"),
+        F.forall(g, lambda grp: F.size(F.filter(grp, lambda m: T.is_representative(m))) == 1).alias("one_rep_per_group"),
+        F.size(F.filter(g, lambda grp: F.size(grp) == 1)).cast("bigint").alias("n_singleton_groups"),
+    )

@@ -683,3 +683,8 @@ def q_stream_ingest(spark, sf_dir):
     ingest.write_line_files(fx.completion_lines(edge_stage(spark, sf_dir)["resp"]), src)
     parsed = ingest.stream_completions(spark, src, sink, ckpt)
     return responses.completion_entries(parsed)
+
+
+@query("contract_report")
+def q_contract_report(spark, sf_dir):
+    return edges.contract_report(edge_stage(spark, sf_dir)["validated"])

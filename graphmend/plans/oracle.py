@@ -171,7 +171,7 @@ SELECT *, CASE WHEN is_str AND json_valid(sval) THEN (CASE WHEN json_type(sval)
 FROM valued"""
 
 FIXTURE_SQL["validated"] = f"""
-SELECT id, cluster_id, groups, output_parsed,
+SELECT id, cluster_id, groups, output_parsed, ids_in_cluster,
   groups IS NOT NULL AS list_ok,
   coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform(flatten(groups),
        lambda m: list_contains(ids_in_cluster, {_strip('m')}))), true) END, false) AS output_matches_input,
@@ -692,3 +692,12 @@ SELECT query_id, ref_id, round(cos, 6) AS cosine FROM (
 # The stream must end with exactly what the batch reader ingests.
 oracle("stream_ingest", "centries")("""
 SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
+
+oracle("contract_report", "statused")("""
+SELECT id,
+  len(flat) <> len(list_distinct(flat)) AS has_duplicates,
+  CAST(len(list_filter(ids_in_cluster, lambda x: NOT list_contains(flat, x))) AS BIGINT) AS n_omitted,
+  coalesce(list_bool_and(list_transform(groups, lambda g: len(list_filter(g, lambda m: contains(m, '**'))) = 1)), true)
+    AS one_rep_per_group,
+  CAST(len(list_filter(groups, lambda g: len(g) = 1)) AS BIGINT) AS n_singleton_groups
+FROM (SELECT *, list_transform(flatten(groups), lambda m: trim(m, '*: ')) AS flat FROM statused WHERE list_ok) x""")
