@@ -135,15 +135,6 @@ def parse_groups(text, lenient_flat: bool = True) -> Column:
     return F.coalesce(nested, F.when(F.forall(flat, lambda s: s.isNotNull()), chars))
 
 
-def is_json_string_value(payload_text, key_value) -> Column:
-    """True when the first value of the object was a JSON string, not a list."""
-    # from_json(map<string,string>) renders non-string values as JSON text;
-    # re-reading the first value as a struct tells a string from an array.
-    return F.rtrim(F.ltrim(key_value)).startswith("[") & ~F.coalesce(
-        F.from_json(payload_text, "map<string,array<string>>").isNotNull(), F.lit(False)
-    )
-
-
 def safe_extract(text) -> Column:
     """Two-level extract: object -> first value -> list literal; else the raw value.
 
@@ -192,5 +183,10 @@ def members_within(groups, block_members) -> Column:
 
 
 def word_token_count(text) -> Column:
-    """Token-count proxy: words plus single punctuation characters."""
-    return F.size(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"(\w+|[^\w\s])"), 1)).cast("bigint")
+    """Token-count proxy: words plus single punctuation characters.
+
+    Counted without building a token array: every word run becomes one
+    character, whitespace is dropped, and the remaining length is the count.
+    """
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.length(F.regexp_replace(F.regexp_replace(t, r"\w+", "x"), r"\s", "")).cast("bigint")

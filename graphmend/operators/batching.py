@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphmend.functions.text import word_token_count
 from graphmend.operators.ordinal import with_chunk
+from graphmend.session import cut_lineage
 
 TOKENS_PER_CALL = 8192  # fixed value: token cap of one embedding call
 PRICE_PER_M = 0.1  # fixed value: USD per million embedding tokens in the estimate
@@ -72,11 +73,12 @@ def token_batches(
     """
     if strict and oversized(counted, cap).limit(1).count():
         raise ValueError(f"an input exceeds {cap} tokens")
-    ok = counted.filter(F.col("n_tokens") <= cap)
+    cols = [id_col] + ([order_col] if order_col != id_col else [])
+    # Token counts are computed once (whole texts) and kept as a narrow table.
+    ok = cut_lineage(counted.filter(F.col("n_tokens") <= cap).select(*cols, "n_tokens"))
     n = ok.count()
     shards = max(1, -(-n // shard_rows))
-    cols = [id_col] + ([order_col] if order_col != id_col else [])
-    keyed = ok.select(*cols, "n_tokens", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"))
+    keyed = ok.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)))
     id_type = dict(keyed.dtypes)[id_col]
     packed = keyed.groupBy("shard").applyInPandas(
         _greedy(cap, order_col, id_col), f"{id_col} {id_type}, shard long, batch_in_shard long"
