@@ -124,3 +124,33 @@ def conversation_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     )
     msgs = F.transform("_m", lambda s: F.struct(s["role"].alias("role"), s["content"].alias("content")))
     return grouped.select(conv_col, F.to_json(F.struct(msgs.alias("messages"))).alias("example"))
+
+
+def _json_string(col) -> Column:
+    esc = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), esc, F.lit('"'))
+
+
+def pretty_payload(id_col, groups_col) -> Column:
+    """``{"<id>": [[...], ...]}`` indented by two spaces per level (second-pass format)."""
+    def group(g):
+        items = F.array_join(F.transform(g, lambda m: F.concat(F.lit("      "), _json_string(m))), ",\n")
+        return F.when(F.size(g) == 0, F.lit("    []")).otherwise(F.concat(F.lit("    [\n"), items, F.lit("\n    ]")))
+    gs = _c(groups_col)
+    body = F.when(F.size(gs) == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("[\n"), F.array_join(F.transform(gs, group), ",\n"), F.lit("\n  ]"))
+    )
+    return F.concat(F.lit("{\n  "), _json_string(_c(id_col).cast("string")), F.lit(": "), body, F.lit("\n}"))
+
+
+SECOND_PASS_GUIDE = (
+    "Each input lists a block id and the groups a first pass produced. Return corrected groups for the block "
+    "in the same JSON shape, with one representative per group wrapped in **."
+)
+
+
+def second_pass_requests(df: DataFrame, id_col: str, groups_col: str, options: dict | None = None) -> DataFrame:
+    """Judge/correction requests: system, guidance, pretty-printed groups."""
+    payload = pretty_payload(id_col, groups_col)
+    return completion_requests(df, id_col, payload, system_prompt=JUDGE_PROMPT,
+                               options=REASONING if options is None else options, few_shot=[SECOND_PASS_GUIDE])

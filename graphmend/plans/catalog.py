@@ -688,3 +688,9 @@ def q_stream_ingest(spark, sf_dir):
 @query("contract_report")
 def q_contract_report(spark, sf_dir):
     return edges.contract_report(edge_stage(spark, sf_dir)["validated"])
+
+
+@query("second_pass_requests")
+def q_second_pass_requests(spark, sf_dir):
+    r = restored(spark, sf_dir).select("cluster_id", "restored")
+    return requests.second_pass_requests(r, "cluster_id", "restored")

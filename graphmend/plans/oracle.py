@@ -701,3 +701,31 @@ SELECT id,
     AS one_rep_per_group,
   CAST(len(list_filter(groups, lambda g: len(g) = 1)) AS BIGINT) AS n_singleton_groups
 FROM (SELECT *, list_transform(flatten(groups), lambda m: trim(m, '*: ')) AS flat FROM statused WHERE list_ok) x""")
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _jstr(x: str) -> str:
+    return f"""'"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
+def _second_pass_sql() -> str:
+    from graphmend.operators.requests import JUDGE_PROMPT, SECOND_PASS_GUIDE
+
+    group = (f"CASE WHEN len(g) = 0 THEN '    []' ELSE '    [' || chr(10) || array_to_string(list_transform(g, "
+             f"lambda m: '      ' || {_jstr('m')}), ',' || chr(10)) || chr(10) || '    ]' END")
+    body = (f"CASE WHEN len(restored) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string(list_transform(restored, "
+            f"lambda g: {group}), ',' || chr(10)) || chr(10) || '  ]' END")
+    payload = f"'{{' || chr(10) || '  ' || {_jstr('CAST(cluster_id AS VARCHAR)')} || ': ' || {body} || chr(10) || '}}'"
+    return f"""
+SELECT CAST(cluster_id AS VARCHAR) AS custom_id, CAST(to_json({{'custom_id': CAST(cluster_id AS VARCHAR), 'method': 'POST',
+  'url': '/v1/chat/completions', 'body': {{'model': 'o3-mini', 'response_format': {{'type': 'json_object'}},
+  'messages': [{{'role': 'system', 'content': {_lit(JUDGE_PROMPT)}}}, {{'role': 'user', 'content': {_lit(SECOND_PASS_GUIDE)}}},
+               {{'role': 'user', 'content': {payload}}}],
+  'reasoning_effort': 'high'}}}}) AS VARCHAR) AS request
+FROM restored"""
+
+
+oracle("second_pass_requests", "restored")(_second_pass_sql())

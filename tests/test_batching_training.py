@@ -41,3 +41,15 @@ def test_restore_missing_keeps_order_and_duplicates(spark):
     df = spark.createDataFrame([(["a", "b", "c", "b", "d"], [["**a**", "c"]])], "inp array<string>, g array<array<string>>")
     out = df.select(training.restore_missing(F.col("inp"), F.col("g")).alias("r")).first()["r"]
     assert out == [["**a**", "c"], ["b"], ["b"], ["d"]]
+
+
+def test_pretty_payload_matches_indent2(spark):
+    import json
+
+    from graphmend.operators.requests import pretty_payload
+
+    rows = [(7, [["**a**", 'q"b'], ["c"]]), (8, []), (9, [[]])]
+    df = spark.createDataFrame(rows, "cid long, g array<array<string>>")
+    got = {r["cid"]: r["p"] for r in df.select("cid", pretty_payload("cid", "g").alias("p")).collect()}
+    for cid, g in rows:
+        assert got[cid] == json.dumps({str(cid): g}, indent=2, ensure_ascii=False)
