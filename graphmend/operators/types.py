@@ -170,36 +170,10 @@ def fold_rare_types(
 # ------------------------------------------------------ parallel type resolution
 
 def similarity_edges(vectors: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Pairs (child, parent) with cos >= tau where the parent ranks lower.
+    """Pairs (child, parent) with cos >= tau where the parent ranks lower."""
+    from graphmend.operators.similarity import ranked_pairs_above
 
-    Scored on Arrow batches against a broadcast, size-checked matrix of all
-    ranked vectors; only pairs above ``tau`` leave the task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from graphmend.operators.joins import bounded_rows
-    from graphmend.operators.similarity import BROADCAST_REFS, _stack, _unit
-
-    ref = vectors.select(F.col(id_col).alias("pid"), F.col("rank").alias("prank"), F.col(vec_col).alias("pvec"))
-    if not bounded_rows(ref, BROADCAST_REFS):
-        raise ValueError("type universe larger than the broadcast bound; block it first (multisect_kmeans)")
-    pdf = ref.toPandas()
-    spark = vectors.sparkSession
-    bc = spark.sparkContext.broadcast((pdf["pid"].tolist(), pdf["prank"].to_numpy(), _unit(_stack(pdf["pvec"]))))
-
-    def score(batches):
-        pids, pranks, mat = bc.value
-        for b in batches:
-            sims = np.nan_to_num(_unit(_stack(b["vec"])) @ mat.T, nan=-1.0)
-            rows = []
-            for i, (cid, crank) in enumerate(zip(b["cid"], b["crank"])):
-                js = np.nonzero((sims[i] >= tau) & (pranks < crank))[0]
-                rows.extend((cid, int(crank), pids[j], int(pranks[j]), float(sims[i, j])) for j in js)
-            yield pd.DataFrame(rows, columns=["child", "crank", "parent", "prank", "cosine"])
-
-    q = vectors.select(F.col(id_col).alias("cid"), F.col("rank").alias("crank"), F.col(vec_col).alias("vec"))
-    return q.mapInPandas(score, "child string, crank long, parent string, prank long, cosine double")
+    return ranked_pairs_above(vectors, tau, id_col, vec_col)
 
 
 def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS, max_rounds: int = 1000) -> DataFrame:

@@ -46,3 +46,15 @@ def test_fold_rare(spark):
     mapping = spark.createDataFrame([("big", "big"), ("small", "small")], "id string, parent_node string")
     out = {r["id"]: r["parent_node"] for r in types.fold_rare_types(nodes, mapping, "label", min_count=3).collect()}
     assert out == {"big": "big", "small": "other"}
+
+
+def test_resolve_types_cogroup_path(spark, monkeypatch):
+    from graphmend.operators import similarity
+
+    ranked = with_ordinal(fx.vectors(spark, SF01), [F.col("vec_id")], "rank")
+    a = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
+    monkeypatch.setattr(similarity, "BROADCAST_REFS", 0)
+    monkeypatch.setattr(similarity, "CHUNK_REFS", 90)
+    monkeypatch.setattr(similarity, "QUERY_BUCKET_ROWS", 120)
+    b = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
+    assert a == b
