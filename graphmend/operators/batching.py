@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphmend.functions.text import word_token_count
 from graphmend.operators.ordinal import with_chunk
-from graphmend.session import cut_lineage
+from graphmend.session import cut_lineage, ship_package
 
 TOKENS_PER_CALL = 8192  # fixed value: token cap of one embedding call
 PRICE_PER_M = 0.1  # fixed value: USD per million embedding tokens in the estimate
@@ -73,6 +73,7 @@ def token_batches(
     """
     if strict and oversized(counted, cap).limit(1).count():
         raise ValueError(f"an input exceeds {cap} tokens")
+    ship_package(counted.sparkSession)
     cols = [id_col] + ([order_col] if order_col != id_col else [])
     # Token counts are computed once (whole texts) and kept as a narrow table.
     ok = cut_lineage(counted.filter(F.col("n_tokens") <= cap).select(*cols, "n_tokens"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphmend.functions import text as T
 from graphmend.operators.joins import lookup_join
 from graphmend.operators.similarity import _stack, _unit
-from graphmend.session import cut_lineage
+from graphmend.session import cut_lineage, ship_package
 
 
 def surface_key(col) -> Column:
@@ -99,6 +99,7 @@ def similarity_groups(members: DataFrame, tau: float = 0.9, member: str = "membe
             roots.append(names[r])
         return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], member: names, "component": roots})
 
+    ship_package(members.sparkSession)
     return members.select("cluster_id", member, vec).groupBy("cluster_id").applyInPandas(
         comps, SIM_SCHEMA.replace("member", member)
     )

@@ -32,6 +32,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "graphm
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never ``localCheckpoint``."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``graphmend`` importable in executor Python workers (like ``--py-files``).
+
+    Arrow UDFs defined in this package are pickled by reference, so workers
+    must import it.  The package is zipped once per application and handed to
+    ``addPyFile``; Spark distributes it to every executor.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="graphmend-pyfiles-")
+    archive = shutil.make_archive(
+        os.path.join(staging, "graphmend"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="graphmend"
+    )
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
