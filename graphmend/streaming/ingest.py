@@ -29,7 +29,7 @@ def stream_completions(
     src_dir: str,
     sink_dir: str,
     checkpoint: str,
-    max_files_per_trigger: int = 1,
+    max_files_per_trigger: int = 64,
 ) -> DataFrame:
     """Ingest every new completion file under ``src_dir``; returns parsed lines so far."""
     stream = (
