@@ -26,9 +26,39 @@ def test_token_batches_greedy_and_shards(spark):
         used += t
         want[i] = b
     assert one == want
-    many = batching.token_batches(df, "doc_id", "doc_id", cap=8192, shard_rows=50)
-    sums = many.join(df, "doc_id").groupBy("batch_id").agg(F.sum("n_tokens").alias("t")).collect()
-    assert max(r["t"] for r in sums) <= 8192 and many.count() == 400
+    many = {r["doc_id"]: r["batch_id"] for r in batching.token_batches(df, "doc_id", "doc_id", cap=8192, shard_rows=50).collect()}
+    assert many == want
+
+
+def _sequential(toks, cap):
+    out, b, used = [], 0, 0
+    for t in toks:
+        if used + t > cap and used > 0:
+            b, used = b + 1, 0
+        used += t
+        out.append(b)
+    return out
+
+
+def test_token_batches_exact_across_segments(spark):
+    """Segments + pointer jumping give the sequential pass, empty items and a hot empty run included."""
+    rng = np.random.default_rng(7)
+    toks = rng.integers(0, 41, size=2500)
+    toks[-3:] = 0            # empties before the first item with tokens (pos order is reversed)
+    toks[900:1500] = 0       # one long empty run (hot key of the empty-item join)
+    order = np.arange(len(toks))[::-1]  # ordered by a column other than the id
+    rows = [(f"d{i}", int(order[i]), int(toks[i])) for i in range(len(toks))]
+    df = spark.createDataFrame(rows, "doc_id string, pos long, n_tokens long")
+    got = batching.token_batches(df, "doc_id", "pos", cap=100, shard_rows=1)  # 101-item segments, ~19 of them
+    by_pos = sorted(rows, key=lambda r: r[1])
+    want = dict(zip((r[0] for r in by_pos), _sequential([r[2] for r in by_pos], 100)))
+    res = got.collect()
+    assert len(res) == len(rows)
+    assert {r["doc_id"]: r["batch_id"] for r in res} == want
+    shards = {}
+    for r in res:
+        shards.setdefault(r["shard"], []).append(r["batch_in_shard"])
+    assert len(shards) > 10 and all(min(v) == 0 for v in shards.values())
 
 
 def test_request_shards(spark):
