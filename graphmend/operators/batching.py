@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmend.functions.text import word_token_count
@@ -63,9 +63,9 @@ def _segment_exits(cap: int):
     """Per segment: for each node a batch could start at on entering the segment, where
     its greedy chain enters the next segment and how many batches it starts meanwhile.
 
-    Rows of the segment come first (``_head`` false), then the next segment's items
-    whose in-segment token offset is below ``cap`` (every chain leaving the segment lands
-    among them).  ``to`` > 0 is that landing node, < 0 means the chain ends before any
+    Rows of the segment come first (``_head`` false), then the next segment's first
+    ``cap`` items, which hold every item whose in-segment token offset is below
+    ``cap`` (every chain leaving the segment lands among them).  ``to`` > 0 is that landing node, < 0 means the chain ends before any
     batch starts in the next segment (-first node of it), 0 means the data ends.
     """
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,10 +164,10 @@ def _exact_batches(ok: DataFrame, id_col: str, order: list, cap: int, seg_rows:
     items = cut_lineage(run)
     nz = items.filter(F.col("n_tokens") > 0).withColumn("seg", F.floor((F.col("_k") - 1) / F.lit(seg_rows)).cast("long"))
     n_seg = int(nz.agg(F.coalesce(F.max("seg"), F.lit(-1))).first()[0]) + 1
-    w = Window.partitionBy("seg").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # one segment each
-    local = nz.withColumn("_p", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    head = local.filter((F.col("_p") < cap) & (F.col("seg") > 0)).withColumn("seg", F.col("seg") - 1)
-    parts = local.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True)))
+    # Every item here has a token, so a segment's first ``cap`` tokens lie within its
+    # first ``cap`` items: the head is picked by position, with no window or sort.
+    head = nz.filter((F.pmod(F.col("_k") - 1, F.lit(seg_rows)) < cap) & (F.col("seg") > 0)).withColumn("seg", F.col("seg") - 1)
+    parts = nz.withColumn("_head", F.lit(False)).unionByName(head.withColumn("_head", F.lit(True)))
     jump = cut_lineage(
         parts.select("seg", "_k", "n_tokens", "_head").groupBy("seg")
         .applyInPandas(_segment_exits(cap), "node long, to long, cnt long")
