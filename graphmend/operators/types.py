@@ -167,6 +167,35 @@ def fold_rare_types(
     ).drop("_rare")
 
 
+# ------------------------------------------------------ decisions from a response table
+
+def decision_parent(content) -> F.Column:
+    """``map`` value of a decision text ``{"map": "<parent>"}`` (single quotes allowed); else null."""
+    c = F.col(content) if isinstance(content, str) else content
+    m = F.from_json(c, "map<string,string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    return F.when(F.rtrim(c).endswith(F.lit("}")), F.try_element_at(m, F.lit("map")))
+
+
+def decision_mapping(
+    decisions: DataFrame, base: DataFrame, content_col: str = "content", order_col: str | None = None
+) -> DataFrame:
+    """Type mapping (id, parent_node) from the resolver's answers, one per asked type.
+
+    ``base`` is the seeds' identity rows on a fresh start (``seed_parents``)
+    or the mapping so far on resume; its rows win, as the rank-ordered walk
+    skips types already mapped.  An answer that does not parse leaves its type
+    pending (``pending_types`` asks it again).  Repeated answers for a type
+    keep the first by ``order_col`` (else the smallest parent).  Types that
+    map to themselves become references (``parents_on_resume``).
+    """
+    parsed = decisions.select("id", decision_parent(content_col).alias("parent_node"), *([order_col] if order_col else []))
+    parsed = parsed.filter(F.col("parent_node").isNotNull())
+    pick = F.min_by("parent_node", order_col) if order_col else F.min("parent_node")
+    answered = parsed.groupBy("id").agg(pick.alias("parent_node"))
+    base = base.select("id", "parent_node")
+    return base.unionByName(answered.join(base.select("id"), "id", "left_anti"))
+
+
 # ------------------------------------------------------ parallel type resolution
 
 def similarity_edges(vectors: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:

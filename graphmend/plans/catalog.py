@@ -204,6 +204,28 @@ def q_type_prompts(spark, sf_dir):
     return types.type_prompts(topk, qrank)
 
 
+def type_decisions(spark, sf_dir, ranked=None):
+    """Resolver answers for the non-seed types (FIXTURES.md): even rank -> best seed, odd -> itself,
+    rank divisible by 7 -> unparseable text."""
+    rv = ranked if ranked is not None else ranked_vectors(spark, sf_dir)
+    seeds, rest = rv.filter(F.col("rank") <= types.N_SEEDS), rv.filter(F.col("rank") > types.N_SEEDS)
+    top1 = types.topk_similar_types(rest, seeds).filter(F.col("rank") == 1).select(F.col("query_id").alias("id"), "ref_id")
+    r = rest.select("id", "rank").join(top1, "id", "left")
+    content = (
+        F.when(F.col("rank") % 7 == 0, F.lit("not json"))
+        .when(F.col("rank") % 2 == 0, F.to_json(F.struct(F.col("ref_id").alias("map"))))
+        .otherwise(F.to_json(F.struct(F.col("id").alias("map"))))
+    )
+    return r.select("id", content.alias("content"))
+
+
+@query("type_decisions")
+def q_type_decisions(spark, sf_dir):
+    rv = ranked_vectors(spark, sf_dir)
+    seeds = types.seed_parents(rv.select(F.col("id").alias("type"), "rank"))
+    return types.decision_mapping(type_decisions(spark, sf_dir, rv), seeds)
+
+
 def identity_type_mapping(spark, sf_dir):
     u = types.type_universe(fx.kg(spark, sf_dir), null_text=None)
     return u.select(F.col("type").alias("id"), F.col("type").alias("parent_node"))

@@ -313,6 +313,15 @@ oracle("type_prompts", "topk")("""
 SELECT t.query_id, 'Input type: ' || t.query_id || '; Query index: ' || CAST(v.rank - 31 AS VARCHAR)
   || ';  Top 10 similar types: [' || string_agg('''' || t.ref_id || '''', ', ' ORDER BY t.rank) || ']' AS prompt
 FROM topk t JOIN vec v ON v.id = t.query_id GROUP BY t.query_id, v.rank""")
+FIXTURE_SQL["tdec"] = """
+SELECT v.id, CASE WHEN v.rank % 7 = 0 THEN 'not json'
+  WHEN v.rank % 2 = 0 THEN '{"map": "' || t.ref_id || '"}' ELSE '{"map": "' || v.id || '"}' END AS content
+FROM vec v LEFT JOIN topk t ON t.query_id = v.id AND t.rank = 1 WHERE v.rank > 30"""
+DEPS.update({"tdec": ["vec", "topk"]})
+oracle("type_decisions", "vec", "tdec")("""
+SELECT id, id AS parent_node FROM vec WHERE rank <= 30
+UNION ALL
+SELECT id, json_extract_string(content, '$.map') AS parent_node FROM tdec WHERE json_valid(content)""")
 oracle("curate_mapping", "curated")("SELECT id, parent_node FROM curated")
 oracle("label_remap", "lremap")("SELECT name, label, remapped_label FROM lremap")
 oracle("fold_rare_types", "lremap")("""

@@ -58,3 +58,24 @@ def test_resolve_types_cogroup_path(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_BUCKET_ROWS", 120)
     b = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
     assert a == b
+
+
+def test_decision_mapping_resume_and_pending(spark):
+    from graphmend.operators import types as T
+
+    base = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "a")], "id string, parent_node string")
+    dec = spark.createDataFrame(
+        [
+            ("c", '{"map": "b"}', 1),     # already mapped: the existing row wins
+            ("d", "{'map': 'a'}", 2),     # single quotes, as a literal eval reads them
+            ("e", '{"map": "e"}', 3),     # itself -> new reference
+            ("f", '{"map": "a"', 4),      # truncated -> pending
+            ("g", '{"map": "b"}', 6),
+            ("g", '{"map": "a"}', 5),     # repeated answer: first by order wins
+        ],
+        "id string, content string, seq int",
+    )
+    got = {r["id"]: r["parent_node"] for r in T.decision_mapping(dec, base, order_col="seq").collect()}
+    assert got == {"a": "a", "b": "b", "c": "a", "d": "a", "e": "e", "g": "a"}
+    pending = T.pending_types(spark.createDataFrame([("f",), ("g",)], "id string"), T.decision_mapping(dec, base))
+    assert [r["id"] for r in pending.collect()] == ["f"]
