@@ -7,6 +7,8 @@ library replaces; quirks that matter for equal results are noted inline.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,3 +192,53 @@ def word_token_count(text) -> Column:
     """
     t = F.coalesce(_c(text), F.lit(""))
     return F.length(F.regexp_replace(F.regexp_replace(t, r"\w+", "x"), r"\s", "")).cast("bigint")
+
+
+# fixed value: the split pattern of the cl100k_base byte-level BPE (as tiktoken publishes it)
+CL100K_PATTERN = (
+    r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+"""
+    r"""|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
+)
+
+_ENCODINGS: dict = {}
+
+
+def _bpe_encoding(rank_file: str, pat_str: str):
+    """tiktoken encoding from a rank file, built once per Python worker.
+
+    ``rank_file`` is a path every executor can read (shared storage), or the
+    name of a file shipped with ``SparkContext.addFile``.
+    """
+    key = (rank_file, pat_str)
+    if key not in _ENCODINGS:
+        import os
+
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        path = rank_file
+        if "://" not in path and not os.path.exists(path):
+            from pyspark import SparkFiles
+
+            path = SparkFiles.get(os.path.basename(rank_file))
+        ranks = load_tiktoken_bpe(path)
+        _ENCODINGS[key] = tiktoken.Encoding(name=os.path.basename(rank_file), pat_str=pat_str, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
+
+
+def bpe_token_count(text, rank_file: str, pat_str: str = CL100K_PATTERN) -> Column:
+    """Exact byte-level BPE token count of the whole text (null stays null).
+
+    Runs as an Arrow-batched pandas UDF: each batch is encoded with
+    ``encode_ordinary_batch``; the rank table is loaded once per worker.
+    """
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        enc = _bpe_encoding(rank_file, pat_str)
+        present = s.notna().to_numpy()
+        vals = np.zeros(len(s), dtype=np.int64)
+        if present.any():
+            vals[present] = [len(x) for x in enc.encode_ordinary_batch(s[present].tolist())]
+        return pd.Series(pd.arrays.IntegerArray(vals, ~present), index=s.index)
+
+    return count(_c(text))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmend.functions.text import word_token_count
+from graphmend.functions.text import bpe_token_count, word_token_count
 from graphmend.operators.joins import BROADCAST_ROWS, bounded_rows, lookup_join
 from graphmend.operators.ordinal import with_chunk, with_running_sum
 from graphmend.session import cut_lineage, ship_package
@@ -24,9 +24,14 @@ PRICE_PER_M = 0.1  # fixed value: USD per million embedding tokens in the estima
 SHARD_ROWS = 200_000  # items one greedy-packing task holds at most (plus a cap-token head)
 
 
-def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens`` (words + single punctuation marks, a tokenizer proxy)."""
-    return df.withColumn("n_tokens", word_token_count(text_col))
+def token_counts(df: DataFrame, text_col: str = "text", rank_file: str | None = None) -> DataFrame:
+    """Add ``n_tokens``: exact BPE counts with a tiktoken ``rank_file`` (e.g. the
+    cl100k_base ranks on shared storage), else words + single punctuation marks
+    (a JVM-side proxy, used where no rank file is at hand)."""
+    if rank_file is None:
+        return df.withColumn("n_tokens", word_token_count(text_col))
+    ship_package(df.sparkSession)
+    return df.withColumn("n_tokens", bpe_token_count(text_col, rank_file))
 
 
 def token_budget(counted: DataFrame, price_per_m: float = PRICE_PER_M) -> DataFrame:
