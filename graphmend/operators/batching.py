@@ -177,12 +177,19 @@ def _exact_batches(ok: DataFrame, id_col: str, order: list, cap: int, seg_rows:
         parts.select("seg", "_k", "n_tokens", "_head").groupBy("seg")
         .applyInPandas(_segment_exits(cap), "node long, to long, cnt long")
     )
+    def seg_of(c):
+        return F.floor((F.abs(c) - 1) / F.lit(seg_rows))
+
     entries = spark.createDataFrame([(1, 0)], "e long, off long")
     step = 1
     while step < n_seg:
+        # Entries of segments [0, step) give those of [step, 2*step).  A jump that stops
+        # short (the chain ends in the last segment) is kept only from the entry exactly
+        # ``step`` segments back, so every segment gets one entry.
         ahead = (
             entries.filter(F.col("e") > 0).join(jump, F.col("e") == F.col("node"))
-            .filter(F.col("to") != 0).select(F.col("to").alias("e"), (F.col("off") + F.col("cnt")).alias("off"))
+            .filter((F.col("to") != 0) & (seg_of(F.col("to")) == seg_of(F.col("e")) + step))
+            .select(F.col("to").alias("e"), (F.col("off") + F.col("cnt")).alias("off"))
         )
         entries = cut_lineage(entries.unionByName(ahead))
         step *= 2
@@ -195,9 +202,7 @@ def _exact_batches(ok: DataFrame, id_col: str, order: list, cap: int, seg_rows:
                     (F.col("a.cnt") + F.coalesce(F.col("b.cnt"), F.lit(0))).alias("cnt"),
                 )
             )
-    entries = entries.select(
-        F.floor((F.abs("e") - 1) / F.lit(seg_rows)).cast("long").alias("seg"), F.col("e").alias("_e"), F.col("off").alias("_off")
-    )
+    entries = entries.select(seg_of(F.col("e")).cast("long").alias("seg"), F.col("e").alias("_e"), F.col("off").alias("_off"))
     numbered = cut_lineage(
         lookup_join(nz.select(id_col, "_k", "n_tokens", "seg"), entries, ["seg"], "inner")
         .groupBy("seg")

@@ -103,3 +103,14 @@ def test_bpe_token_counts_from_rank_file(spark, tmp_path):
     want = {i: (None if t is None else len(enc.encode_ordinary(t))) for i, t in enumerate(texts)}
     assert got == want
     assert got[0] == 5 and got[3] == 3  # "the" + " cat" = 1 + 4; "the" + " the" = 1 + 2
+
+
+def test_token_batches_last_segment_without_a_start(spark):
+    """The last segment lies wholly inside a batch started before it (101-item segments;
+    3, 5 and 6 segments hit different pointer-jumping rounds), plus a random case."""
+    cases = [[1] * 210, [1] * 415, [1] * 520, [int(x) for x in np.random.default_rng(3).integers(1, 4, size=700)]]
+    for toks in cases:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(toks)], "doc_id long, n_tokens long")
+        res = batching.token_batches(df, "doc_id", "doc_id", cap=100, shard_rows=1).collect()
+        assert len(res) == len(toks)
+        assert {r["doc_id"]: r["batch_id"] for r in res} == dict(enumerate(_sequential(toks, 100)))
