@@ -14,6 +14,16 @@ def test_ordinal_is_global_row_number(spark):
     assert [rn for rn, _ in got] == list(range(1, 5001))
 
 
+def test_running_sum_is_global(spark):
+    from graphmend.operators.ordinal import with_running_sum
+
+    df = spark.range(0, 5000).select(
+        F.pmod(F.col("id") * 7919, F.lit(5003)).alias("v"), F.pmod(F.col("id"), F.lit(7)).alias("x")
+    ).repartition(13)
+    got = sorted((r["v"], r["x"], r["s"]) for r in with_running_sum(df, [F.col("v")], "x", "s", partitions=5).collect())
+    assert [s for _, _, s in got] == np.cumsum([x for _, x, _ in got]).tolist()
+
+
 def test_token_batches_greedy_and_shards(spark):
     rng = np.random.default_rng(1)
     toks = rng.integers(1, 3000, size=400)
