@@ -229,8 +229,8 @@ def _bpe_encoding(rank_file: str, pat_str: str):
 def bpe_token_count(text, rank_file: str, pat_str: str = CL100K_PATTERN) -> Column:
     """Exact byte-level BPE token count of the whole text (null stays null).
 
-    Runs as an Arrow-batched pandas UDF: each batch is encoded with
-    ``encode_ordinary_batch``; the rank table is loaded once per worker.
+    Runs as an Arrow-batched pandas UDF on the task's own core (Spark already
+    runs one Python worker per task); the rank table is loaded once per worker.
     """
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
@@ -238,7 +238,7 @@ def bpe_token_count(text, rank_file: str, pat_str: str = CL100K_PATTERN) -> Colu
         present = s.notna().to_numpy()
         vals = np.zeros(len(s), dtype=np.int64)
         if present.any():
-            vals[present] = [len(x) for x in enc.encode_ordinary_batch(s[present].tolist())]
+            vals[present] = [len(enc.encode_ordinary(x)) for x in s[present].tolist()]  # one core per task
         return pd.Series(pd.arrays.IntegerArray(vals, ~present), index=s.index)
 
     return count(_c(text))
