@@ -124,3 +124,11 @@ def test_token_batches_last_segment_without_a_start(spark):
         res = batching.token_batches(df, "doc_id", "doc_id", cap=100, shard_rows=1).collect()
         assert len(res) == len(toks)
         assert {r["doc_id"]: r["batch_id"] for r in res} == dict(enumerate(_sequential(toks, 100)))
+
+
+def test_exact_batches_plan_has_no_pair_joins(spark):
+    df = spark.createDataFrame([(i, (i % 5)) for i in range(400)], "doc_id long, n_tokens long")
+    out = batching.token_batches(df, "doc_id", "doc_id", cap=100, shard_rows=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert out.count() == 400
