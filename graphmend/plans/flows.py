@@ -130,8 +130,15 @@ def resolve_node_types(
     tau: float = 0.9,
     n_seeds: int = types.N_SEEDS,
     nodes_with_labels: DataFrame | None = None,
+    decisions: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Node-type resolution: frequency rank -> parents -> curated renames -> rare fold."""
+    """Node-type resolution: frequency rank -> parents -> curated renames -> rare fold.
+
+    Parents come from the threshold rule, or, given ``decisions`` (id, content)
+    answers of an external resolver, from those answers on top of the
+    ``n_seeds`` most frequent types; types without a usable answer are
+    returned as ``pending``.
+    """
     spark = kg.sparkSession
     st = lambda n, f: stage(spark, workdir, n, f)
     ranked = st("type_rank", lambda: types.type_frequency_rank(kg))
@@ -140,9 +147,15 @@ def resolve_node_types(
     else:
         vecs = vectors
     ranked_vecs = vecs.join(ranked.select(F.col("type").alias("id"), "rank"), "id")
-    raw = st("type_mapping_raw", lambda: types.resolve_types(ranked_vecs, tau=tau, n_seeds=n_seeds).select("id", "parent_node"))
+    out = {"rank": ranked}
+    if decisions is None:
+        raw = st("type_mapping_raw", lambda: types.resolve_types(ranked_vecs, tau=tau, n_seeds=n_seeds).select("id", "parent_node"))
+    else:
+        seeds = types.seed_parents(ranked.select("type", "rank"), n_seeds)
+        raw = st("type_mapping_raw", lambda: types.decision_mapping(decisions, seeds))
+        out["pending"] = types.pending_types(ranked.select(F.col("type").alias("id")), raw)
     curated = st("type_mapping", lambda: types.curate_mapping(raw))
-    out = {"rank": ranked, "raw": raw, "mapping": curated}
+    out.update({"raw": raw, "mapping": curated})
     if nodes_with_labels is not None:
         out["mapping_folded"] = st("type_mapping_folded", lambda: types.fold_rare_types(nodes_with_labels, curated, "label"))
     return out

@@ -36,3 +36,18 @@ def test_entity_and_type_flows(spark):
     assert set(m) == {r["type"] for r in typ["rank"].collect()}
     parents = set(m.values())
     assert all(m.get(p, p) in parents for p in parents)
+
+
+def test_type_flow_from_decisions(spark):
+    work = tempfile.mkdtemp(prefix="graphmend-flow-", dir="/tmp")
+    kg = fx.kg(spark, SF001)
+    ranked = flows.types.type_frequency_rank(kg).collect()
+    first = ranked[0]["type"]
+    # every other non-seed type follows the most frequent type; the last answer is unusable
+    rows = [(r["type"], '{"map": "%s"}' % (first if i % 2 else r["type"])) for i, r in enumerate(ranked[3:-1])]
+    rows.append((ranked[-1]["type"], "not json"))
+    dec = spark.createDataFrame(rows, "id string, content string")
+    out = flows.resolve_node_types(kg, work, n_seeds=3, decisions=dec)
+    raw = {r["id"]: r["parent_node"] for r in out["raw"].collect()}
+    assert [r["id"] for r in out["pending"].collect()] == [ranked[-1]["type"]]
+    assert all(raw[r["type"]] == r["type"] for r in ranked[:3]) and len(raw) == len(ranked) - 1
