@@ -6,13 +6,24 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmend.llm import embedding_forest, simhash
+from graphmend.llm import embedding_forest, packing, piece_fst, simhash, token_files
+from graphmend.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file: below $PUBLIC_TOKENIZERS, else as installed."""
+    folder = os.environ.get("PUBLIC_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -22,9 +33,27 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, path, digest=True)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024,
+                                  end_id=2, with_ids=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup,
     op2_simhash_near_dedup,
+    op3_sentencepiece,
+    op5_token_files,
+    op7_best_fit_packing,
 )}
 
 ORACLE_SQL = {
