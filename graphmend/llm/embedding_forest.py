@@ -114,12 +114,16 @@ def _leaves(classes: DataFrame, trees: int, threshold: float) -> DataFrame:
             unit = _unit(_matrix(pdf["vec"]))
             cid = pdf["cid"].to_numpy()
             cell = pdf["cell"].to_numpy()
+            out = []
             for c in np.unique(cell):
                 rows = np.flatnonzero(cell == c)
                 first = pdf.iloc[rows[0]]
                 splits = {int(k): (lo, hi) for k, lo, hi in zip(first["codes"], first["low"], first["high"])}
                 for leaf, inside in route(int(c), splits, unit[rows]):
-                    yield pd.DataFrame({"cid": cid[rows[inside]], "cell": np.int64(leaf), "was": c})
+                    out.append((cid[rows[inside]], leaf, c))
+            n = [len(x) for x, _, _ in out]
+            yield pd.DataFrame({"cid": np.concatenate([x for x, _, _ in out]), "cell": np.repeat([x for _, x, _ in out], n),
+                                "was": np.repeat([x for _, _, x in out], n)})
 
     while True:
         if sizes is None:
