@@ -32,9 +32,11 @@ def _units(text: Column) -> Column:
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"[^ \t\x0B\f\r]"))
 
     def runs(p):
-        words = F.filter(F.split(p, _SPACE), lambda w: w != "")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (RUN - 1), F.lit(1))),
-                           lambda i: F.struct(F.lit(False).alias("whole"), F.xxhash64(F.slice(words, i, RUN)).alias("h")))
+        # An array of one word list, so that the words are a bound variable and split once.
+        words = F.array(F.filter(F.split(p, _SPACE), lambda w: w != ""))
+        return F.flatten(F.transform(words, lambda ws: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(ws) - (RUN - 1), F.lit(1))),
+            lambda i: F.struct(F.lit(False).alias("whole"), F.xxhash64(F.slice(ws, i, RUN)).alias("h")))))
 
     whole = F.transform(paragraphs, lambda p: F.struct(F.lit(True).alias("whole"), F.xxhash64(p).alias("h")))
     return F.concat(whole, F.flatten(F.transform(paragraphs, runs)))

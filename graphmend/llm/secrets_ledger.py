@@ -101,6 +101,16 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     return spans.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list(found)).alias("spans"))
 
 
+def _by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(blob, spans)`` of the blobs with findings; spans ``(start, kind_no, kind, end)`` in ascending order."""
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
+    hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("rule")]))
+    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("kind_no"),
+                                                  F.col("rule").alias("kind"), s["end"].alias("end")))
+    return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("spans"))
+
+
 def findings(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``(<id_col>, blob, spans)`` for every row of ``texts``: what the ledger holds of its blob.
@@ -109,15 +119,38 @@ def findings(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     Repeated rows and null ids stay; null texts are empty.  Other columns are
     not read.
     """
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("rule")]))
-    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("kind_no"),
-                                                  F.col("rule").alias("kind"), s["end"].alias("end")))
-    per = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("spans"))
     paths = texts.select(F.col(id_col), F.sha2(text_of(text_col), 256).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")
-    return paths.join(per, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
+    return paths.join(_by_blob(ledger, rules), "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
+
+
+def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]",
+           text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, each span (overlapping ones as one) replaced by ``mask``.
+
+    Texts without findings, null texts among them, stay as they are.
+    """
+    hits = _by_blob(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_blob", F.sha2(text_of(text_col), 256)).join(hits, "_blob", "left")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def merge(acc, s):
+        last = F.element_at(acc, -1)
+        apart = (F.size(acc) == 0) | (s["start"] >= F.get(acc, F.size(acc) - 1)["end"])
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        return F.when(apart, F.concat(acc, F.array(own))).otherwise(F.concat(
+            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
+            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))))
+
+    def between(s, i):
+        begin = F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0))
+        return F.substring(F.col(text_col), (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
+
+    merged = joined.withColumn("_spans", F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", empty, merge)))
+    tail = F.substring(F.col(text_col), (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length(text_col))
+    parts = F.concat(F.transform("_spans", between), F.array(tail))
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(parts, mask))
+    return merged.withColumn(text_col, text).select(*docs.columns)
 
 
 def span_text(spans: Column) -> Column:
