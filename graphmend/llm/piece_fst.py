@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmend.llm.common import bounded_batches, text_of
-from graphmend.llm.word_cache import WordCache, space_parts
+from graphmend.llm.word_cache import RAW, WordCache, space_parts
 
 META = "▁"
 # Field numbers and values of the public SentencePiece model format.
@@ -95,7 +95,7 @@ class PieceTransducer:
                        else p.replace(META, " ").encode() for p, k in zip(self.pieces, kinds)]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._limit = cache
-        self._words = WordCache(space_parts, lambda words: [self.word_ids(w) for w in words])
+        self._words = WordCache(space_parts, lambda p: array("I", self.word_ids(p[1:] if p[:1] == RAW else " " + p)).tobytes())
 
     # -- arcs -------------------------------------------------------------
     def _merge(self, text: str) -> list[str]:

@@ -3,24 +3,32 @@
 A text is cut where the tokenizer's own pre-splitting always cuts; each
 distinct part is encoded once by the library and remembered.  The cache keeps
 two generations of bounded size, so frequent parts stay and memory is bounded.
+
+Where spaces belong to the word after them, parts are written without it: a
+part ``w`` stands for ``" " + w`` and ``RAW + w`` for ``w`` itself.
 """
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 from array import array
 from collections.abc import Callable
 
 #: Parts kept in the young generation; the old one holds as many.
-CACHE = 250_000
+CACHE = 400_000
 #: Longer parts are encoded without being remembered.
 LONGEST = 80
 #: Texts above this many characters are cut into segments, so lists stay small.
 SEGMENT = 1 << 20
+RAW = "\x00"
 _SEGMENT_CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_BPE_PARTS = re.compile(r"\s+(?!\S)| ?\S+|\s")
 _SPACE_RUNS = re.compile(r" *[^ ]+| +")
-_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python, not to Unicode
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", RAW)  # white space to Python but not to Unicode, and the mark for raw parts
+#: A word and signs after it, which byte-level BPE always parts (an apostrophe may belong to the word).
+_WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?|*&%$#()\[\]\"]+)")
 
 
 def segments(text: str) -> list[str]:
@@ -37,7 +45,11 @@ def segments(text: str) -> list[str]:
 
 
 def _odd(text: str) -> bool:
-    return any(c in text for c in _ODD_SPACE)
+    return any(c in text for c in _ODD)
+
+
+def _marked(parts: list[str]) -> list[str]:
+    return [p[1:] if p[0] == " " else RAW + p for p in parts]
 
 
 def word_parts(text: str) -> list[str]:
@@ -49,86 +61,116 @@ def byte_bpe_parts(text: str) -> list[str]:
     """For byte-level BPE: words with the space before them, white space runs apart.
 
     Where all white space is single spaces and line breaks between words, cutting
-    before each space is the same and quicker.
+    at each space is the same and quicker.
     """
     if _odd(text):
-        return [text]
+        return [RAW + text]
     if len(text.split()) == text.count(" ") + text.count("\n") + 1:
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-    return _BYTE_BPE_PARTS.findall(text)
+        parts = text.split(" ")
+        parts[0] = RAW + parts[0]
+        return parts
+    return _marked(_BYTE_BPE_PARTS.findall(text))
 
 
 def space_parts(text: str) -> list[str]:
     """For piece models: runs of spaces with the word after them."""
+    if RAW in text:
+        return [RAW + text]
     if "  " in text or text[-1:] == " ":
-        return _SPACE_RUNS.findall(text)
+        return _marked(_SPACE_RUNS.findall(text))
     first, *rest = text.split(" ")
-    rest = [" " + w for w in rest]
-    return [first, *rest] if first else rest
+    return [RAW + first, *rest] if first else rest
 
 
-class WordCache:
-    """Maps texts to their ids as little-endian unsigned 32-bit bytes."""
+class WordCache(dict):
+    """Maps parts to their ids as little-endian unsigned 32-bit bytes, encoding each at first sight."""
 
-    def __init__(self, parts: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[list[int]]], limit: int = CACHE):
-        self.parts, self.encode_many, self.limit = parts, encode_many, limit
-        self.young: dict[str, bytes] = {}
+    def __init__(self, parts: Callable[[str], list[str]], encode_part: Callable[[str], bytes], limit: int = CACHE):
+        super().__init__()
+        self.parts, self.encode_part, self.limit = parts, encode_part, limit
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Make the young generation hold ``words``; returns those not to be kept."""
-        young, old, extra, need = self.young, self.old, {}, []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    need.append(w)
-        for i in range(0, len(need), 4096):
-            part = need[i:i + 4096]
-            for w, ids in zip(part, self.encode_many(part)):
-                (young if len(w) <= LONGEST else extra)[w] = array("I", ids).tobytes()
-        return extra
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encode_part(part)
+            if len(part) > LONGEST or "\n" in part:
+                return ids
+        self[part] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, in order."""
-        out = []
-        batch: list[list[list[str]]] = []
-        seen: set[str] = set()
-
-        def flush():
-            extra = self._learn(seen)
-            get = self.young.__getitem__ if not extra else (lambda w: self.young[w] if w in self.young else extra[w])
-            out.extend(b"".join([b"".join(map(get, seg)) for seg in doc]) for doc in batch)
-            if len(self.young) > self.limit:
-                self.young, self.old = {}, self.young
-            batch.clear()
-            seen.clear()
-
-        for t in texts:
-            doc = []
-            for s in segments(t) if len(t) > SEGMENT else (t,):
-                p = self.parts(s)
-                seen.update(p)
-                doc.append(p)
-            batch.append(doc)
-            if len(seen) > 60_000:
-                flush()
-        flush()
+        out, get = [], self.__getitem__
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and every collection would walk the cache
+        try:
+            for t in texts:
+                if len(t) > SEGMENT:
+                    out.append(b"".join([b"".join(map(get, self.parts(s))) for s in segments(t)]))
+                else:
+                    out.append(b"".join(map(get, self.parts(t))))
+                if len(self) > self.limit:
+                    self.old = dict(self)
+                    self.clear()
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
 
 def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
-    """A tokenizers file behind a ``WordCache``; special tokens in texts are ordinary text."""
-    import os
+    """A tokenizers file behind a ``WordCache``; special tokens in texts are ordinary text.
 
+    A part of letters only is one word to the pre-splitting, so it goes
+    straight to the library's model in the byte alphabet.  Words around line
+    breaks, and a word with signs after it, are parts of their own; all else
+    takes the library's whole way.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return WordCache(parts, lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+    model, spaced = tok.model, parts is not word_parts
+    tokenize = model.tokenize
+    model._resize_cache(0)  # every part is seen once here
+    normalise = tok.normalizer.normalize_str if tok.normalizer else None
+    letters = _byte_letters()
+    space, mark = letters[32], RAW if spaced else ""
+
+    def whole(raw: str) -> bytes:
+        return array("I", tok.encode(raw, add_special_tokens=False).ids).tobytes()
+
+    def one(part: str) -> bytes:
+        lead = spaced and part[:1] != RAW
+        word = part if lead or not spaced else part[1:]
+        if word.isalpha():
+            if normalise:
+                word = word.lower() if word.isascii() else normalise(word)
+                if not word.isalpha():
+                    return whole(word)
+            text = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+            return array("I", [t.id for t in tokenize(space + text if lead else text)]).tobytes()
+        if spaced and "\n" in word and len(word.split()) == word.count("\n") + 1:
+            first, *rest = word.split("\n")
+            line = cache.line
+            return cache[first if lead else RAW + first] + b"".join([line + cache[RAW + w] for w in rest])
+        m = _WORD_AND_SIGNS.fullmatch(word)
+        if m and m[1].isalpha():
+            return cache[part[:-len(m[2])]] + cache[mark + m[2]]
+        return whole(" " + word if lead else word)
+
+    cache = WordCache(parts, one)
+    cache.line = whole("\n")
+    return cache
+
+
+def _byte_letters() -> list[str]:
+    """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 _ENCODERS: dict[tuple, WordCache] = {}
