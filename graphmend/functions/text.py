@@ -7,8 +7,6 @@ library replaces; quirks that matter for equal results are noted inline.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +56,6 @@ def embedding_input(id_col, definition, null_text: str = NULL_TEXT) -> Column:
     return F.concat(as_text(id_col, null_text), F.lit(" : "), as_text(definition, null_text))
 
 
-def prompt_key(text) -> Column:
-    """Key of a block prompt: the text before the first ``:``."""
-    return F.substring_index(_c(text), ":", 1)
-
-
 # ---------------------------------------------------------------- signatures
 
 def count_char(col, ch: str) -> Column:
@@ -121,20 +114,59 @@ def first_value(payload_map) -> Column:
     return F.get(F.map_values(_c(payload_map)), 0)
 
 
+def _strict_list(text) -> Column:
+    """Text that is one list literal and nothing else, as plain JSON text; else null.
+
+    Single quotes are allowed; text after the closing bracket, a missing
+    bracket and a trailing comma are not (a trailing comma is the one valid
+    list literal that is refused: such a response goes to rerun).
+    """
+    t = F.btrim(_c(text))
+    wrapped = F.map_values(F.from_json(F.concat(F.lit('{"k":'), t, F.lit("}")), PAYLOAD_TYPE))
+    return F.when(t.startswith("[") & t.endswith("]") & (F.size(wrapped) == 1), F.get(wrapped, 0))
+
+
+def _is_array(variant) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).startswith("ARRAY"), F.lit(False))
+
+
+def is_list_member(member) -> Column:
+    """Whether a group member was a list itself (kept as its JSON text)."""
+    return _is_array(F.try_parse_json(_c(member)))
+
+
+def leaf_members(members) -> Column:
+    """All strings of a member array, lists nested to any depth flattened (C17).
+
+    A list member is JSON text, so its strings are its string literals.
+    """
+    def leaves(m):
+        literals = F.regexp_extract_all(m, F.lit(r'"(?:[^"\\\\]|\\\\.)*"'), F.lit(0))
+        inner = F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
+        return F.when(is_list_member(m), inner).otherwise(F.array(m))
+    return F.flatten(F.transform(_c(members), leaves))
+
+
 def parse_groups(text, lenient_flat: bool = True) -> Column:
     """List-literal text -> ``array<array<string>>`` (single quotes allowed).
 
-    A flat list of strings is read the way a nested loop over it reads it:
-    each string becomes its list of characters (so it carries no marker and
-    fails the representative check).  Anything else -> null.
+    The text must be the list and nothing else.  A member that is a list
+    again stays as its JSON text (see ``is_list_member``).  A string in place
+    of a group is read the way a nested loop reads it: it becomes its list of
+    characters (so it carries no marker and fails the representative check).
+    Anything else -> null.
     """
-    t = _c(text)
-    nested = F.from_json(t, GROUPS_TYPE)
-    if not lenient_flat:
-        return nested
-    flat = F.from_json(t, "array<string>")
-    chars = F.transform(flat, lambda s: F.split(s, ""))
-    return F.coalesce(nested, F.when(F.forall(flat, lambda s: s.isNotNull()), chars))
+    groups = F.try_variant_get(F.try_parse_json(_strict_list(text)), "$", "array<variant>")
+
+    def members(g):
+        return F.when(_is_array(g), F.transform(F.try_variant_get(g, "$", "array<variant>"),
+                                                lambda m: F.try_variant_get(m, "$", "string")))
+
+    def chars(g):
+        return F.when(F.schema_of_variant(g) == "STRING", F.split(F.try_variant_get(g, "$", "string"), ""))
+
+    read = F.transform(groups, lambda g: F.coalesce(members(g), chars(g)) if lenient_flat else members(g))
+    return F.when(F.forall(read, lambda g: g.isNotNull()), read)
 
 
 def safe_extract(text) -> Column:
@@ -165,8 +197,8 @@ def multi_member_groups(groups) -> Column:
 
 
 def groups_have_representative(groups) -> Column:
-    """Every group holds a marked member (empty list of groups passes)."""
-    return F.forall(_c(groups), lambda g: F.exists(g, lambda m: is_representative(m)))
+    """Every group holds a marked member that is not a list (empty list of groups passes)."""
+    return F.forall(_c(groups), lambda g: F.exists(g, lambda m: is_representative(m) & ~is_list_member(m)))
 
 
 def groups_single_typed(groups) -> Column:
@@ -180,8 +212,8 @@ def groups_single_typed(groups) -> Column:
 
 
 def members_within(groups, block_members) -> Column:
-    """Every output member (markers trimmed) is one of the block's members."""
-    return F.forall(F.flatten(_c(groups)), lambda m: F.array_contains(_c(block_members), strip_markers(m)))
+    """Every output member (nested lists flattened, markers trimmed) is one of the block's members."""
+    return F.forall(leaf_members(flatten_members(groups)), lambda m: F.array_contains(_c(block_members), strip_markers(m)))
 
 
 def word_token_count(text) -> Column:
@@ -192,53 +224,3 @@ def word_token_count(text) -> Column:
     """
     t = F.coalesce(_c(text), F.lit(""))
     return F.length(F.regexp_replace(F.regexp_replace(t, r"\w+", "x"), r"\s", "")).cast("bigint")
-
-
-# fixed value: the split pattern of the cl100k_base byte-level BPE (as tiktoken publishes it)
-CL100K_PATTERN = (
-    r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+"""
-    r"""|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
-)
-
-_ENCODINGS: dict = {}
-
-
-def _bpe_encoding(rank_file: str, pat_str: str):
-    """tiktoken encoding from a rank file, built once per Python worker.
-
-    ``rank_file`` is a path every executor can read (shared storage), or the
-    name of a file shipped with ``SparkContext.addFile``.
-    """
-    key = (rank_file, pat_str)
-    if key not in _ENCODINGS:
-        import os
-
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-
-        path = rank_file
-        if "://" not in path and not os.path.exists(path):
-            from pyspark import SparkFiles
-
-            path = SparkFiles.get(os.path.basename(rank_file))
-        ranks = load_tiktoken_bpe(path)
-        _ENCODINGS[key] = tiktoken.Encoding(name=os.path.basename(rank_file), pat_str=pat_str, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[key]
-
-
-def bpe_token_count(text, rank_file: str, pat_str: str = CL100K_PATTERN) -> Column:
-    """Exact byte-level BPE token count of the whole text (null stays null).
-
-    Runs as an Arrow-batched pandas UDF on the task's own core (Spark already
-    runs one Python worker per task); the rank table is loaded once per worker.
-    """
-    @F.pandas_udf("long")
-    def count(s: pd.Series) -> pd.Series:
-        enc = _bpe_encoding(rank_file, pat_str)
-        present = s.notna().to_numpy()
-        vals = np.zeros(len(s), dtype=np.int64)
-        if present.any():
-            vals[present] = [len(enc.encode_ordinary(x)) for x in s[present].tolist()]  # one core per task
-        return pd.Series(pd.arrays.IntegerArray(vals, ~present), index=s.index)
-
-    return count(_c(text))

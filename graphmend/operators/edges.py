@@ -25,8 +25,12 @@ STATUS_NO_LIST = "no_list"  # first value does not read as a list of groups
 STATUS_NO_REP = "no_representative"  # some group has no marked member
 
 
-def edge_signatures(remapped: DataFrame, strip: bool = True, null_text: str = T.NULL_TEXT) -> DataFrame:
-    """Distinct directional signatures ``[src] edge [tgt]`` with their frequency."""
+def edge_signatures(remapped: DataFrame, strip: bool = False, null_text: str = T.NULL_TEXT) -> DataFrame:
+    """Distinct directional signatures ``[src] edge [tgt]`` with their frequency.
+
+    ``strip`` trims markers and blanks off the edge text first, so decorated
+    spellings of one edge count together.
+    """
     sig = T.edge_signature("mapped_source_type", "interaction", "mapped_target_type", null_text, strip)
     return remapped.groupBy(sig.alias("signature")).agg(F.count("*").alias("freq"))
 
@@ -104,18 +108,19 @@ def extract_mapping(validated: DataFrame, order_col: str = "id_order") -> DataFr
     """Long mapping rows: every member of a marked group -> its representative.
 
     The representative is the first member containing the marker (trimmed);
-    groups that are empty or unmarked give nothing.  ``ord`` is (response
+    groups that are empty or unmarked give nothing, nor do members that are
+    lists themselves.  ``ord`` is (response
     order, group position, member position) for last-wins merging.
     """
     src = accepted(validated)
     if order_col not in src.columns:
         src = src.withColumn(order_col, F.col("id").cast("bigint"))
     grp = src.select(order_col, "id", F.posexplode("groups").alias("group_pos", "grp"))
-    rep = T.strip_markers(F.try_element_at(F.filter("grp", lambda m: T.is_representative(m)), F.lit(1)))
+    rep = T.strip_markers(F.try_element_at(F.filter("grp", lambda m: T.is_representative(m) & ~T.is_list_member(m)), F.lit(1)))
     grp = grp.withColumn("representative", F.when(F.size("grp") > 0, rep)).filter(F.col("representative").isNotNull())
     mem = grp.select(
         order_col, "id", "group_pos", F.posexplode("grp").alias("member_pos", "member"), "representative"
-    )
+    ).filter(~T.is_list_member("member"))
     return mem.select(
         "id",
         F.col(order_col).alias("response_order"),

@@ -52,6 +52,9 @@ SELECT cluster_id, CAST(cluster_id AS VARCHAR) AS id, CASE CAST(cluster_id % 10
  WHEN 4 THEN '{"' || CAST(cluster_id AS VARCHAR) || '": "' || replace('[' || replace(gs, '], [', ', ') || ']', '"', '\\"') || '"}'
  WHEN 5 THEN '[1, 2]'
  WHEN 6 THEN '{"' || CAST(cluster_id AS VARCHAR) || '": "[\\"a\\", \\"b\\"]"}'
+ WHEN 8 THEN '{"' || CAST(cluster_id AS VARCHAR) || '": "' || replace(CASE WHEN cluster_id % 20 = 8 THEN '[[' || gs || ']]'
+   ELSE '[' || gs || ', ["**[gene] kept [gene]**", ["[gene] nested [gene]"]]]' END, '"', '\\"') || '"}'
+ WHEN 9 THEN '{"' || CAST(cluster_id AS VARCHAR) || '": "' || replace('[' || gs || ']' || CASE WHEN cluster_id % 20 = 9 THEN ' as asked' ELSE '' END, '"', '\\"') || '"}'
  ELSE '{"' || CAST(cluster_id AS VARCHAR) || '": "' || replace('[' || gs || ']', '"', '\\"') || '"}' END AS output_string
 FROM (SELECT cluster_id, string_agg(gj, ', ' ORDER BY gkey) AS gs FROM grp WHERE cluster_id % 10 <> 7 OR n > 1
   GROUP BY cluster_id) g""",
@@ -170,13 +173,24 @@ SELECT *, CASE WHEN is_str AND json_valid(sval) THEN (CASE WHEN json_type(sval)
     END) END) END AS groups
 FROM valued"""
 
+
+def _is_list(m: str) -> str:
+    """A group member that was a list itself."""
+    return f"coalesce(CASE WHEN json_valid({m}) THEN json_type({m}) = 'ARRAY' END, false)"
+
+
+def _leaves(members: str) -> str:
+    """Members with lists among them flattened (the fixture nests one level)."""
+    return (f"flatten(list_transform({members}, lambda m: CASE WHEN {_is_list('m')} "
+            f"THEN json_transform(m, '[\"VARCHAR\"]') ELSE [m] END))")
+
 FIXTURE_SQL["validated"] = f"""
 SELECT id, cluster_id, groups, output_parsed, ids_in_cluster,
   groups IS NOT NULL AS list_ok,
-  coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform(flatten(groups),
+  coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform({_leaves('flatten(groups)')},
        lambda m: list_contains(ids_in_cluster, {_strip('m')}))), true) END, false) AS output_matches_input,
   coalesce(CASE WHEN groups IS NOT NULL THEN coalesce(list_bool_and(list_transform(groups,
-       lambda g: coalesce(list_bool_or(list_transform(g, lambda m: contains(m, '**'))), false))), true) END, false)
+       lambda g: coalesce(list_bool_or(list_transform(g, lambda m: contains(m, '**') AND NOT {_is_list('m')})), false))), true) END, false)
        AS representative_in_list,
   coalesce(CASE WHEN groups IS NOT NULL THEN {_single_typed('groups')} END, false) AS all_edges_same_type,
   coalesce(CAST(len(groups) AS BIGINT), -1) AS n_groups
@@ -193,11 +207,11 @@ FROM (
   SELECT id, response_order, group_pos, grp, representative, unnest(range(1, len(grp) + 1)) AS j
   FROM (
     SELECT id, response_order, i - 1 AS group_pos, groups[i] AS grp,
-           {_strip("list_filter(groups[i], lambda m: contains(m, '**'))[1]")} AS representative
+           {_strip("list_filter(groups[i], lambda m: contains(m, '**') AND NOT " + _is_list('m') + ")[1]")} AS representative
     FROM (SELECT id, CAST(id AS BIGINT) AS response_order, groups, unnest(range(1, len(groups) + 1)) AS i
           FROM statused WHERE status = 'ok') a
   ) b WHERE representative IS NOT NULL
-) c"""
+) c WHERE NOT {_is_list('grp[j]')}"""
 
 FIXTURE_SQL["mapping"] = """
 SELECT signature, representative FROM (
@@ -641,8 +655,10 @@ def _surface_key(m: str) -> str:
     head = f"regexp_extract({m}, '^(\\[[^\\]]*\\])', 1)"
     tail = f"regexp_extract({m}, '(\\[[^\\]]*\\])$', 1)"
     body = f"substr({m}, length({head}) + 1, greatest(length({m}) - length({head}) - length({tail}), 0))"
-    norm = f"trim(regexp_replace(lower({body}), '[^0-9a-z]+', ' ', 'g'), ' ')"
+    norm = f"trim(regexp_replace(lower({body}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' ')"
     fold = f"regexp_replace({norm}, '([a-z]{{2}}[a-rt-z])s\\b', '\\1', 'g')"
+    sign = f"regexp_extract({body}, '([+-]+)\\s*$', 1)"
+    fold = f"(CASE WHEN {norm} = '' THEN '=' || {body} ELSE {fold} || {sign} END)"
     return f"{head} || '|' || {fold} || '|' || {tail}"
 
 

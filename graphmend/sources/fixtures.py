@@ -199,7 +199,8 @@ def edge_responses(members: DataFrame) -> DataFrame:
 
     0 truncated JSON; 1 no marker; 2 native array value; 3 invented member;
     4 all groups merged; 5 JSON array instead of object; 6 flat list;
-    7 singletons omitted; 8, 9 clean.  Groups = same case-folded signature
+    7 singletons omitted; 8 lists nested too deep (every other block: one
+    nested member); 9 text after the list (every other block: clean).  Groups = same case-folded signature
     with a trailing plural ``s`` removed; the smallest member is marked.
     """
     from pyspark.sql import Window
@@ -226,7 +227,7 @@ def edge_responses(members: DataFrame) -> DataFrame:
         return F.concat(head, F.lit('"'), F.replace(s, F.lit('"'), F.lit('\\"')), F.lit('"}'))
 
     gs = F.col("gs")
-    case = F.pmod("cluster_id", F.lit(10))
+    case, even = F.pmod("cluster_id", F.lit(10)), F.pmod("cluster_id", F.lit(20))
     out = (
         F.when(case == 0, F.concat(head, F.lit("["), gs))
         .when(case == 2, F.concat(head, F.lit("["), gs, F.lit("]}")))
@@ -234,6 +235,9 @@ def edge_responses(members: DataFrame) -> DataFrame:
         .when(case == 4, quoted(F.concat(F.lit("["), F.replace(gs, F.lit("], ["), F.lit(", ")), F.lit("]"))))
         .when(case == 5, F.lit("[1, 2]"))
         .when(case == 6, F.concat(head, F.lit('"[\\"a\\", \\"b\\"]"}')))
+        .when((case == 8) & (even == 8), quoted(F.concat(F.lit("[["), gs, F.lit("]]"))))
+        .when(case == 8, quoted(F.concat(F.lit("["), gs, F.lit(', ["**[gene] kept [gene]**", ["[gene] nested [gene]"]]]'))))
+        .when((case == 9) & (even == 9), quoted(F.concat(F.lit("["), gs, F.lit("] as asked"))))
         .otherwise(quoted(F.concat(F.lit("["), gs, F.lit("]"))))
     )
     return g.select("cluster_id", cid.alias("id"), out.alias("output_string"))
