@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmend.functions.text import bpe_token_count, word_token_count
+from graphmend.functions.text import word_token_count
 from graphmend.operators.joins import BROADCAST_ROWS, bounded_rows, lookup_join
 from graphmend.operators.ordinal import with_chunk, with_running_sum
 from graphmend.session import cut_lineage, ship_package
@@ -24,14 +24,9 @@ PRICE_PER_M = 0.1  # fixed value: USD per million embedding tokens in the estima
 SHARD_ROWS = 200_000  # items one greedy-packing task holds at most (plus a cap-token head)
 
 
-def token_counts(df: DataFrame, text_col: str = "text", rank_file: str | None = None) -> DataFrame:
-    """Add ``n_tokens``: exact BPE counts with a tiktoken ``rank_file`` (e.g. the
-    cl100k_base ranks on shared storage), else words + single punctuation marks
-    (a JVM-side proxy, used where no rank file is at hand)."""
-    if rank_file is None:
-        return df.withColumn("n_tokens", word_token_count(text_col))
-    ship_package(df.sparkSession)
-    return df.withColumn("n_tokens", bpe_token_count(text_col, rank_file))
+def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``n_tokens``: words + single punctuation marks, a proxy computed in the JVM."""
+    return df.withColumn("n_tokens", word_token_count(text_col))
 
 
 def token_budget(counted: DataFrame, price_per_m: float = PRICE_PER_M) -> DataFrame:
@@ -47,23 +42,6 @@ def oversized(counted: DataFrame, cap: int = TOKENS_PER_CALL) -> DataFrame:
     return counted.filter(F.col("n_tokens") > cap)
 
 
-def _greedy(cap: int, order_cols: list, id_col: str):
-    order_cols = list(dict.fromkeys(order_cols))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols, kind="stable")
-        n = pdf["n_tokens"].to_numpy(dtype=np.int64)
-        out = np.empty(len(n), dtype=np.int64)
-        batch, used = 0, 0
-        for i, t in enumerate(n):
-            if used + t > cap and used > 0:
-                batch, used = batch + 1, 0
-            used += t
-            out[i] = batch
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "shard": pdf["shard"].to_numpy(), "batch_in_shard": out})
-    return pack
-
-
 def _segment_exits(cap: int):
     """Per segment: for each node a batch could start at on entering the segment, where
     its greedy chain enters the next segment and how many batches it starts meanwhile.
@@ -123,15 +101,16 @@ def token_batches(
     order_col: str,
     cap: int = TOKENS_PER_CALL,
     shard_rows: int = SHARD_ROWS,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """Greedy batches: a new batch starts when the running total would pass ``cap``.
 
-    Exactly the sequential pass over ``(order_col, id_col)`` order, at any size.
-    Up to ``shard_rows`` items one task packs them all.  Beyond, items are cut
-    into contiguous segments of ``shard_rows`` non-empty items (see
-    ``_exact_batches``).  Oversized items are left out (see ``oversized``) or,
-    with ``strict``, raise.  Output: id, shard, batch_in_shard, batch_id.
+    Exactly the sequential pass over ``(order_col, id_col)`` order, by the same
+    way at every size: items are cut into contiguous segments of
+    ``shard_rows`` non-empty items (see ``_exact_batches``), of which small
+    data have one.  An item above ``cap`` raises; with ``strict`` off the
+    caller takes care of those (``oversized`` lists them) and the rest is
+    packed.  Output: id, shard, batch_in_shard, batch_id.
     """
     if strict and oversized(counted, cap).limit(1).count():
         raise ValueError(f"an input exceeds {cap} tokens")
@@ -139,13 +118,6 @@ def token_batches(
     cols = [id_col] + ([order_col] if order_col != id_col else [])
     # Token counts are computed once (whole texts) and kept as a narrow table.
     ok = cut_lineage(counted.filter(F.col("n_tokens") <= cap).select(*cols, "n_tokens"))
-    if bounded_rows(ok, shard_rows):
-        id_type = dict(ok.dtypes)[id_col]
-        keyed = ok.withColumn("shard", F.lit(0).cast("long"))
-        packed = keyed.groupBy("shard").applyInPandas(
-            _greedy(cap, [order_col, id_col], id_col), f"{id_col} {id_type}, shard long, batch_in_shard long"
-        )
-        return packed.withColumn("batch_id", F.col("batch_in_shard"))
     return _exact_batches(ok, id_col, [F.col(c) for c in dict.fromkeys([order_col, id_col])], cap, max(shard_rows, cap + 1))
 
 
@@ -232,7 +204,9 @@ def chunk_blocks(blocks: DataFrame, chunk_size: int = 1, order_col: str = "clust
     if chunk_size == 1:
         return chunked.select("chunk_id", F.create_map(F.col(order_col).cast("string"), F.col(members)).alias("payload"))
     return chunked.groupBy("chunk_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(order_col).cast("string"), F.col(members)))).alias("payload")
+        F.map_from_entries(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(members).alias("m")))),
+            lambda s: F.struct(s["o"].cast("string"), s["m"]))).alias("payload")
     )
 
 

@@ -25,14 +25,18 @@ def surface_key(col) -> Column:
     """Case/space/punctuation-insensitive key; trailing plural ``s`` folded.
 
     Bracketed ``[type]`` parts are kept verbatim (types must match exactly)
-    and digits are kept (sub-identifiers stay apart).
+    and digits are kept (sub-identifiers stay apart).  Letters of every
+    script are kept, and so is a trailing ``+`` or ``-`` (ions, mutants).  A
+    text without letters and digits is its own key, never an empty one.
     """
     c = T._c(col)
     head = F.regexp_extract(c, r"^(\[[^\]]*\])", 1)
     tail = F.regexp_extract(c, r"(\[[^\]]*\])$", 1)
     body = F.substring(c, F.length(head) + 1, F.greatest(F.length(c) - F.length(head) - F.length(tail), F.lit(0)))
-    norm = F.btrim(F.regexp_replace(F.lower(body), r"[^0-9a-z]+", " "), F.lit(" "))
+    sign = F.regexp_extract(body, r"([+-]+)\s*$", 1)
+    norm = F.btrim(F.regexp_replace(F.lower(body), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(" "))
     norm = F.regexp_replace(norm, r"([a-z]{2}[a-rt-z])s\b", "$1")
+    norm = F.when(norm == "", F.concat(F.lit("="), body)).otherwise(F.concat(norm, sign))
     return F.concat(head, F.lit("|"), norm, F.lit("|"), tail)
 
 

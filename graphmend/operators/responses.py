@@ -31,9 +31,16 @@ OK, CORRUPT, NO_CONTENT, BAD_PAYLOAD = "ok", "corrupt", "no_content", "bad_paylo
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """All ``glob`` files below ``path`` as lines with their file name."""
+    """All ``glob`` files below ``path`` as lines with their file name and place in it."""
     df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    return df.select("value", F.col("_metadata.file_name").alias("source_file"))
+    return with_line_pos(df.select("value", F.col("_metadata.file_name").alias("source_file"),
+                                   F.col("_metadata.file_block_start").alias("_block")))
+
+
+def with_line_pos(lines: DataFrame) -> DataFrame:
+    """``line_pos`` = (split start ``_block``, row number within the task): ascends within a file."""
+    pos = F.struct(F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.withColumn("line_pos", pos).drop("_block")
 
 
 def parse_completion_lines(lines: DataFrame) -> DataFrame:
@@ -45,6 +52,7 @@ def parse_completion_lines(lines: DataFrame) -> DataFrame:
     content = F.get(rec["response"]["body"]["choices"], 0)["message"]["content"]
     out = lines.select(
         "source_file",
+        *(["line_pos"] if "line_pos" in lines.columns else []),
         F.when(obj_ok, rec["custom_id"]).alias("custom_id"),
         F.when(obj_ok, content).alias("content"),
         obj_ok.alias("_obj"),
@@ -61,14 +69,16 @@ def parse_completion_lines(lines: DataFrame) -> DataFrame:
 def completion_entries(parsed: DataFrame) -> DataFrame:
     """One row per payload key of accepted lines: (custom_id, key, value).
 
-    A ``custom_id`` delivered twice keeps the entry of the last file
-    (``max_by`` is a partial aggregate: duplicates collapse per task).
+    A ``custom_id`` delivered twice keeps the entry of the last file, and
+    within a file of the last line (``max_by`` is a partial aggregate:
+    duplicates collapse per task).  Lines without a known place fall back to
+    the larger value, so the result never depends on the order of tasks.
     """
     ok = parsed.filter(F.col("status") == OK)
-    ex = ok.select("custom_id", "source_file", F.explode("payload").alias("key", "value"))
-    return ex.groupBy("custom_id", "key").agg(
-        F.max_by("value", F.coalesce(F.col("source_file"), F.lit(""))).alias("value")
-    )
+    place = [F.col("line_pos")] if "line_pos" in parsed.columns else []
+    order = F.struct(F.coalesce(F.col("source_file"), F.lit("")).alias("f"), *place)
+    ex = ok.select("custom_id", order.alias("_order"), F.explode("payload").alias("key", "value"))
+    return ex.groupBy("custom_id", "key").agg(F.max_by("value", F.struct("_order", "value")).alias("value"))
 
 
 def ingest_report(parsed: DataFrame) -> DataFrame:

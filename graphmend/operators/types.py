@@ -151,16 +151,14 @@ def fold_rare_types(
 ) -> DataFrame:
     """Mapping where labels of nodes whose remapped label is rare -> ``other``.
 
-    Counts per remapped label are one partial aggregate over the node table;
-    the null label is never rare.
+    The node table is read once, for a count per original label (one partial
+    aggregate, a row for each label); all else works on those counts.  The
+    null label is never rare.
     """
-    remapped = label_remap(nodes, mapping, label_col)
-    counts = remapped.filter(F.col("remapped_label").isNotNull()).groupBy("remapped_label").agg(F.count("*").alias("_n"))
-    rare_parents = counts.filter(F.col("_n") < min_count).select("remapped_label")
-    rare_labels = (
-        remapped.join(rare_parents, "remapped_label", "left_semi")
-        .select(F.col(label_col).alias("id")).distinct().withColumn("_rare", F.lit(True))
-    )
+    per_label = nodes.groupBy(F.col(label_col).alias("id")).agg(F.count("*").alias("_n"))
+    counted = per_label.join(mapping.select("id", F.col("parent_node").alias("_p")), "id").filter(F.col("_p").isNotNull())
+    rare = counted.groupBy("_p").agg(F.sum("_n").alias("_total")).filter(F.col("_total") < min_count).select("_p")
+    rare_labels = counted.join(rare, "_p", "left_semi").select("id").distinct().withColumn("_rare", F.lit(True))
     out = mapping.join(rare_labels, "id", "left")
     return out.withColumn(
         "parent_node", F.when(F.col("_rare"), F.lit(other)).otherwise(F.col("parent_node"))
@@ -205,7 +203,7 @@ def similarity_edges(vectors: DataFrame, tau: float, id_col: str = "id", vec_col
     return ranked_pairs_above(vectors, tau, id_col, vec_col)
 
 
-def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS, max_rounds: int = 1000) -> DataFrame:
+def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS) -> DataFrame:
     """Frequency-ordered "join a parent, else become one", decided in parallel.
 
     Sequential rule: walk types by rank; a type whose best lower-ranked
@@ -213,8 +211,9 @@ def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS,
     ``n_seeds`` most frequent are parents from the start).  Parallel rounds
     (lexicographically-first maximal independent set): a type follows as soon
     as a decided parent is adjacent; it becomes a parent once every
-    lower-ranked neighbour is a follower.  Each round is a join over the
-    thresholded edge table; the state is checkpointed per round.
+    lower-ranked neighbour is a follower.  Every round decides at least the
+    lowest open rank, so the rounds end with no type open.  Each round is a
+    join over the thresholded edge table; the state is checkpointed per round.
     Output: id, parent_node (the most similar adjacent parent), rank.
     """
     from graphmend.session import cut_lineage
@@ -224,7 +223,7 @@ def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS,
         "id", "rank",
         F.when(F.col("rank") <= n_seeds, F.lit("parent")).otherwise(F.lit("open")).alias("state"),
     ))
-    for _ in range(max_rounds):
+    while True:
         if not state.filter(F.col("state") == "open").limit(1).count():
             break
         nb = edges.join(state.select(F.col("id").alias("parent"), F.col("state").alias("pstate")), "parent")

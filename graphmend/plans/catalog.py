@@ -61,7 +61,7 @@ def _json(c):
 def edge_stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Signatures -> blocks -> resolver responses -> validation, as DataFrames."""
     rk = remapped_kg(spark, sf_dir)
-    sig = edges.edge_signatures(rk)
+    sig = edges.edge_signatures(rk, strip=True)
     members = fx.edge_block_members(sig)
     blocks = fx.edge_blocks(members)
     resp = fx.edge_responses(members)

@@ -9,6 +9,7 @@ sharded request JSONL, and the caller passes the ingested responses back in.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -32,6 +33,19 @@ def stage(spark: SparkSession, workdir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def _named(flow: str, *parameters) -> str:
+    """Folder of a flow's stages: its name and a digest of the parameters that shape them.
+
+    Tables handed in (responses, vectors, decisions) count by their content.
+    """
+    def mark(p):
+        if isinstance(p, DataFrame):
+            r = p.agg(F.count("*"), F.bit_xor(F.xxhash64(*p.columns))).first()
+            return f"{p.columns}:{r[0]}:{r[1]}"
+        return repr(p)
+    return f"{flow}-{hashlib.sha256('|'.join(map(mark, parameters)).encode()).hexdigest()[:12]}"
+
+
 def _blocks_for(vectors: DataFrame, max_cluster_size: int, k_split: int, seed: int) -> DataFrame:
     b, _, _ = blocking.multisect_kmeans(vectors, "id", "embedding", max_cluster_size, k_split, seed=seed)
     return b.select("cluster_id", "cluster_size", F.col("member_ids").alias("ids_in_cluster"))
@@ -75,9 +89,10 @@ def resolve_edges(
     external resolver; without them the surface resolver is used.
     """
     spark = kg.sparkSession
-    st = lambda n, f: stage(spark, workdir, n, f)
+    folder = os.path.join(workdir, _named("edges", kg, type_map, responses, vectors, max_cluster_size, k_split, seed))
+    st = lambda n, f: stage(spark, folder, n, f)
     remapped = st("remapped", lambda: nodes.remap_types(kg, type_map))
-    sigs = st("signatures", lambda: edges.edge_signatures(remapped))
+    sigs = st("signatures", lambda: edges.edge_signatures(remapped, strip=True))
     vecs = vectors if vectors is not None else st("signature_vectors", lambda: embed.hash_embed(sigs, "signature", "signature"))
     blocks = st("blocks", lambda: _blocks_for(vecs, max_cluster_size, k_split, seed))
     freq = sigs.select(F.col("signature").alias("member"), "freq")
@@ -104,7 +119,8 @@ def resolve_entities(
 ) -> dict[str, DataFrame]:
     """Entity resolution: nodes -> embedding inputs -> blocks -> groups -> mapping -> collapsed KG."""
     spark = kg.sparkSession
-    st = lambda n, f: stage(spark, workdir, n, f)
+    folder = os.path.join(workdir, _named("entities", kg, type_map, responses, vectors, max_cluster_size, k_split, seed))
+    st = lambda n, f: stage(spark, folder, n, f)
     remapped = st("remapped", lambda: nodes.remap_types(kg, type_map))
     node_table = st("nodes", lambda: nodes.build_nodes(remapped))
     inputs = node_table.select("id", embedding_input("id", "extracted_definition").alias("text"))
@@ -140,7 +156,8 @@ def resolve_node_types(
     returned as ``pending``.
     """
     spark = kg.sparkSession
-    st = lambda n, f: stage(spark, workdir, n, f)
+    folder = os.path.join(workdir, _named("types", kg, vectors, tau, n_seeds, nodes_with_labels, decisions))
+    st = lambda n, f: stage(spark, folder, n, f)
     ranked = st("type_rank", lambda: types.type_frequency_rank(kg))
     if vectors is None:
         vecs = st("type_vectors", lambda: embed.hash_embed(ranked, "type", "type"))

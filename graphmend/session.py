@@ -9,6 +9,7 @@ only created when that setting is missing (local tests, the bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the session.
 
     Uses ``spark.checkpoint.dir`` (or a folder already set on the context).
-    Only when neither is set — local tests — a private folder is created.
+    Only in local mode a private folder is made when neither is set: on a
+    cluster every executor would write to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="graphmend-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

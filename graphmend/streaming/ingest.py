@@ -15,6 +15,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from graphmend.operators import responses
 
@@ -30,24 +31,37 @@ def stream_completions(
     sink_dir: str,
     checkpoint: str,
     max_files_per_trigger: int = 64,
+    glob: str = "*.{jsonl,txt}",
 ) -> DataFrame:
-    """Ingest every new completion file under ``src_dir``; returns parsed lines so far."""
+    """Ingest every new completion file under ``src_dir``; returns parsed lines so far.
+
+    ``source_file`` is the file's name, or the value of a ``source_file=``
+    folder around it.  Lines keep their place in the file (``line_pos``).
+    Before any file has come the result is empty.
+    """
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"source_file=([^/]+)", 1)
     stream = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("pathGlobFilter", "*.txt")
+        .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(src_dir)
         .select(
             "value",
-            F.regexp_extract(F.col("_metadata.file_path"), r"source_file=([^/]+)", 1).alias("source_file"),
+            F.when(named != "", named).otherwise(F.col("_metadata.file_name")).alias("source_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
         )
     )
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        parsed = responses.parse_completion_lines(batch)
+        parsed = responses.parse_completion_lines(responses.with_line_pos(batch))
         parsed.write.mode("overwrite").parquet(os.path.join(sink_dir, f"epoch={epoch_id}"))
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(sink_dir).drop("epoch")
+    lines = spark.createDataFrame([], "value string, source_file string, line_pos struct<block:bigint,row:bigint>")
+    schema = responses.parse_completion_lines(lines).schema
+    try:
+        return spark.read.schema(schema).parquet(sink_dir)
+    except AnalysisException:  # no file so far
+        return spark.createDataFrame([], schema)

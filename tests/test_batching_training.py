@@ -95,26 +95,6 @@ def test_pretty_payload_matches_indent2(spark):
         assert got[cid] == json.dumps({str(cid): g}, indent=2, ensure_ascii=False)
 
 
-def test_bpe_token_counts_from_rank_file(spark, tmp_path):
-    import base64
-
-    import tiktoken
-
-    from graphmend.functions.text import CL100K_PATTERN
-
-    ranks = {bytes([i]): i for i in range(256)}
-    ranks.update({b"th": 256, b"he": 257, b"the": 258})
-    path = tmp_path / "tiny.tiktoken"
-    path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
-    texts = ["the cat", "", None, "the the", "héllo, world!\n" * 50]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in batching.token_counts(df, "text", rank_file=str(path)).collect()}
-    enc = tiktoken.Encoding(name="tiny", pat_str=CL100K_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    want = {i: (None if t is None else len(enc.encode_ordinary(t))) for i, t in enumerate(texts)}
-    assert got == want
-    assert got[0] == 5 and got[3] == 3  # "the" + " cat" = 1 + 4; "the" + " the" = 1 + 2
-
-
 def test_token_batches_last_segment_without_a_start(spark):
     """The last segment lies wholly inside a batch started before it (101-item segments;
     3, 5 and 6 segments hit different pointer-jumping rounds), plus a random case."""
