@@ -141,7 +141,7 @@ def leaf_members(members) -> Column:
     A list member is JSON text, so its strings are its string literals.
     """
     def leaves(m):
-        literals = F.regexp_extract_all(m, F.lit(r'"(?:[^"\\\\]|\\\\.)*"'), F.lit(0))
+        literals = F.regexp_extract_all(m, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
         inner = F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
         return F.when(is_list_member(m), inner).otherwise(F.array(m))
     return F.flatten(F.transform(_c(members), leaves))
