@@ -23,9 +23,9 @@ def test_topk_cogroup_equals_broadcast(spark, monkeypatch):
     v = fx.vectors(spark, SF01)
     refs, queries = v.filter("vec_id < 60"), v.filter("vec_id >= 60")
     a = similarity.topk_cosine(queries, refs, k=5).select("query_id", "rank", "ref_id")
-    monkeypatch.setattr(similarity, "BROADCAST_REFS", 0)
-    monkeypatch.setattr(similarity, "CHUNK_REFS", 7)
-    monkeypatch.setattr(similarity, "QUERY_BUCKET_ROWS", 100)
+    monkeypatch.setattr(similarity, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(similarity, "GROUP_VALUES", 64 * 30)
+    monkeypatch.setattr(similarity, "TILE", (7, 11))
     b = similarity.topk_cosine(queries, refs, k=5).select("query_id", "rank", "ref_id")
     assert sorted(a.collect()) == sorted(b.collect())
     assert a.count() == 440 * 5

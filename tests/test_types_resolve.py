@@ -53,9 +53,9 @@ def test_resolve_types_cogroup_path(spark, monkeypatch):
 
     ranked = with_ordinal(fx.vectors(spark, SF01), [F.col("vec_id")], "rank")
     a = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
-    monkeypatch.setattr(similarity, "BROADCAST_REFS", 0)
-    monkeypatch.setattr(similarity, "CHUNK_REFS", 90)
-    monkeypatch.setattr(similarity, "QUERY_BUCKET_ROWS", 120)
+    monkeypatch.setattr(similarity, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(similarity, "GROUP_VALUES", 64 * 120)
+    monkeypatch.setattr(similarity, "TILE", (50, 33))
     b = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
     assert a == b
 
