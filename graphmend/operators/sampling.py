@@ -1,7 +1,7 @@
 """Seeded samples and shuffles that do not depend on partitioning.
 
-Order keys are ``xxhash64(seed, key)``: the same seed gives the same sample
-on any cluster layout.  A limit appears only where the sample size *is* the
+Order keys are ``md5("seed:key")``: the same seed gives the same sample on
+any cluster layout and in any engine that has MD5.  A limit appears only where the sample size *is* the
 feature; ``orderBy(...).limit(n)`` plans as a distributed top-n
 (``TakeOrderedAndProject``), so no task sorts the whole table.
 """
@@ -15,7 +15,7 @@ from graphmend.operators.ordinal import with_chunk
 
 
 def _h(seed: int, key: str):
-    return F.xxhash64(F.lit(seed), F.col(key))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "cluster_id") -> DataFrame:

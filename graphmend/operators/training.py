@@ -29,7 +29,7 @@ def run_frame(outputs: DataFrame, id_col: str = "cluster_id", output_col: str =
     groups = T.parse_groups(F.col(output_col), lenient_flat=False)
     flat = F.transform(F.flatten(groups), lambda m: F.btrim(m, F.lit("*")))
     if shuffle_seed is not None:
-        keyed = F.transform(flat, lambda m: F.struct(F.xxhash64(F.lit(shuffle_seed), F.col(id_col), m).alias("h"), m.alias("m")))
+        keyed = F.transform(flat, lambda m: F.struct(F.md5(F.concat(F.lit(f"{shuffle_seed}:"), F.col(id_col).cast("string"), F.lit(":"), m).cast("binary")).alias("h"), m.alias("m")))
         flat = F.transform(F.array_sort(keyed), lambda s: s["m"])
     multi = T.multi_member_groups(groups)
     return outputs.select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmend.operators import blocks as blocks_ops
@@ -286,6 +286,33 @@ def q_multisect_kmeans(spark, sf_dir):
     return blocks.select("cluster_id", "cluster_size", F.to_json("member_ids").alias("member_ids"))
 
 
+@query("blocking_invariants")
+def q_blocking_invariants(spark, sf_dir):
+    """What any blocking of the vectors must satisfy, checked on the real one."""
+    blocks, metrics, inertia = blocking.multisect_kmeans(fx.vectors(spark, sf_dir), max_cluster_size=30, k_split=10)
+    ids = blocks.select("cluster_size", F.explode("member_ids").alias("id"))
+    return ids.agg(
+        F.count("*").alias("n_members"), F.count_distinct("id").alias("n_ids"), (F.max("cluster_size") <= 30).alias("within_cap"),
+    ).select("*", F.lit(inertia > 0).alias("has_inertia"))
+
+
+@query("split_progress")
+def q_split_progress(spark, sf_dir):
+    """Open points of each level never grow, and none is open at the end."""
+    _, metrics, _ = blocking.multisect_kmeans(fx.vectors(spark, sf_dir), max_cluster_size=30, k_split=10, local_max=100)
+    first = F.max(F.when(F.col("level") == 0, F.col("open_points")))
+    falling = F.max(F.col("open_points") - F.coalesce(F.col("before"), F.col("open_points"))) <= 0
+    return metrics.withColumn("before", F.lag("open_points").over(Window.orderBy("level"))).agg(
+        first.alias("first_open"), falling.alias("falling"), (F.max("level") > 0).alias("several_levels"))
+
+
+@query("hash_embed_shape")
+def q_hash_embed_shape(spark, sf_dir):
+    e = embed.hash_embed(fx.texts(spark, sf_dir), "doc_id", "text")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return e.select("id", F.size("embedding").cast("bigint").alias("dims"), F.round(norm, 6).alias("norm"))
+
+
 @query("elbow")
 def q_elbow(spark, sf_dir):
     return blocking.elbow(fx.vectors(spark, sf_dir), k_values=range(2, 21), max_cluster_size=30)
@@ -380,7 +407,7 @@ def q_completion_requests(spark, sf_dir):
 @query("request_shards")
 def q_request_shards(spark, sf_dir):
     reqs = doc_block_requests(spark, sf_dir).withColumn("cid", F.col("custom_id").cast("bigint"))
-    sharded, ledger = batching.request_shards(reqs, [F.col("cid")], 50_000)
+    sharded, ledger = batching.request_shards(reqs, [F.col("cid")], 50)
     return ledger
 
 
@@ -587,6 +614,42 @@ def q_parse_groups(spark, sf_dir):
     return resp.select("id", F.to_json(g).alias("groups"))
 
 
+def response_groups(spark, sf_dir):
+    resp = edge_stage(spark, sf_dir)["resp"]
+    return resp.select("id", T.parse_groups(T.first_value(T.parse_object(F.col("output_string")))).alias("groups"))
+
+
+@query("flatten_groups")
+def q_flatten_groups(spark, sf_dir):
+    g = response_groups(spark, sf_dir)
+    return g.select("id", F.to_json(T.leaf_members(T.flatten_members("groups"))).alias("members"))
+
+
+@query("multi_member_groups")
+def q_multi_member_groups(spark, sf_dir):
+    return response_groups(spark, sf_dir).select("id", F.to_json(T.multi_member_groups("groups")).alias("groups"))
+
+
+@query("find_representatives")
+def q_find_representatives(spark, sf_dir):
+    m = response_groups(spark, sf_dir).select("id", F.posexplode("groups").alias("group_pos", "g"))
+    m = m.select("id", F.col("group_pos").cast("bigint").alias("group_pos"), F.posexplode("g").alias("member_pos", "member"))
+    marked = T.is_representative("member") & ~T.is_list_member("member")
+    return m.filter(marked).select("id", "group_pos", F.col("member_pos").cast("bigint").alias("member_pos"),
+                                   T.strip_markers("member").alias("representative"))
+
+
+@query("parse_signature")
+def q_parse_signature(spark, sf_dir):
+    p = T.signature_types("signature")
+    return edge_stage(spark, sf_dir)["sig"].select("signature", p["source"].alias("source"), p["target"].alias("target"))
+
+
+@query("edge_signatures_raw")
+def q_edge_signatures_raw(spark, sf_dir):
+    return edges.edge_signatures(remapped_kg(spark, sf_dir))
+
+
 @query("safe_extract")
 def q_safe_extract(spark, sf_dir):
     frame = run_frame_a(spark, sf_dir)
@@ -615,7 +678,7 @@ def q_stratified_sample(spark, sf_dir):
 
 @query("shuffled_shards")
 def q_shuffled_shards(spark, sf_dir):
-    return sampling.shuffled_shards(fx.doc_blocks(spark, sf_dir), 50_000, seed=42).select("cluster_id", "shard_id")
+    return sampling.shuffled_shards(fx.doc_blocks(spark, sf_dir), 50, seed=42).select("cluster_id", "shard_id")
 
 
 # --------------------------------------------------------------- resolvers
