@@ -114,6 +114,7 @@ def type_prompts(topk: DataFrame, query_rank: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref_id"))), lambda s: s["ref_id"]).alias("cands")
     )
     j = cands.join(query_rank.select(F.col("id").alias("query_id"), "query_index"), "query_id")
+    # Fixed wording: answers recorded for these prompts are keyed by it.
     text = F.concat(
         F.lit("Input type: "), F.col("query_id"), F.lit("; Query index: "), F.col("query_index").cast("string"),
         F.lit(";  Top 10 similar types: "), python_list_text(F.col("cands")),
@@ -121,6 +122,18 @@ def type_prompts(topk: DataFrame, query_rank: DataFrame) -> DataFrame:
     return j.select("query_id", text.alias("prompt"))
 
 
+def resumed_prompts(ranked: DataFrame, mapping: DataFrame, k: int = TOP_K, n_seeds: int = N_SEEDS) -> DataFrame:
+    """Prompts of the next answer batch: types still pending against all parents so far.
+
+    ``ranked`` has ``id, rank, embedding``.  After each batch of answers the
+    types that are parents by now (seeds and types mapped to themselves) are the
+    references; call again with the grown mapping until nothing is pending.
+    """
+    pending = pending_types(ranked, mapping)
+    topk = topk_similar_types(pending, parents_on_resume(mapping, ranked), k)
+    return type_prompts(topk, pending.select("id", (F.col("rank") - n_seeds - 1).alias("query_index")))
+
+
 def curate_mapping(mapping: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rename parent labels with an ordered rule list (each rule sees the
     result of the previous ones).  The rule list is a small parameter, so its

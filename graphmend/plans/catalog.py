@@ -20,6 +20,7 @@ from graphmend.operators import (
     batching, blocking, edges, embed, nodes, requests, resolvers, responses, sampling, similarity, training, types,
 )
 from graphmend.sources import fixtures as fx
+from graphmend.session import cut_lineage
 from graphmend.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +205,16 @@ def q_type_prompts(spark, sf_dir):
     return types.type_prompts(topk, qrank)
 
 
+@query("type_prompts_resumed")
+def q_type_prompts_resumed(spark, sf_dir):
+    """Second round of the type loop: after a first answer batch its own parents are references too."""
+    rv = cut_lineage(ranked_vectors(spark, sf_dir))
+    seeds = types.seed_parents(rv.select(F.col("id").alias("type"), "rank"))
+    first = rv.filter(F.col("rank") <= 200).select("id")
+    answers = type_decisions(spark, sf_dir, rv).join(first, "id", "left_semi")
+    return types.resumed_prompts(rv, types.decision_mapping(answers, seeds))
+
+
 def type_decisions(spark, sf_dir, ranked=None):
     """Resolver answers for the non-seed types (FIXTURES.md): even rank -> best seed, odd -> itself,
     rank divisible by 7 -> unparseable text."""

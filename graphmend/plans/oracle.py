@@ -336,6 +336,21 @@ oracle("type_decisions", "vec", "tdec")("""
 SELECT id, id AS parent_node FROM vec WHERE rank <= 30
 UNION ALL
 SELECT id, json_extract_string(content, '$.map') AS parent_node FROM tdec WHERE json_valid(content)""")
+FIXTURE_SQL["tmap"] = """
+SELECT id, id AS parent_node FROM vec WHERE rank <= 30
+UNION ALL
+SELECT t.id, json_extract_string(t.content, '$.map') FROM tdec t JOIN vec v ON v.id = t.id AND v.rank <= 200 WHERE json_valid(t.content)"""
+FIXTURE_SQL["topk2"] = """
+SELECT query_id, qrank, rank, ref_id FROM (
+  SELECT q.id AS query_id, q.rank AS qrank, r.id AS ref_id,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, r.embedding) DESC, r.id) AS rank
+  FROM vec q JOIN vec r ON q.id NOT IN (SELECT id FROM tmap) AND r.id IN (SELECT parent_node FROM tmap)) x
+WHERE rank <= 20"""
+DEPS.update({"tmap": ["vec", "tdec"], "topk2": ["vec", "tmap"]})
+oracle("type_prompts_resumed", "topk2")("""
+SELECT query_id, 'Input type: ' || query_id || '; Query index: ' || CAST(qrank - 31 AS VARCHAR)
+  || ';  Top 10 similar types: [' || string_agg(chr(39) || ref_id || chr(39), ', ' ORDER BY rank) || ']' AS prompt
+FROM topk2 GROUP BY query_id, qrank""")
 oracle("curate_mapping", "curated")("SELECT id, parent_node FROM curated")
 oracle("label_remap", "lremap")("SELECT name, label, remapped_label FROM lremap")
 oracle("fold_rare_types", "lremap")("""
