@@ -19,9 +19,9 @@ from graphmend.functions import text as T
 from graphmend.operators import (
     batching, blocking, edges, embed, nodes, requests, resolvers, responses, sampling, similarity, training, types,
 )
-from graphmend.sources import fixtures as fx
-from graphmend.session import cut_lineage
-from graphmend.sources.tables import load
+from graphmend.sources import files, fixtures as fx
+from graphmend.session import cut_lineage, scratch_path
+from graphmend.sources.tables import load_spread as load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,6 +449,45 @@ def q_ingest_completions(spark, sf_dir):
     return responses.completion_entries(parsed_completions(spark, sf_dir))
 
 
+@query("ingest_completions_dir")
+def q_ingest_completions_dir(spark, sf_dir):
+    """Response files of a folder, read back as files."""
+    from graphmend.streaming import ingest
+
+    path = scratch_path(spark, "completions")
+    ingest.write_line_files(fx.completion_lines(edge_stage(spark, sf_dir)["resp"]), path)
+    return responses.completion_entries(responses.parse_completion_lines(responses.read_lines(spark, path, "*.txt")))
+
+
+@query("scan_triples")
+def q_scan_triples(spark, sf_dir):
+    """Triple CSV files written from the triple table and scanned back."""
+    path = scratch_path(spark, "triples")
+    kg = fx.kg(spark, sf_dir)
+    cols = [F.col(c.replace(" ", "_")).alias(c) if c.replace(" ", "_") in kg.columns else F.lit(None).cast("string").alias(c)
+            for c in files.TRIPLE_COLUMNS]
+    files.write_csv(kg.select(*cols), path)
+    return files.read_triples_csv(spark, path, multiline=False).select(
+        "source", "source_type", "target", "target_type", "source_extracted_definition", "target_extracted_definition")
+
+
+@query("scan_json_table")
+def q_scan_json_table(spark, sf_dir):
+    """JSON-lines table written from the triple table and scanned back."""
+    path = scratch_path(spark, "json-table")
+    fx.kg(spark, sf_dir).select("row_id", "source_type", "interaction", "target_type").write.json(path)
+    return files.read_json_table(spark, path, ["row_id", "source_type", "interaction", "target_type"], orient="lines")
+
+
+@query("scan_outputs")
+def q_scan_outputs(spark, sf_dir):
+    """Blocks with their member lists through CSV and back."""
+    path = scratch_path(spark, "outputs")
+    files.write_csv(fx.doc_blocks(spark, sf_dir).select("cluster_id", "cluster_size", "member_ids"), path)
+    back = files.read_outputs_csv(spark, path, "cluster_id bigint, cluster_size bigint, member_ids array<string>")
+    return back.select("cluster_id", "cluster_size", F.to_json("member_ids").alias("members"))
+
+
 @query("ingest_report")
 def q_ingest_report(spark, sf_dir):
     return responses.ingest_report(parsed_completions(spark, sf_dir))

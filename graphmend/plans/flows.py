@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphmend.functions.text import embedding_input, node_id
+from graphmend.sources.tables import write_parquet
 from graphmend.operators import batching, blocking, blocks as blocks_ops, edges, embed, nodes, requests, resolvers, types
 
 
@@ -29,7 +30,7 @@ def stage(spark: SparkSession, workdir: str, name: str, build: Callable[[], Data
             return spark.read.parquet(path)
         except AnalysisException:
             pass
-    build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    write_parquet(build(), path)
     return spark.read.parquet(path)
 
 

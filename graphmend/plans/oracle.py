@@ -715,6 +715,15 @@ SELECT v.id, coalesce(CASE WHEN list_contains(f.parents, v.rank) THEN v.id END,
 FROM vec v, (SELECT parents FROM walk ORDER BY r DESC LIMIT 1) f""")
 
 
+oracle("ingest_completions_dir", "centries")("""
+SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
+oracle("scan_triples", "kg")("""
+SELECT source, source_type, target, target_type, source_extracted_definition, target_extracted_definition FROM kg""")
+oracle("scan_json_table", "kg")("SELECT row_id, source_type, interaction, target_type FROM kg")
+oracle("scan_outputs", "dblocks")("""
+SELECT cluster_id, cluster_size, CAST(to_json(member_ids) AS VARCHAR) AS members FROM dblocks""")
+
+
 # ------------------------------------------------------------------ resolvers
 
 def _surface_key(m: str) -> str:

@@ -21,16 +21,19 @@ TRIPLE_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in TR
 REMAP_SCHEMA = "id string, parent_node string"
 
 
-def read_triples_csv(spark: SparkSession, path: str, schema: T.StructType = TRIPLE_SCHEMA, order_col: str = "row_id") -> DataFrame:
+def read_triples_csv(spark: SparkSession, path: str, schema: T.StructType = TRIPLE_SCHEMA, order_col: str = "row_id",
+                     multiline: bool = True) -> DataFrame:
     """Triple CSV (header, quoted multi-line fields) with canonical column names.
 
     ``source type`` / ``target type`` become ``source_type`` / ``target_type``;
     a ``row_id`` that follows file order is added, because "keep first" and
     "last wins" rules depend on it (it is partition-order based: read the
-    file once and keep the id with the data).
+    file once and keep the id with the data).  Fields with line breaks need
+    ``multiline``, which reads each file in one task; files without such
+    fields are split when it is off.
     """
     df = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        spark.read.schema(schema).option("header", True).option("multiLine", multiline)
         .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     )
     for c in df.columns:
@@ -70,6 +73,16 @@ def read_json_table(spark: SparkSession, path: str, columns: list[str], orient:
     return wide.withColumn("row_index", F.col("idx").cast("bigint")).drop("idx").select("row_index", *columns)
 
 
+def read_outputs_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Converted outputs or verdicts (``write_csv``): nested columns are JSON text and get their type back."""
+    fields = T.StructType.fromDDL(schema).fields
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in fields])
+    df = spark.read.schema(flat).option("header", True).option("escape", '"').csv(path)
+    return df.select(*[F.from_json(f"`{f.name}`", f.dataType).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")
+                       for f in fields])
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header; array / map / struct columns go out as JSON text."""
     cols = []
@@ -78,9 +91,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             cols.append(F.to_json(F.col(f"`{f.name}`")).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
-    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
-
-
-def write_jsonl(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> None:
-    """One JSON text column written as JSON-lines files."""
-    df.select(col).write.mode(mode).text(path)
+    out = df.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

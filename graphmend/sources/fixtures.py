@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.sources.tables import load
+from graphmend.sources.tables import load_spread as load
 
 # Node-type lookup of the synthetic KG (id -> parent_node).
 TYPE_MAP = [

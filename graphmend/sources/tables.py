@@ -44,13 +44,12 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one driver table; optional column list prunes the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    df = df.select(*columns) if columns else df
-    return spread(df, SPREAD_KEYS.get(name))
+    return df.select(*columns) if columns else df
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of a stage output (blocks, embeddings, KG, mappings)."""
-    return spark.read.parquet(path)
+def load_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """``load``, spread over the cores: for tables stored as one row group, as the test tables are."""
+    return spread(load(spark, sf_dir, name, *columns), SPREAD_KEYS.get(name))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
