@@ -156,6 +156,8 @@ _LABELLED = (
     f'<div class="ad-box" data-main=0>{_LOREM}</div></article><nav data-main=0><p>{_LOREM}</p><a>Back to top</a></nav>',
     f'<div data-main=0>Monday edition</div><div data-main=0>Mild, some rain</div><div data-main=1>{_LOREM}</div><div data-main=1>Yes.</div><div data-main=1>'
     f'{_LOREM} {_LOREM}</div><div data-main=0>Printed daily</div><div data-main=0>Page 4</div>',
+    f'<div data-main=0>Sport</div><div data-main=1>{_LOREM}</div><div data-main=1>No.</div><div data-main=1>{_LOREM} {_LOREM}</div><div data-main=1>{_LOREM}'
+    f'</div><div data-main=0>Letters</div><div data-main=0>Write to the editor</div>',
     f'<article data-main=1><h1>A list of links</h1><p>Of.</p><ul><li><a>First source of this</a></li><li><a>Second source</a></li></ul><p>It was.</p></article>'
     f'<div class="newsletter" data-main=0><p>{_LOREM}</p></div><footer data-main=0><p>{_LOREM}</p></footer>',
 )

@@ -56,8 +56,8 @@ def test_tokens_against_a_plain_scan():
     assert [int((part == i).sum()) for i in range(len(texts))] == [len(brute_tokens(t)) for t in texts]
     _, low, _ = quality.tokens([b"WORD word Word"])
     assert len(set(low.tolist())) == 1
-    _, _, shapes = quality.tokens([b"WORD word Word word word"])
-    assert len(set(shapes.tolist())) == 4  # capitals, small, first capital, repeated
+    _, _, shapes = quality.tokens([b"WORD x word y Word z word word"])
+    assert len(set(shapes.tolist())) == 5  # capitals, single letter, small, first capital, repeated
     assert (surface < quality.SURFACES).all() and (shape >= quality.SURFACES).all() and (shape < quality.ROWS).all()
 
 
