@@ -152,10 +152,15 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n_chars - half).cast("int")),
                       F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
-    both = rows.select("b", "rn", "guest", "doc_id", n_chars.alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
-    units = both.select("b", "rn", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode_outer(F.concat(
-        F.transform(_units(F.col("text")), lambda u: F.struct(F.lit(0).alias("side"), u["whole"].alias("whole"), u["h"].alias("h"))),
-        F.transform(_units(F.coalesce("edited", F.lit(""))), lambda u: F.struct(F.lit(1).alias("side"), u["whole"].alias("whole"), u["h"].alias("h"))))).alias("u"))
+    both = rows.select("b", "rn", "guest", "doc_id", "text", n_chars.alias("n_chars"), F.when(F.col("guest") == 0, edited).alias("edited"))
+
+    def side(text, number):
+        return F.transform(_units(text), lambda u: F.struct(F.lit(number).alias("side"), u["whole"].alias("whole"), u["h"].alias("h")))
+
+    # Everything made of texts is made before the explode; after it there is a row for each hash.
+    ready = both.select("b", "rn", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.concat(
+        side(F.col("text"), 0), side(F.coalesce("edited", F.lit("")), 1)).alias("units"))
+    units = ready.select("b", "rn", "guest", "doc_id", "n_chars", "edited_sha256", F.explode_outer("units").alias("u"))
     sums = units.select("b", "rn", "guest", "doc_id", "n_chars", "edited_sha256", F.coalesce("u.side", F.lit(0)).alias("side"), "u.whole", "u.h")
     keys = ["b", "rn", "guest", "doc_id", "n_chars", "edited_sha256"]
     lanes = sums.groupBy(*keys, "side").agg(*_lane_sums(F.col("whole"), F.col("h"))).select(*keys, "side", _lanes().alias("lanes"))
