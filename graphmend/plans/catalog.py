@@ -332,7 +332,7 @@ def q_elbow(spark, sf_dir):
 def vec_blocks(spark, sf_dir):
     """Vectors blocked by class label, cut into runs of 32 ids (bounded blocks)."""
     v = fx.vectors(spark, sf_dir)
-    key = F.col("label").cast("bigint") * 1_000_000 + F.floor(F.col("vec_id") / 32).cast("bigint")
+    key = F.col("label").cast("bigint") * 1_000_000_000_000 + F.floor(F.col("vec_id") / 32).cast("bigint")
     return blocking.collect_blocks(v.select("id", key.alias("label")))
 
 

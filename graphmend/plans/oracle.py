@@ -373,7 +373,7 @@ SELECT label, list(m ORDER BY d) AS centroid FROM (
   FROM assign1 a JOIN vec v ON v.id = a.id, range(0, 64) t(d)
   GROUP BY a.label, d) x GROUP BY label"""
 FIXTURE_SQL["vblocks"] = """
-SELECT CAST(label AS BIGINT) * 1000000 + CAST(floor(vec_id / 32) AS BIGINT) AS cluster_id, count(*) AS cluster_size,
+SELECT CAST(label AS BIGINT) * 1000000000000 + CAST(floor(vec_id / 32) AS BIGINT) AS cluster_id, count(*) AS cluster_size,
   list(id ORDER BY id) AS member_ids
 FROM vec GROUP BY 1"""
 FIXTURE_SQL["dblocks"] = """
