@@ -428,6 +428,13 @@ def q_chunk_blocks(spark, sf_dir):
     return out.select("chunk_id", F.to_json("payload").alias("payload"))
 
 
+@query("chunk_blocks_several")
+def q_chunk_blocks_several(spark, sf_dir):
+    """Three blocks a request, in order."""
+    out = batching.chunk_blocks(fx.doc_blocks(spark, sf_dir), 3)
+    return out.select("chunk_id", F.to_json("payload").alias("payload"))
+
+
 @query("block_prompts")
 def q_block_prompts(spark, sf_dir):
     return requests.block_prompts(edge_stage(spark, sf_dir)["blocks"])

@@ -459,6 +459,10 @@ oracle("request_shards", "docreq")("""
 SELECT CAST(floor((rn - 1) / 50) AS BIGINT) AS shard_id, count(*) AS n_requests,
   min(custom_id) AS first_custom_id, max(custom_id) AS last_custom_id
 FROM (SELECT custom_id, row_number() OVER (ORDER BY CAST(custom_id AS BIGINT)) AS rn FROM docreq) x GROUP BY 1""")
+oracle("chunk_blocks_several", "dblocks")("""
+SELECT CAST(floor((rn - 1) / 3) AS BIGINT) AS chunk_id,
+  CAST(to_json(MAP(list(CAST(cluster_id AS VARCHAR) ORDER BY cluster_id), list(member_ids ORDER BY cluster_id))) AS VARCHAR) AS payload
+FROM (SELECT *, row_number() OVER (ORDER BY cluster_id) AS rn FROM dblocks) x GROUP BY 1""")
 oracle("chunk_blocks", "dblocks")("""
 SELECT CAST(rn - 1 AS BIGINT) AS chunk_id, CAST(to_json(MAP([CAST(cluster_id AS VARCHAR)], [member_ids])) AS VARCHAR) AS payload
 FROM (SELECT *, row_number() OVER (ORDER BY cluster_id) AS rn FROM dblocks) x""")
