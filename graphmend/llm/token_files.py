@@ -33,11 +33,13 @@ ROUNDS = 3              # rounds of replacement
 LEAST = 32              # a pair is replaced when it occurs at least this often
 
 
-_SLOT_BITS = 20
+_SLOT_BITS = 18
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
-    return (code * np.uint32(2654435769)) >> np.uint32(32 - _SLOT_BITS)
+    slot = code * np.uint32(2654435769)
+    slot >>= np.uint32(32 - _SLOT_BITS)
+    return slot
 
 
 def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
@@ -56,7 +58,8 @@ def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[
         room = (MAX_SYMBOLS - top) // 2 if r + 1 < rounds else MAX_SYMBOLS - top
         if room <= 0 or len(seq) < 2:
             break
-        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+        code = seq[:-1] << np.uint32(16)
+        code |= seq[1:]
         ordered = np.sort(code)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[edge, len(ordered)])
@@ -81,7 +84,7 @@ def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[
         seq[at] = number[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq = seq.compress(keep)
         new = np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], axis=1).astype(np.int64)
         rules.append(new)
         lengths = np.r_[lengths, lengths[new[:, 0]] + lengths[new[:, 1]]]
@@ -225,17 +228,22 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
     def kernel(batches):
         for b in batches:
-            for at0, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for part, block, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 blk = Block(payload)
-                docs = range(len(blk.doc_ids))
+                n = len(blk.doc_ids)
                 if digest:
-                    tail = pa.array([zlib.crc32(blk.document(i).astype("<u4").tobytes()) for i in docs], pa.int64())
+                    data = memoryview(blk.all().astype("<u4").tobytes())
+                    cuts = zip((4 * blk.starts).tolist(), (4 * (blk.starts + blk.lengths)).tolist())
+                    tail = pa.array([zlib.crc32(data[a:z]) for a, z in cuts], pa.int64())
                 else:
                     tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blk.lengths)], pa.int32()),
                                                     pa.array(blk.all().astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blk.doc_ids, pa.int64()), pa.array(at0 + blk.starts, pa.int64()), pa.array(blk.lengths, pa.int64()), tail],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
-
-    out = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
-    return blocks.join(at, ["part", "block"]).select("at", "payload").mapInArrow(kernel, out)
+                    [pa.array(np.full(n, part)), pa.array(np.full(n, block)), pa.array(blk.doc_ids, pa.int64()), pa.array(blk.starts, pa.int64()),
+                     pa.array(blk.lengths, pa.int64()), tail], names=["part", "block", "doc_id", "inside", "n_tokens", last])
+
+    # Only the rows of documents meet the blocks' offsets, never the payloads.
+    last = "ids_crc32" if digest else "ids"
+    out = "part long, block long, doc_id long, inside long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
+    docs = blocks.select("part", "block", "payload").mapInArrow(kernel, out).join(at, ["part", "block"])
+    return docs.select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", last)
