@@ -93,7 +93,32 @@ QUERIES = {f.__name__: f for f in (
     op10_quality,
 )}
 
+def _secret_scan_sql() -> str:
+    """Each rule's matches with the text between them; positions by a running sum."""
+    kinds = []
+    for no, r in enumerate(secrets_ledger.RULES):
+        pattern = r.pattern.replace("'", "''")
+        kinds.append(f"""
+            SELECT n, {no} AS kind_no, '{r.kind}' AS kind, {r.least} AS least, unnest(range(1, len(whole) + 1)) AS i, whole, grp, pieces
+            FROM (SELECT n, regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {r.group}) AS grp,
+                         string_split_regex(text, '{pattern}') AS pieces FROM d WHERE regexp_matches(text, '{pattern}')) x""")
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({" UNION ALL ".join(kinds)}),
+        p AS (
+            SELECT n, kind_no, kind, length(grp[i]) >= least AS good, length(whole[i]) AS size,
+                   sum(length(pieces[i]) + length(whole[i])) OVER (PARTITION BY n, kind_no ORDER BY i) AS stop FROM m),
+        s AS (
+            SELECT n, kind_no, stop - size AS start, kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM p WHERE good)
+        SELECT d.doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < {len(secrets_ledger.BASE_RULES)}), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY start, kind_no), '') AS spans
+        FROM d LEFT JOIN s ON s.n = d.n GROUP BY d.n, d.doc_id
+    """
+
+
 ORACLE_SQL = {
+    "op4_secret_scan": _secret_scan_sql(),
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e,
