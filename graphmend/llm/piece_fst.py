@@ -90,13 +90,19 @@ class PieceTransducer:
         self.byte_ids = [byte_id[b] for b in range(256)] if len(byte_id) == 256 else None
         if any(META in p.lstrip(META) for p in self.vocab):
             raise ValueError("a piece holds a space after another character")
-        self.longest = max(map(len, self.vocab))
+        self._index()
         self.output = [b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else bytes([int(p[3:5], 16)]) if k == _BYTE
                        else p.replace(META, " ").encode() for p, k in zip(self.pieces, kinds)]
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._reached: dict[str, bool] = {}
         self._limit = cache
         self._words = WordCache(space_parts, lambda p: array("I", self.word_ids(p[1:] if p[:1] == RAW else " " + p)).tobytes())
 
+    def _index(self) -> None:
+        """Prefixes of all pieces, with whether the prefix is a piece itself."""
+        self.prefixes = {p[:k]: False for p in self.vocab for k in range(1, len(p))}
+        self.prefixes.update(dict.fromkeys(self.vocab, True))
+
     # -- arcs -------------------------------------------------------------
     def _merge(self, text: str) -> list[str]:
         """Symbols that merging by rank leaves of a short text."""
@@ -122,30 +128,46 @@ class PieceTransducer:
             ok = self._pairs[key] = self._merge(u + v) == [u, v]
         return ok
 
+    def reached(self, v: str) -> bool:
+        """Whether merging the text of an arc ends in that one piece, so that it may begin a path."""
+        ok = self._reached.get(v)
+        if ok is None:
+            if len(self._reached) > self._limit:
+                self._reached.clear()
+            ok = self._reached[v] = self._merge(v) == [v]
+        return ok
+
     # -- composition and shortest path ---------------------------------------
     def _arcs(self, text: str, at: int) -> list[str]:
-        """Labels of the arcs that leave a lattice state, longest first."""
-        vocab = self.vocab
-        out = [text[at:z] for z in range(min(len(text), at + self.longest), at + 1, -1) if text[at:z] in vocab]
-        out.append(text[at])
+        """Labels of the arcs that leave a lattice state, shortest first, by a walk down the piece prefixes."""
+        out, z, n = [text[at]], at + 2, len(text)
+        prefixes = self.prefixes
+        while z <= n:
+            v = text[at:z]
+            piece = prefixes.get(v)
+            if piece is None:
+                break
+            if piece:
+                out.append(v)
+            z += 1
         return out
 
     def _path_bpe(self, text: str) -> list[str]:
         """The only finite path: states are (position, last piece), dead ones are remembered."""
-        if text in self.vocab and self._merge(text) == [text]:
+        if text in self.vocab and self.reached(text):
             return [text]
         path: list[str] = []
-        todo = [self._arcs(text, 0)[::-1]]
+        todo = [self._arcs(text, 0)]
         at, dead = 0, set()
         while at < len(text):
             options = todo[-1]
             while options:
                 v = options.pop()
-                if (at, v) not in dead and (self.neighbours(path[-1], v) if path else self._merge(v) == [v]):
+                if (at, v) not in dead and (self.neighbours(path[-1], v) if path else self.reached(v)):
                     path.append(v)
                     at += len(v)
                     if at < len(text):
-                        todo.append(self._arcs(text, at)[::-1])
+                        todo.append(self._arcs(text, at))
                     break
             else:
                 todo.pop()

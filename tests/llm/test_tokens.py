@@ -187,7 +187,8 @@ def test_unigram_shortest_path_against_all_segmentations():
     fst = piece_fst.PieceTransducer.__new__(piece_fst.PieceTransducer)
     pieces = ["a", "b", "ab", "ba", "aba", "abab"]
     scores = [-2.0, -2.5, -3.0, -2.2, -3.9, -8.0]
-    fst.vocab, fst.scores, fst.longest = {p: i for i, p in enumerate(pieces)}, scores, 4
+    fst.vocab, fst.scores = {p: i for i, p in enumerate(pieces)}, scores
+    fst._index()
 
     def best(text):
         if not text:
