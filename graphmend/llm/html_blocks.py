@@ -33,7 +33,7 @@ _ASIDE_WORDS = frozenset(
     "footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo recommended "
     "related replies reply share sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _WORDS = re.compile(r"[a-z]+")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 
@@ -109,7 +109,9 @@ def blocks(page: str) -> list[tuple[str, list[float], int | None]]:
         while stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"
                          or stack[-1][0] == "head" and name == "body"):
             stack.pop()
-        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3] or m[6] or "")}
+        attributes: dict[str, str] = {}
+        for a in _ATTRIBUTE.finditer(m[3] or m[6] or ""):  # values are consumed whole; the first of a name counts
+            attributes.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         words = set(_WORDS.findall(" ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower()))
         within = any(s[2] for s in stack)
         if name in ("html", "body", "main"):

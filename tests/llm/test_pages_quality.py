@@ -30,6 +30,22 @@ def test_pages(spark):
     assert html_blocks.extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("opening", [
+    '<body style="overflow:hidden"><div>', '<body><div style="overflow: hidden">', "<body><div data-state='hidden'>", '<body><div title="class=ad hidden">',
+    '<body><div data-state=hidden data-class="ad" data-id="sidebar" data-role=banner>', '<body><div class="text" class="ad" aria-label="not hidden">'])
+def test_attributes_are_read_by_name(opening):
+    """Words in values of other attributes neither hide an element nor name its class."""
+    assert html_blocks.main_text(f"{opening}<article><h1>Head</h1><p>All of the text.</p></article></div></body>", TREE) == "Head All of the text."
+    long = "The committee met again on Tuesday to talk about the bridge, and after two hours of argument agreed on very little. " * 3
+    found = html_blocks.blocks(f"{opening}<p>{long}</p></div></body>")
+    assert [(b[0], b[1][2]) for b in found] == [(" ".join(long.split()), False)]
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'HIDDEN=""', "class=x hidden", 'aria-hidden="true"', "hidden='until-found'"])
+def test_hidden_elements_are_left_out(attribute):
+    assert html_blocks.main_text(f"<article><p>Shown text.</p><div {attribute}><p>Not this.</p></div></article>", TREE) == "Shown text."
+
+
 def test_plain_page_by_words_and_links():
     """No containers or class names: word counts and link density decide."""
     long = "The committee met again on Tuesday to talk about the bridge, and after two hours of argument agreed on very little. " * 3
