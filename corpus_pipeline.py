@@ -36,9 +36,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
+    """Pieces of all documents with their token ids, packed into sequences of at most 1024 tokens."""
     ship_package(spark)
-    return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2, with_ids=False)
+    return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 STAGES = [

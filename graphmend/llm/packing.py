@@ -218,3 +218,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
 
     placed = dealt.groupBy("cell").applyInPandas(pack, "row long, sequence_id long, offset long")
     return full.unionByName(part.join(placed, "row").drop("row"))
+
+
+def id_digests(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids_crc32`` in place of ``ids``: CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
+    import pyarrow as pa
+
+    cols = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    bounded_batches(packed.sparkSession, 4)
+
+    def kernel(batches):
+        for b in batches:
+            ids = b.column(4)
+            at, values = ids.offsets.to_pylist(), memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B")
+            crc = pa.array([zlib.crc32(values[4 * s:4 * e]) for s, e in zip(at, at[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if i == 4 else b.column(i) for i in range(len(cols))],
+                                             names=["ids_crc32" if c == "ids" else c for c in cols])
+
+    return packed.select(*cols).mapInArrow(
+        kernel, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -57,8 +57,8 @@ def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024,
-                                  end_id=2, with_ids=False)
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.id_digests(packed)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
