@@ -94,61 +94,61 @@ def _matrix(col) -> np.ndarray:
 
 
 def _leaves(classes: DataFrame, trees: int, threshold: float) -> DataFrame:
-    """``(cid, cell)``: every leaf of every vector, as a staged table."""
+    """``(cid, dim, cell)``: every leaf of every vector that shares one, as staged tables.
+
+    Every vector length (``dim``) has a forest of its own; all of them grow in
+    the same jobs, as cells are told apart by length and code.  Lengths with
+    no more vectors than a leaf holds are one leaf.
+    """
     import pandas as pd
 
-    n = classes.count()
-    open_ = classes.select("cid", F.explode(F.array(*[F.lit((t << _SHIFT) | 1).cast("long") for t in range(trees)])).alias("cell"))
-    sizes = None
-    done: list[DataFrame] = []
+    roots = F.explode(F.array(*[F.lit((t << _SHIFT) | 1).cast("long") for t in range(trees)])).alias("cell")
+    lengths = stage(classes.groupBy("dim").agg(F.count("*").alias("n")), "forest-lengths")
+    small = lengths.where((F.col("n") > 1) & (F.col("n") <= LEAF)).select("dim")
+    done = [classes.join(small, "dim", "left_semi").select("cid", "dim", F.lit(1).cast("long").alias("cell"))]
+    sizes = lengths.where(F.col("n") > LEAF)
+    open_ = classes.select("cid", "dim").join(sizes.select("dim"), "dim", "left_semi").select("cid", "dim", roots)
+    sizes = sizes.select("dim", "n", roots)
+    first = True
 
     def fit(key, pdf):
-        found = fit_cell(int(key[0]), _unit(_matrix(pdf["vec"])), int(pdf["n"].iloc[0]), threshold)
+        found = fit_cell(int(key[1]), _unit(_matrix(pdf["vec"])), int(pdf["n"].iloc[0]), threshold)
         codes, low, high = zip(*found) if found else ((), (), ())
-        return pd.DataFrame({"cell": [int(key[0])], "codes": [list(codes)], "low": [list(low)], "high": [list(high)]})
+        return pd.DataFrame({"dim": [int(key[0])], "cell": [int(key[1])], "codes": [list(codes)], "low": [list(low)], "high": [list(high)]})
 
     def send(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            unit = _unit(_matrix(pdf["vec"]))
-            cid = pdf["cid"].to_numpy()
-            cell = pdf["cell"].to_numpy()
             out = []
-            for c in np.unique(cell):
-                rows = np.flatnonzero(cell == c)
-                first = pdf.iloc[rows[0]]
+            for (dim, c), own in pdf.groupby(["dim", "cell"], sort=False):
+                cid, first = own["cid"].to_numpy(), own.iloc[0]
                 splits = {int(k): (lo, hi) for k, lo, hi in zip(first["codes"], first["low"], first["high"])}
-                for leaf, inside in route(int(c), splits, unit[rows]):
-                    out.append((cid[rows[inside]], leaf, c))
-            n = [len(x) for x, _, _ in out]
-            yield pd.DataFrame({"cid": np.concatenate([x for x, _, _ in out]), "cell": np.repeat([x for _, x, _ in out], n),
-                                "was": np.repeat([x for _, _, x in out], n)})
-
-    while True:
-        if sizes is None:
-            share = min(1.0, FIT_SAMPLE / max(n, 1))
-            picked = classes.where(F.rand(seed=7) < share).select("vec", F.lit(n).cast("long").alias("n"))
-            sample = picked.select("vec", "n", F.explode(
-                F.array(*[F.lit((t << _SHIFT) | 1).cast("long") for t in range(trees)])).alias("cell"))
+                for leaf, inside in route(int(c), splits, _unit(_matrix(own["vec"]))):
+                    out.append((cid[inside], dim, leaf, c))
+            if out:
+                n = [len(x[0]) for x in out]
+                yield pd.DataFrame({"cid": np.concatenate([x[0] for x in out])} | {
+                    name: np.repeat([x[i] for x in out], n) for i, name in enumerate(("dim", "cell", "was"), 1)})
+
+    while not sizes.isEmpty():
+        share = F.rand(seed=7) < F.lit(float(FIT_SAMPLE)) / F.col("n")
+        if first:  # every tree is fitted on the same sample
+            sample = classes.join(sizes.select("dim", "n").distinct(), "dim").where(share).select("dim", "n", "vec", roots)
         else:
-            sample = (open_.join(sizes, "cell").where(F.rand(seed=7) < F.lit(float(FIT_SAMPLE)) / F.col("n"))
-                      .join(classes, "cid").select("cell", "n", "vec"))
-        fitted = stage(sample.groupBy("cell").applyInPandas(
-            fit, "cell long, codes array<long>, low array<double>, high array<double>"), "forest-splits")
-        routed = stage(open_.join(classes, "cid").join(fitted, "cell").mapInPandas(send, "cid long, cell long, was long"),
-                       "forest-cells")
-        unfitted = open_.join(fitted.select("cell"), "cell", "left_anti")  # cells of which nothing was sampled
-        done.append(unfitted.select("cid", "cell"))
-        counts = routed.groupBy("cell", "was").agg(F.count("*").alias("n"))
+            sample = open_.join(sizes, ["dim", "cell"]).where(share).join(classes.select("cid", "vec"), "cid").select(
+                "dim", "cell", "n", "vec")
+        fitted = stage(sample.groupBy("dim", "cell").applyInPandas(
+            fit, "dim int, cell long, codes array<long>, low array<double>, high array<double>"), "forest-splits")
+        routed = stage(open_.join(classes.select("cid", "vec"), "cid").join(fitted, ["dim", "cell"]).mapInPandas(
+            send, "cid long, dim int, cell long, was long"), "forest-cells")
+        unfitted = open_.join(fitted.select("dim", "cell"), ["dim", "cell"], "left_anti")  # cells of which nothing was sampled
+        done.append(unfitted.select("cid", "dim", "cell"))
+        counts = routed.groupBy("dim", "cell", "was").agg(F.count("*").alias("n"))
         # Split again what is still far above a leaf and was split at all this time.
-        sizes = counts.where((F.col("n") > 4 * LEAF) & (F.col("cell") != F.col("was"))).select("cell", "n")
-        if sizes.isEmpty():
-            done.append(routed.select("cid", "cell"))
-            break
-        sizes = stage(sizes, "forest-open")
-        done.append(routed.join(sizes.select("cell"), "cell", "left_anti").select("cid", "cell"))
-        open_ = routed.join(sizes.select("cell"), "cell", "left_semi").select("cid", "cell")
+        sizes = stage(counts.where((F.col("n") > 4 * LEAF) & (F.col("cell") != F.col("was"))).select("dim", "cell", "n"), "forest-open")
+        again = sizes.select("dim", "cell")
+        done.append(routed.join(again, ["dim", "cell"], "left_anti").select("cid", "dim", "cell"))
+        open_ = routed.join(again, ["dim", "cell"], "left_semi").select("cid", "dim", "cell")
+        first = False
     leaves = done[0]
     for d in done[1:]:
         leaves = leaves.union(d)
@@ -234,21 +234,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
     grouped = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stage(grouped.select(F.monotonically_increasing_id().alias("cid"), "rep", "copies", F.col("vec").alias("raw"),
                                    scaled.alias("vec"), F.size("vec").alias("dim")), "forest-class")
-    dims = [r[0] for r in classes.select("dim").distinct().limit(64).collect()]
-    parts = []
-    for dim in dims:  # one forest for each length of vector, usually one
-        own = classes.where(F.col("dim") == dim)
-        parts.append(_leaves(own.select("cid", "vec"), trees, threshold))
-    if not parts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                           F.lit(True).alias("kept"))
-    leaves = parts[0]
-    for p in parts[1:]:
-        leaves = leaves.union(p)
+    leaves = _leaves(classes.select("cid", "dim", "vec"), trees, threshold)
     of_vec = leaves.groupBy("cid").agg(F.array_sort(F.collect_set("cell")).alias("codes"))
-    sizes = leaves.groupBy("cell").agg(F.count("*").alias("n"))
+    sizes = leaves.groupBy("dim", "cell").agg(F.count("*").alias("n"))
     carried = classes.join(of_vec, "cid").select("cid", "copies", "vec", "dim", "codes", F.explode("codes").alias("cell"))
-    carried = carried.join(sizes.where(F.col("n") > 1), "cell")
+    carried = carried.join(sizes.where(F.col("n") > 1), ["dim", "cell"])
     slices = carried.withColumn("c", F.ceil(F.col("n") / SLICE).cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("cid"), F.col("c")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1),

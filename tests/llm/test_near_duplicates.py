@@ -120,6 +120,28 @@ def test_vectors_empty_table(spark):
     assert embedding_forest.near_vectors(spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_vectors_of_many_lengths(spark):
+    """Each of 90 lengths finds its links, however many lengths there are."""
+    rng = np.random.default_rng(4)
+    vectors = []
+    for dim in range(2, 92):
+        v = rng.standard_normal(dim)
+        vectors += [v.tolist(), (v + 0.01 * rng.standard_normal(dim)).tolist()]
+    check_vectors(spark, vectors)
+
+
+def test_forests_of_several_lengths(spark, monkeypatch):
+    """Lengths that are split and lengths that are one leaf, in the same jobs."""
+    monkeypatch.setattr(embedding_forest, "LEAF", 40)
+    monkeypatch.setattr(embedding_forest, "FIT_SAMPLE", 100)
+    monkeypatch.setattr(embedding_forest, "FIT_LEAST", 16)
+    rng = np.random.default_rng(6)
+    vectors = []
+    for dim, n in ((16, 30), (17, 25), (18, 4)):
+        vectors += (np.repeat(rng.standard_normal((n, dim)), 4, axis=0) + 0.05 * rng.standard_normal((4 * n, dim))).tolist()
+    check_vectors(spark, vectors)
+
+
 def test_vectors_null_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], "a", 1, 1), (4, [1.0, 0.01], "a", 1, 1), (4, [1.0, 0.01], "a", 1, 1), (None, [0.0, 1.0], "a", 1, 1)], VECS)
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_forest.near_vectors(df).collect()]
