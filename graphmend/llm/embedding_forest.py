@@ -9,14 +9,19 @@ smallest of its shared leaves, so links are counted without gathering pairs,
 and only spanning edges leave a leaf for the union.
 
 Splits are fitted on a bounded sample for each cell; every vector is routed.
-Cells still too large are split again in further rounds.  A cell whose
-vectors are mostly close to each other is not split, as any cut would part
-links: it stays one leaf and is compared slice against slice.
+Cells still too large are split again in further rounds.  The spill of a
+split follows from the cell's spread, the distance of a pair just at the
+threshold and the levels to come, so that the chance to lose such a pair in
+all trees is bounded (``MISSED``) whatever the cell's size.  A cell that no
+split of moderate spill keeps within that bound, or whose vectors are mostly
+close to each other, is not split: it stays one leaf and is compared slice
+against slice.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import erfc
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from graphmend.llm.common import bounded_batches, connected_components, stage, unstage
 
 TREES = 6
-SPILL = 0.08          # share of a cell on each side of the median that goes both ways
+MISSED = 0.005        # share of pairs just at the threshold that all trees together may part
+SPILL = 0.08          # least share of a cell on each side of the median that goes both ways
+WIDEST = 0.16         # largest such share; a cell that needs more is not split
 LEAF = 768            # cells expected to hold at most this many vectors are leaves
 FIT_SAMPLE = 8_192    # vectors sampled of a cell to fit its splits
 FIT_LEAST = 32        # a sampled cell smaller than this is not split in this round
@@ -50,29 +57,60 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def fit_cell(code: int, sample: np.ndarray, size: int, threshold: float) -> list[tuple[int, float, float]]:
-    """Splits ``(code, low, high)`` below a cell of ``size`` vectors, from its sample.
+def fit_cell(code: int, sample: np.ndarray, size: int, threshold: float, trees: int = TREES,
+             kept: float = 1.0) -> list[tuple[int, float, float, float]]:
+    """Splits ``(code, low, high, kept)`` below a cell of ``size`` vectors, from its sample.
 
     Left takes projections below ``high``, right those from ``low`` on.
+    ``kept`` is the chance that a pair just at ``threshold`` is still together
+    in the cell, as the mean over its vectors, before and after the split.
+    All the splits above a leaf together must leave ``1 - MISSED ** (1 /
+    trees)`` of it, dealt over the levels to come: each split takes the least
+    spill that does, and a cell for which ``WIDEST`` does not stays whole.
     """
-    out, todo = [], [(code, sample, float(size))]
+    gap = float(np.sqrt(max(2 - 2 * threshold, 0.0)))  # distance of such a pair
+    least = 1 - MISSED ** (1 / trees)
+    out, todo = [], [(code, sample, np.full(len(sample), kept), float(size))]
     while todo:
-        c, x, n = todo.pop()
+        c, x, stay, n = todo.pop()
         if n <= LEAF or len(x) < FIT_LEAST or (c & ((1 << _SHIFT) - 1)).bit_length() > _DEEPEST:
             continue
         probe = x[np.linspace(0, len(x) - 1, min(len(x), 256)).astype(int)]
         if ((probe @ probe.T) >= threshold).mean() - 1 / len(probe) >= DENSE:
             continue
         p = x @ _direction(c, x.shape[1])
-        low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
-        if not low < high:
+        # Over random directions the pair's projected gap is normal, with the share of its distance that a
+        # dimension has; where the vectors fill fewer dimensions, the cell's own spread tells that share.
+        spread = float(np.sqrt(x.var(axis=0).sum()))
+        sigma = gap * max(x.shape[1] ** -0.5, float(p.std()) / spread if spread > 0 else 0.0)
+        for spill in np.arange(SPILL, WIDEST + 1e-9, 0.02):
+            low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
+            if not low < high:
+                continue
+            parted = np.where(p < low, _above((high - p) / sigma), np.where(p >= high, _above((p - low) / sigma), 0.0)) if sigma else 0.0
+            after = stay * (1 - parted)
+            levels = max(1.0, np.log(n / LEAF) / -np.log(0.5 + spill))
+            sides = [p < high, p >= low]
+            now = stay.mean()
+            if now > least and min(after[inside].mean() for inside in sides) >= now * (least / now) ** (1 / levels):
+                break
+        else:
             continue
-        out.append((c, float(low), float(high)))
-        for child, inside in zip(_children(c), (p < high, p >= low)):
-            todo.append((child, x[inside], n * inside.mean()))
+        out.append((c, float(low), float(high), float(after.mean())))
+        for child, inside in zip(_children(c), sides):
+            todo.append((child, x[inside], after[inside], n * inside.mean()))
     return out
 
 
+_GRID = np.linspace(0, 8, 1601)
+_TAIL = np.array([0.5 * erfc(z / 2 ** 0.5) for z in _GRID])
+
+
+def _above(z: np.ndarray) -> np.ndarray:
+    """Chance that a standard normal value is above ``z >= 0``."""
+    return np.interp(z, _GRID, _TAIL)
+
+
 def route(code: int, splits: dict[int, tuple[float, float]], unit: np.ndarray):
     """Yield ``(leaf code, row indices)`` of the vectors below a cell."""
     todo = [(code, np.arange(len(unit)))]
@@ -108,13 +146,14 @@ def _leaves(classes: DataFrame, trees: int, threshold: float) -> DataFrame:
     done = [classes.join(small, "dim", "left_semi").select("cid", "dim", F.lit(1).cast("long").alias("cell"))]
     sizes = lengths.where(F.col("n") > LEAF)
     open_ = classes.select("cid", "dim").join(sizes.select("dim"), "dim", "left_semi").select("cid", "dim", roots)
-    sizes = sizes.select("dim", "n", roots)
+    sizes = sizes.select("dim", "n", F.lit(1.0).alias("kept"), roots)
     first = True
 
     def fit(key, pdf):
-        found = fit_cell(int(key[1]), _unit(_matrix(pdf["vec"])), int(pdf["n"].iloc[0]), threshold)
-        codes, low, high = zip(*found) if found else ((), (), ())
-        return pd.DataFrame({"dim": [int(key[0])], "cell": [int(key[1])], "codes": [list(codes)], "low": [list(low)], "high": [list(high)]})
+        found = fit_cell(int(key[1]), _unit(_matrix(pdf["vec"])), int(pdf["n"].iloc[0]), threshold, trees, float(pdf["kept"].iloc[0]))
+        codes, low, high, kept = zip(*found) if found else ((), (), (), ())
+        return pd.DataFrame({"dim": [int(key[0])], "cell": [int(key[1])], "codes": [list(codes)], "low": [list(low)], "high": [list(high)],
+                             "kept": [list(kept)]})
 
     def send(batches):
         for pdf in batches:
@@ -122,29 +161,34 @@ def _leaves(classes: DataFrame, trees: int, threshold: float) -> DataFrame:
             for (dim, c), own in pdf.groupby(["dim", "cell"], sort=False):
                 cid, first = own["cid"].to_numpy(), own.iloc[0]
                 splits = {int(k): (lo, hi) for k, lo, hi in zip(first["codes"], first["low"], first["high"])}
+                below = {child: k for code, k in zip(first["codes"], first["kept"]) for child in _children(int(code))}
                 for leaf, inside in route(int(c), splits, _unit(_matrix(own["vec"]))):
-                    out.append((cid[inside], dim, leaf, c))
+                    out.append((cid[inside], dim, leaf, c, below.get(leaf, 1.0)))
             if out:
                 n = [len(x[0]) for x in out]
                 yield pd.DataFrame({"cid": np.concatenate([x[0] for x in out])} | {
-                    name: np.repeat([x[i] for x in out], n) for i, name in enumerate(("dim", "cell", "was"), 1)})
+                    name: np.repeat([x[i] for x in out], n) for i, name in enumerate(("dim", "cell", "was", "kept"), 1)})
 
     while not sizes.isEmpty():
         share = F.rand(seed=7) < F.lit(float(FIT_SAMPLE)) / F.col("n")
         if first:  # every tree is fitted on the same sample
-            sample = classes.join(sizes.select("dim", "n").distinct(), "dim").where(share).select("dim", "n", "vec", roots)
+            sample = classes.join(sizes.select("dim", "n").distinct(), "dim").where(share).select(
+                "dim", "n", "vec", F.lit(1.0).alias("kept"), roots)
         else:
             sample = open_.join(sizes, ["dim", "cell"]).where(share).join(classes.select("cid", "vec"), "cid").select(
-                "dim", "cell", "n", "vec")
+                "dim", "cell", "n", "vec", "kept")
         fitted = stage(sample.groupBy("dim", "cell").applyInPandas(
-            fit, "dim int, cell long, codes array<long>, low array<double>, high array<double>"), "forest-splits")
+            fit, "dim int, cell long, codes array<long>, low array<double>, high array<double>, kept array<double>"), "forest-splits")
+        if first:  # a tree whose root stays whole holds every pair: the length needs no other
+            whole = fitted.where(F.size("codes") == 0).groupBy("dim").agg(F.min("cell").alias("whole"))
+            open_ = open_.join(F.broadcast(whole), "dim", "left").where("whole is null or whole = cell").drop("whole")
         routed = stage(open_.join(classes.select("cid", "vec"), "cid").join(fitted, ["dim", "cell"]).mapInPandas(
-            send, "cid long, dim int, cell long, was long"), "forest-cells")
+            send, "cid long, dim int, cell long, was long, kept double"), "forest-cells")
         unfitted = open_.join(fitted.select("dim", "cell"), ["dim", "cell"], "left_anti")  # cells of which nothing was sampled
         done.append(unfitted.select("cid", "dim", "cell"))
-        counts = routed.groupBy("dim", "cell", "was").agg(F.count("*").alias("n"))
+        counts = routed.groupBy("dim", "cell", "was").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
         # Split again what is still far above a leaf and was split at all this time.
-        sizes = stage(counts.where((F.col("n") > 4 * LEAF) & (F.col("cell") != F.col("was"))).select("dim", "cell", "n"), "forest-open")
+        sizes = stage(counts.where((F.col("n") > 4 * LEAF) & (F.col("cell") != F.col("was"))).select("dim", "cell", "n", "kept"), "forest-open")
         again = sizes.select("dim", "cell")
         done.append(routed.join(again, ["dim", "cell"], "left_anti").select("cid", "dim", "cell"))
         open_ = routed.join(again, ["dim", "cell"], "left_semi").select("cid", "dim", "cell")

@@ -176,3 +176,50 @@ def test_forest_recall_near_the_threshold(spark, n):
     got = embedding_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     found = got.agg(F.sum("n_links")).first()[0] / 2
     assert n >= found >= 0.97 * n
+
+
+def related_group(rng, n, pairs, mean=0.8, dim=64):
+    """``n`` unit vectors of a group with this mean cosine; the first ``pairs`` have partners at cosine 0.901 to 0.93 right after them."""
+    def around(k):
+        v = np.c_[np.zeros(k), rng.standard_normal((k, dim - 1))]
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    own = around(n - pairs)
+    a, b = own[:pairs], around(pairs)
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = (rng.uniform(0.901, 0.93, (pairs, 1)) - mean) / (1 - mean)
+    group = np.sqrt(1 - mean) * np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, own[pairs:]])
+    group[:, 0] = np.sqrt(mean)
+    return group
+
+
+@pytest.mark.parametrize("n,rest", [(60_000, 0), (20_000, 40_000)])
+def test_trees_keep_pairs_of_a_large_related_group(n, rest):
+    """Mean cosine 0.8, alone and as a third of the rows: planted pairs share a leaf of some tree."""
+    rng = np.random.default_rng(11)
+    pairs = 1000
+    other = rng.standard_normal((rest, 64))
+    x = np.concatenate([related_group(rng, n, pairs), other / np.linalg.norm(other, axis=1)[:, None]])
+    sample = x[rng.random(len(x)) < embedding_forest.FIT_SAMPLE / len(x)]
+    found = np.zeros(pairs, bool)
+    for tree in range(embedding_forest.TREES):
+        root = (tree << 56) | 1
+        splits = {f[0]: (f[1], f[2]) for f in embedding_forest.fit_cell(root, sample, len(x), 0.9)}
+        for _, rows in embedding_forest.route(root, splits, x):
+            inside = np.isin(np.arange(2 * pairs), rows)
+            found |= inside[:pairs] & inside[pairs:]
+    assert found.mean() >= 0.99
+
+
+def test_links_of_a_related_group(spark, monkeypatch):
+    """All steps with small leaves and several rounds of splits: recall of all links of a group with mean cosine 0.8."""
+    monkeypatch.setattr(embedding_forest, "LEAF", 48)
+    monkeypatch.setattr(embedding_forest, "FIT_SAMPLE", 400)
+    rng = np.random.default_rng(12)
+    other = rng.standard_normal((2000, 64))
+    x = np.concatenate([related_group(rng, 3000, 1000), other / np.linalg.norm(other, axis=1)[:, None]])
+    links = (np.count_nonzero(x @ x.T >= 0.9) - len(x)) / 2
+    got = embedding_forest.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    found = got.agg(F.sum("n_links")).first()[0] / 2
+    assert links >= found >= 0.98 * links
