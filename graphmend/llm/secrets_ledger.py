@@ -105,7 +105,10 @@ def _by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``(blob, spans)`` of the blobs with findings; spans ``(start, kind_no, kind, end)`` in ascending order."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("rule")]))
+    # The highest version counts that scan() takes as done, also one later than the rule's.
+    latest = ledger.where(F.col("version") >= current[F.col("rule")]).groupBy("blob", "rule").agg(
+        F.max_by("spans", "version").alias("spans"))
+    hits = latest.where(F.size("spans") > 0)
     one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("kind_no"),
                                                   F.col("rule").alias("kind"), s["end"].alias("end")))
     return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("spans"))

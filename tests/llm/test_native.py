@@ -5,7 +5,7 @@ import pytest
 from brute import base_spans, sha, span_text
 from pyspark.sql import functions as F
 
-from graphmend.llm import chat_format, multiset_hash as mh, secrets_ledger as sl
+from graphmend.llm import chat_format, common, multiset_hash as mh, secrets_ledger as sl
 
 KEY = "AKIA" + "Q7" * 10
 HEX = "0123456789abcdef" * 3
@@ -168,3 +168,18 @@ def test_no_python_in_native_plans(spark, docs):
 
 def test_likeness_bounds():
     assert mh.EXACT + mh.SIGNS == 72 and np.log2(mh._MASK + 1) == 32
+
+
+def test_ledger_ahead_of_the_rules(spark):
+    """Findings of a later rule version count, also over those of the rule's own version."""
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([(1, "token = abcdef123 end"), (2, "plain")], "doc_id long, text string")
+    newer = tuple(replace(r, version=3) for r in sl.RULES)
+    ahead = common.stage(sl.scan(docs, newer), "test-ahead")
+    assert sl.scan(docs, ledger=ahead).count() == 0
+    stale = ahead.withColumn("version", F.lit(1)).withColumn("spans", F.expr("array(named_struct('start', 0L, 'end', 1L))"))
+    for ledger in (ahead, ahead.union(stale.select(*ahead.columns))):
+        got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in sl.findings(docs, ledger).collect()}
+        assert got == {1: [("assign", 0, 17)], 2: []}
+        assert {r.doc_id: r.text for r in sl.masked(docs, ledger).collect()} == {1: "[SECRET] end", 2: "plain"}
