@@ -121,6 +121,22 @@ def token_batches(
     return _exact_batches(ok, id_col, [F.col(c) for c in dict.fromkeys([order_col, id_col])], cap, max(shard_rows, cap + 1))
 
 
+def batches_and_rejects(counted: DataFrame, id_col: str, order_col: str, cap: int = TOKENS_PER_CALL, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per input: ``id, batch_id, status``.
+
+    Inputs of at most ``cap`` tokens are batched as by ``token_batches`` (status
+    ``batched``); larger ones fit no call and come back as rows of their own
+    (status ``oversized``, null batch), so one long text never stops the run
+    and none is lost.  Token counts are computed once for both.  A null count
+    is ``oversized`` too, as it cannot be shown to fit.
+    """
+    sized = cut_lineage(counted.select(*dict.fromkeys([id_col, order_col]), "n_tokens"))
+    batched = token_batches(sized, id_col, order_col, cap, shard_rows, strict=False)
+    rejects = sized.filter(~F.coalesce(F.col("n_tokens") <= cap, F.lit(False)))
+    return batched.select(id_col, "batch_id", F.lit("batched").alias("status")).unionByName(
+        rejects.select(id_col, F.lit(None).cast("long").alias("batch_id"), F.lit("oversized").alias("status")))
+
+
 def _exact_batches(ok: DataFrame, id_col: str, order: list, cap: int, seg_rows: int) -> DataFrame:
     """Exact greedy packing over data no single task should hold.
 

@@ -371,6 +371,10 @@ def counted_texts(spark, sf_dir):
     return batching.token_counts(fx.texts(spark, sf_dir), "text")
 
 
+def counted_with_oversized(spark, sf_dir):
+    return batching.token_counts(fx.texts_with_oversized(spark, sf_dir), "text")
+
+
 @query("embedding_inputs")
 def q_embedding_inputs(spark, sf_dir):
     nodes_df = nodes.build_nodes(remapped_kg(spark, sf_dir))
@@ -396,12 +400,13 @@ def q_token_budget(spark, sf_dir):
 
 @query("oversized_inputs")
 def q_oversized_inputs(spark, sf_dir):
-    return batching.oversized(counted_texts(spark, sf_dir)).select("doc_id", "n_tokens")
+    return batching.oversized(counted_with_oversized(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
 @query("token_batches")
 def q_token_batches(spark, sf_dir):
-    return batching.token_batches(counted_texts(spark, sf_dir), "doc_id", "doc_id").select("doc_id", "batch_id")
+    out = batching.batches_and_rejects(counted_with_oversized(spark, sf_dir), "doc_id", "doc_id")
+    return out.withColumn("batch_id", F.coalesce("batch_id", F.lit(-1)))
 
 
 def doc_block_requests(spark, sf_dir):

@@ -443,17 +443,20 @@ oracle("token_counts", "counted")("SELECT doc_id, n_tokens FROM counted")
 oracle("token_budget", "counted")("""
 SELECT count(*) AS n_requests, CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
   round(sum(n_tokens) / 1000000.0 * 0.1, 6) AS est_cost FROM counted""")
-oracle("oversized_inputs", "counted")("SELECT doc_id, n_tokens FROM counted WHERE n_tokens > 8192")
+FIXTURE_SQL["counted_over"] = "SELECT doc_id, n_tokens FROM counted UNION ALL SELECT -1, 8193"
+oracle("oversized_inputs", "counted_over")("SELECT doc_id, n_tokens FROM counted_over WHERE n_tokens > 8192")
 FIXTURE_SQL["tb_items"] = """
-SELECT doc_id, n_tokens, row_number() OVER (ORDER BY doc_id) AS rn FROM counted WHERE n_tokens <= 8192"""
+SELECT doc_id, n_tokens, row_number() OVER (ORDER BY doc_id) AS rn FROM counted_over WHERE n_tokens <= 8192"""
 FIXTURE_SQL["r"] = """
 SELECT rn, doc_id, 0 AS batch, n_tokens AS used FROM tb_items WHERE rn = 1
 UNION ALL
 SELECT t.rn, t.doc_id, CASE WHEN r.used + t.n_tokens > 8192 THEN r.batch + 1 ELSE r.batch END,
        CASE WHEN r.used + t.n_tokens > 8192 THEN t.n_tokens ELSE r.used + t.n_tokens END
 FROM r JOIN tb_items t ON t.rn = r.rn + 1"""
-DEPS.update({"tb_items": ["counted"], "r": ["tb_items"]})
-oracle("token_batches", "r")("SELECT doc_id, CAST(batch AS BIGINT) AS batch_id FROM r")
+DEPS.update({"counted_over": ["counted"], "tb_items": ["counted_over"], "r": ["tb_items"]})
+oracle("token_batches", "r")("""
+SELECT doc_id, CAST(batch AS BIGINT) AS batch_id, 'batched' AS status FROM r
+UNION ALL SELECT doc_id, -1, 'oversized' FROM counted_over WHERE n_tokens > 8192""")
 oracle("completion_requests", "docreq")("SELECT custom_id, request FROM docreq")
 oracle("request_shards", "docreq")("""
 SELECT CAST(floor((rn - 1) / 50) AS BIGINT) AS shard_id, count(*) AS n_requests,

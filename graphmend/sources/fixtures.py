@@ -168,6 +168,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents", "doc_id", "text")
 
 
+OVERSIZED_WORDS = 8193  # one word more than an embedding call takes
+
+
+def texts_with_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``texts`` plus document -1, which is longer than any embedding call at every scale."""
+    extra = spark.range(1, numPartitions=1).select(
+        F.lit(-1).cast("long").alias("doc_id"), F.repeat(F.lit("over "), OVERSIZED_WORDS).alias("text"))
+    return texts(spark, sf_dir).unionByName(extra)
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 

@@ -112,3 +112,12 @@ def test_exact_batches_plan_has_no_pair_joins(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert out.count() == 400
+
+
+def test_batches_and_rejects_keep_every_input(spark):
+    rows = [(0, 5), (1, 9), (2, 0), (3, 11), (4, None), (5, 3), (5, 40), (None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    got = sorted(((r.doc_id, r.batch_id, r.status) for r in batching.batches_and_rejects(df, "doc_id", "doc_id", cap=10).collect()), key=str)
+    want = [(None, 0, "batched"), (0, 0, "batched"), (1, 1, "batched"), (2, 1, "batched"), (5, 2, "batched"),
+            (3, None, "oversized"), (4, None, "oversized"), (5, None, "oversized")]
+    assert got == sorted(want, key=str)
