@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from graphmend.session import scratch_path, ship_package
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -17,12 +20,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` (a lost executor costs only a re-read)
-    but keeps the data columnar and compressed.
+    but keeps the data columnar and compressed.  The shuffle files of the
+    write are not needed once it ends, so they are dropped then.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before) if before is not None else spark.conf.unset(_DROP_SHUFFLES)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

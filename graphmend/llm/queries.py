@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmend.llm import (chat_format, embedding_forest, html_blocks, multiset_hash, packing, piece_fst, quality,
-                           secrets_ledger, simhash, token_files)
+from graphmend.llm import (chat_format, embedding_forest, html_blocks, multiset_hash, packing, piece_fst, quality, ranked_search,
+                           secrets_ledger, simhash, substring_dedup, token_files, vector_codes)
 from graphmend.llm.common import stage
 from graphmend.session import scratch_path
 
@@ -80,6 +80,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup,
     op2_simhash_near_dedup,
@@ -91,6 +104,9 @@ QUERIES = {f.__name__: f for f in (
     op8_chat_format,
     op9_html_extraction,
     op10_quality,
+    op11_substring_dedup,
+    op12_ranked_search,
+    op13_vector_codes,
 )}
 
 def _secret_scan_sql() -> str:
@@ -117,7 +133,72 @@ def _secret_scan_sql() -> str:
     """
 
 
+def _vector_codes_sql() -> str:
+    """Two rounds of k-means written out, one row a component."""
+    def nearest(book):
+        return f"""
+            SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d
+            FROM (SELECT x.r, x.p, b.e, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN {book} b ON b.p = x.p AND b.i = x.i GROUP BY x.r, x.p, b.e) y
+            GROUP BY r, p"""
+
+    def moved(book, near):
+        return f"""
+            SELECT b.p, b.e, b.i, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (
+                SELECT n.p, n.e, x.i, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM {near} n JOIN x ON x.r = n.r AND x.p = n.p GROUP BY n.p, n.e, x.i) m
+            ON m.p = b.p AND m.e = b.e AND m.i = b.i"""
+
+    return f"""
+        WITH k AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR isnan(q) OR isinf(q))) = 0),
+        u AS (SELECT r, unnest(range(0, len(e))) AS c, unnest(e) AS q, len(e) // {vector_codes.PARTS} AS w FROM k),
+        x AS MATERIALIZED (SELECT r, c // w AS p, c % w AS i, CAST(floor({vector_codes.SCALE} * q) AS BIGINT) AS v FROM u),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, v FROM x WHERE r <= {vector_codes.ENTRIES}),
+        n0 AS MATERIALIZED ({nearest("b0")}), b1 AS MATERIALIZED ({moved("b0", "n0")}),
+        n1 AS MATERIALIZED ({nearest("b1")}), b2 AS MATERIALIZED ({moved("b1", "n1")}),
+        n2 AS MATERIALIZED ({nearest("b2")}),
+        c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM n2 GROUP BY r)
+        SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) FROM b2) AS codebooks_sha256
+        FROM k JOIN c ON c.r = k.r
+    """
+
+
 ORACLE_SQL = {
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+        g AS (
+            SELECT r, doc_id, i, word, count(*) OVER here AS n, string_agg(word, ' ') OVER here AS words
+            FROM t WINDOW here AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        s AS (SELECT r, i, word, n = 13 AND doc_id > min(doc_id) OVER (PARTITION BY words, n) AS late FROM g),
+        c AS (
+            SELECT r, i, word, bool_or(late) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM s)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(c.i) FILTER (c.gone) AS n_removed,
+               sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (NOT c.gone), '')) AS kept_sha256
+        FROM d LEFT JOIN c ON c.r = d.r GROUP BY d.r, d.doc_id, d.w
+    """,
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+        a AS (SELECT count(*) AS n_all, sum(n)::BIGINT AS l_all FROM n),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) x GROUP BY r, term),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL),
+        s AS (
+            SELECT q.item_id, n.r, n.doc_id,
+                   sum(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                       * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score
+            FROM q JOIN f ON f.term = q.term JOIN p ON p.term = q.term JOIN n ON n.r = p.r, a GROUP BY q.item_id, n.r, n.doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10
+    """,
+    "op13_vector_codes": _vector_codes_sql(),
     "op4_secret_scan": _secret_scan_sql(),
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
