@@ -7,11 +7,12 @@ matter, so the steps are:
 1. A window's *minimizer* is the smallest hash among its ``SEED``-word
    sequences.  Equal windows have equal minimizers, and neighbouring windows
    mostly share theirs, so a run of windows costs one narrow row.  Minimizers
-   of one document only are dropped; the windows of the others are candidates.
-2. Candidates become edges keyed by a 64-bit hash.  An aggregate gives each
-   edge its count, least and greatest document and *source*: its smallest
-   coordinate, a word's place in the whole table.
-3. An edge continues its predecessor's path if it follows it in every
+   of one document only are dropped.  Where all runs of a minimizer are the
+   same, the run is a nonbranching path already and stays one unit; the
+   windows of the other runs become units of their own, keyed by a 64-bit hash.
+2. An aggregate gives each unit its count, least and greatest document and
+   *source*: its smallest coordinate, a word's place in the whole table.
+3. A unit continues its predecessor's path if it follows it in every
    occurrence and both occur equally often.  Then their sources are
    neighbours too, so nonbranching paths are runs of sources: joins mark where
    paths begin, and a window in the source document numbers them.  Every
@@ -90,10 +91,17 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def _runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of runs of equal values."""
-    start = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-    return start, np.diff(np.r_[start, len(m)])
+def _hashed(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after another, each text's first place, and which places begin a window."""
+    lists = [t.split() for t in texts]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    first = np.cumsum(n) - n
+    words = _HASHES.of([w for x in lists for w in x])
+    begins = np.ones(len(words), bool)
+    for i in range(1, k):  # the last k - 1 words of a text
+        last = (first + n - i)[n >= i]
+        begins[last] = False
+    return words, first, begins
 
 
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,34 +126,37 @@ def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(src.mapInArrow(kernel, "at long, doc_id long, doc long, text binary, n_words long"), "passages-docs")
 
 
-def _seeds(table: DataFrame, k: int, with_runs: bool) -> DataFrame:
-    """Minimizers of every document: ``(m, doc)``, or with their runs ``(m, at, start, n)``."""
+def _runs(table: DataFrame, k: int) -> DataFrame:
+    """Runs of windows with one minimizer: ``(m, x, at, c, n, doc)``; ``x`` hashes the run's windows."""
     import pyarrow as pa
 
+    names = ["m", "x", "at", "c", "n", "doc"]
+
     def kernel(batches):
         for b in batches:
-            out = []
-            for at, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = text.split()
-                if len(words) < k:
-                    continue
-                m = minimizers(_HASHES.of(words), k)
-                if with_runs:
-                    start, n = _runs(m)
-                    out.append((m[start], np.full(len(start), at), start, n))
-                else:
-                    m = np.unique(m)
-                    out.append((m, np.full(len(m), doc)))
-            if out:
-                cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    names = ["m", "at", "start", "n"] if with_runs else ["m", "doc"]
+            words, first, begins = _hashed(b.column(2).to_pylist(), k)
+            if not begins.any():
+                continue
+            m, h = minimizers(words, k), window_hashes(words, k)
+            on = begins[:len(m)]
+            row = np.searchsorted(first, np.arange(len(m)), side="right") - 1  # of equal places the last: the text that has words
+            edge = np.r_[True, (m[1:] != m[:-1]) | (row[1:] != row[:-1]) | ~on[:-1]] & on
+            start = np.flatnonzero(edge)
+            ends = np.flatnonzero(np.r_[edge[1:] | ~on[1:], True] & on) + 1
+            position = np.arange(len(m))
+            place = position - start[np.maximum(np.searchsorted(start, position, side="right") - 1, 0)]
+            weighed = np.where(on, h.view(np.uint64) * (2 * place + 1).astype(np.uint64), np.uint64(0))
+            x = _mix(np.add.reduceat(weighed, start)).view(np.int64)
+            r = row[start]
+            at = b.column(0).to_numpy()[r]
+            cols = (m[start], x, at, at + start - first[r], ends - start, b.column(1).to_numpy()[r])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in cols], names=names)
+
     return table.where(F.col("n_words") >= k).select("at", "doc", "text").mapInArrow(kernel, ", ".join(f"{c} long" for c in names))
 
 
-def _occurrences(table: DataFrame, spans: DataFrame, k: int, exact: bool) -> DataFrame:
-    """Windows that start in the spans ``(at, start, n)``: ``(h, g, at, c, doc)``.
+def _windows(table: DataFrame, spans: DataFrame, k: int, exact: bool) -> DataFrame:
+    """Windows that begin in the spans ``(at, c, n)``: ``(h, g, at, c, doc)``.
 
     ``c`` is the window's coordinate; ``h`` its hash and ``g`` zero, or with
     ``exact`` both from its words' digest.
@@ -154,56 +165,72 @@ def _occurrences(table: DataFrame, spans: DataFrame, k: int, exact: bool) -> Dat
 
     names = ["h", "g", "at", "c", "doc"]
 
+    def digests(texts, places, first):
+        for text, mine, a in zip(texts, places, first.tolist()):
+            words = text.split()
+            for i in mine.tolist():
+                yield hashlib.sha256(b" ".join(words[i - a:i - a + k])).digest()[:16]
+
     def kernel(batches):
         for b in batches:
-            out = []
-            for at, doc, text, runs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = text.split()
-                where = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs]))
-                if exact:
-                    pair = np.frombuffer(b"".join(hashlib.sha256(b" ".join(words[i:i + k])).digest()[:16] for i in where.tolist()), np.int64).reshape(-1, 2)
-                    h, g = pair[:, 0], pair[:, 1]
-                else:
-                    h = window_hashes(_HASHES.of(words), k)[where]
-                    g = np.zeros(len(h), np.int64)
-                out.append((h, g, np.full(len(h), at), at + where, np.full(len(h), doc)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=names)
-
-    runs = spans.groupBy("at").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return table.select("at", "doc", "text").join(runs, "at").select("at", "doc", "text", "runs").mapInArrow(
+            texts = b.column(2).to_pylist()
+            words, first, _ = _hashed(texts, k)
+            at = b.column(0).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+            begin, n = b.column(3).flatten().to_numpy() - at[row] + first[row], b.column(4).flatten().to_numpy()
+            where = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            row = np.repeat(row, n)
+            if exact:
+                order = np.argsort(row, kind="stable")
+                row, where = row[order], where[order]
+                parts = np.split(where, np.cumsum(np.bincount(row, minlength=b.num_rows))[:-1])
+                pair = np.frombuffer(b"".join(digests(texts, parts, first)), np.int64).reshape(-1, 2)
+                h, g = pair[:, 0], pair[:, 1]
+            else:
+                h = window_hashes(words, k)[where]
+                g = np.zeros(len(h), np.int64)
+            cols = (h, g, at[row], at[row] + where - first[row], b.column(1).to_numpy()[row])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    lists = spans.groupBy("at").agg(F.collect_list(F.struct("c", "n")).alias("s")).select("at", F.col("s.c").alias("cs"), F.col("s.n").alias("ns"))
+    return table.select("at", "doc", "text").join(lists, "at").select("at", "doc", "text", "cs", "ns").mapInArrow(
         kernel, ", ".join(f"{c} long" for c in names))
 
 
 def repeated_paths(table: DataFrame, k: int = K) -> DataFrame:
-    """Occurrences of compacted paths: ``(at, start, n, path, late)``.
+    """Occurrences of compacted paths: ``(at, c, n, path, late)``.
 
-    ``n`` windows from word ``start`` of the row ``at`` are one whole copy of
-    ``path`` (its source coordinate); ``late`` if the path also occurs in a
-    smaller document.
+    ``n`` windows from the word at ``c`` are one whole copy of ``path`` (its source
+    coordinate); ``late`` if the path also occurs in a smaller document.
     """
-    shared = stage(_seeds(table, k, False).groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-                   .where("lo < hi").select("m"), "passages-shared")
-    spans = stage(_seeds(table, k, True).join(shared, "m", "left_semi").select("at", "start", "n"), "passages-spans")
-    occ = stage(_occurrences(table, spans, k, False).drop("g"), "passages-windows")
-    edges = occ.groupBy("h").agg(F.min("c").alias("source"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-                                 F.count("*").alias("cnt")).where("lo < hi").drop("hi")
+    runs = stage(_runs(table, k), "passages-runs")
+    shared = stage(runs.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("x").alias("x"), F.max("x").alias("y"),
+                                         F.min("c").alias("source"), F.count("*").alias("cnt"))
+                   .where("lo < hi").select("m", "lo", "source", "cnt", (F.col("x") == F.col("y")).alias("one")), "passages-shared")
+    common = stage(runs.drop("x").join(shared, "m").select(
+        "at", "c", "n", "one", "source", "cnt", (F.col("doc") > F.col("lo")).alias("late")), "passages-common")
+    unstage(runs)
+    unstage(shared)
+    windows = stage(_windows(table, common.where("not one"), k, False).drop("g"), "passages-windows")
+    edges = stage(windows.groupBy("h").agg(F.min("c").alias("source"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+                                           F.count("*").alias("cnt")).where("lo < hi").drop("hi"), "passages-edges")
+    single = windows.join(edges, "h").select("at", "c", F.lit(1).cast("long").alias("n"), "source", "cnt", (F.col("doc") > F.col("lo")).alias("late"))
+    units = common.where("one").drop("one").unionByName(single)
     in_text = Window.partitionBy("at").orderBy("c")
-    follows = ((F.lag("c").over(in_text) == F.col("c") - 1) & (F.lag("source").over(in_text) == F.col("source") - 1)
-               & (F.lag("cnt").over(in_text) == F.col("cnt")))
-    hits = stage(occ.join(edges, "h").select("at", "c", "source", "cnt", (F.col("doc") > F.col("lo")).alias("late"))
-                 .withColumn("begins", ~F.coalesce(follows, F.lit(False))).drop("cnt"), "passages-hits")
-    for t in (shared, spans, occ):
+    before = {x: F.lag(x).over(in_text) for x in ("c", "n", "source", "cnt")}
+    follows = ((before["c"] + before["n"] == F.col("c")) & (before["source"] + before["n"] == F.col("source"))
+               & (before["cnt"] == F.col("cnt")))
+    hits = stage(units.withColumn("begins", ~F.coalesce(follows, F.lit(False))).drop("cnt"), "passages-hits")
+    for t in (common, windows, edges):
         unstage(t)
     begins = hits.groupBy("source").agg(F.max("begins").alias("begins"))
-    sources = hits.where("c = source").select("at", "source").join(begins, "source")
+    sources = hits.where("c = source").select("at", "source", "n").join(begins, "source")
     along = Window.partitionBy("at").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    paths = sources.withColumn("path", F.max(F.when(F.col("begins"), F.col("source"))).over(along)).groupBy("path").agg(F.count("*").alias("n"))
-    return stage(hits.join(paths, F.col("source") == F.col("path")).select(
-        "at", (F.col("c") - F.col("at")).alias("start"), "n", "path", "late"), "passages-paths")
+    paths = sources.withColumn("path", F.max(F.when(F.col("begins"), F.col("source"))).over(along)).groupBy("path").agg(F.sum("n").alias("n"))
+    return stage(hits.drop("n").join(paths, F.col("source") == F.col("path")).select("at", "c", "n", "path", "late"), "passages-paths")
 
 
-_SPAN = "array<struct<start:bigint,n:bigint,path:bigint,late:boolean>>"
+_SPAN = "array<struct<c:bigint,n:bigint,path:bigint,late:boolean>>"
 
 
 def _cut(table: DataFrame, spans: DataFrame, k: int) -> DataFrame:
@@ -220,7 +247,7 @@ def _cut(table: DataFrame, spans: DataFrame, k: int) -> DataFrame:
                 words = text.split()
                 gone, checks = np.zeros(len(words) + 1, np.int64), []
                 for s in spans or ():
-                    a, z = s["start"], s["start"] + s["n"] + k - 1
+                    a, z = s["c"] - at, s["c"] - at + s["n"] + k - 1
                     if s["path"] is not None:
                         x, y = np.frombuffer(hashlib.sha256(b" ".join(words[a:z])).digest()[:16], np.int64).tolist()
                         checks.append({"path": s["path"], "x": x, "y": y})
@@ -235,7 +262,7 @@ def _cut(table: DataFrame, spans: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), out)] if rows else
                                              [pa.array([], f.type) for f in out], schema=out)
 
-    listed = spans.groupBy("at").agg(F.collect_list(F.struct("start", "n", "path", "late")).cast(_SPAN).alias("spans"))
+    listed = spans.groupBy("at").agg(F.collect_list(F.struct("c", "n", "path", "late")).cast(_SPAN).alias("spans"))
     return table.select("at", "doc_id", "text").join(listed, "at", "left").select("at", "doc_id", "text", "spans").mapInArrow(
         kernel, "at long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, "
                 "checks array<struct<path:bigint,x:bigint,y:bigint>>")
@@ -263,10 +290,10 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     unequal = stage(checked.where("min_x <> max_x or min_y <> max_y").select("path"), "passages-unequal")
     if unequal.limit(1).count():
         bad = stage(paths.join(unequal, "path", "left_semi"), "passages-collided")
-        one_by_one = _occurrences(table, bad.select("at", "start", "n"), k, True)
+        one_by_one = _windows(table, bad.select("at", "c", "n"), k, True)
         least = one_by_one.groupBy("h", "g").agg(F.min("doc").alias("lo"))
         late = one_by_one.join(least, ["h", "g"]).where("doc > lo").select(
-            "at", (F.col("c") - F.col("at")).alias("start"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("path"), F.lit(True).alias("late"))
+            "at", "c", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("path"), F.lit(True).alias("late"))
         rows = bad.select("at").distinct()
         again = paths.join(unequal, "path", "left_anti").join(rows, "at", "left_semi").unionByName(late)
         mended = _cut(table.join(rows, "at", "left_semi"), again, k).select("at", *cols)
