@@ -226,7 +226,9 @@ def repeated_paths(table: DataFrame, k: int = K) -> DataFrame:
     begins = hits.groupBy("source").agg(F.max("begins").alias("begins"))
     sources = hits.where("c = source").select("at", "source", "n").join(begins, "source")
     along = Window.partitionBy("at").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    paths = sources.withColumn("path", F.max(F.when(F.col("begins"), F.col("source"))).over(along)).groupBy("path").agg(F.sum("n").alias("n"))
+    # Written first: a join of two plain shuffles is one that adaptive execution splits at passages which occur everywhere.
+    paths = stage(sources.withColumn("path", F.max(F.when(F.col("begins"), F.col("source"))).over(along))
+                  .groupBy("path").agg(F.sum("n").alias("n")), "passages-lengths")
     return stage(hits.drop("n").join(paths, F.col("source") == F.col("path")).select("at", "c", "n", "path", "late"), "passages-paths")
 
 
