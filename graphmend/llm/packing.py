@@ -1,17 +1,22 @@
 """Best-fit packing of documents into sequences, improved by swaps.
 
 Documents are encoded and cut into pieces of at most one sequence; full
-pieces are sequences of their own.  The others are dealt over cells of
-bounded size by a hash of the row, and each cell is packed by best fit and a
+pieces are sequences of their own.  The others are packed by best fit and a
 local search: documents move, change places one for one or two for one
 between underfull bins whenever that raises the sum of squared fills, until
-no such step is left.  A bin whose fill reaches zero is gone.  Cells lose at
+no such step is left.  A bin whose fill reaches zero is gone.
+
+Each task packs the pieces it has just encoded, ``CELL`` at a time, and keeps
+the bins that are exactly full, so their ids never move.  The pieces of all
+other bins are dealt over cells by a hash and packed once more.  Cells lose at
 most about one bin each against packing everything at once.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,137 +52,220 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Search:
+    """Underfull bins, found by their room and by what a swap could replace in them.
+
+    ``replaceable[s]`` has, by size, the documents that a length of ``s`` can
+    take the place of so that their bin is exactly full.  Bit masks tell which
+    rooms, lengths and sizes there are.
+    """
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.rooms: dict[int, set[int]] = {}
+        self.replaceable: dict[int, dict[int, set[tuple[int, int]]]] = {}
+        self.room_mask = self.length_mask = 0
+        self.size_mask: dict[int, int] = {}
+
+    def enter(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        self.rooms.setdefault(room, set()).add(b)
+        self.room_mask |= 1 << room
+        for i in self.bins[b]:
+            n = self.size[i]
+            self.replaceable.setdefault(n + room, {}).setdefault(n, set()).add((b, i))
+            self.length_mask |= 1 << (n + room)
+            self.size_mask[n + room] = self.size_mask.get(n + room, 0) | 1 << n
+
+    def leave(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        self.rooms[room].discard(b)
+        if not self.rooms[room]:
+            self.room_mask &= ~(1 << room)
+        for i in self.bins[b]:
+            n = self.size[i]
+            at = self.replaceable[n + room][n]
+            at.discard((b, i))
+            if not at:
+                self.size_mask[n + room] &= ~(1 << n)
+                if not self.size_mask[n + room]:
+                    self.length_mask &= ~(1 << (n + room))
+
+    def partner(self, c: int, n: int) -> tuple[int, int | None] | None:
+        """A bin that gains by ``n`` from the bin ``c``, and the document it gives back if any: the tightest one."""
+        room = _at_least(self.room_mask, n)
+        # A bin found at length s ends with a fill of capacity - s + n, which has to exceed the fill of c.
+        s, most = _at_least(self.length_mask, n), self.capacity + n - self.fill[c]
+        while s and s < most and (not room or s < room):
+            low = _lowest(self.size_mask[s])
+            if low < n:
+                return next(iter(self.replaceable[s][low]))
+            s = _at_least(self.length_mask, s + 1)
+        return (next(iter(self.rooms[room])), None) if room and room < most else None
+
+    def give(self, c: int, docs: tuple[int, ...]) -> int | None:
+        """Give documents of the bin ``c``, which is not entered, to a partner; the partner's number."""
+        n = sum(self.size[i] for i in docs)
+        found = self.partner(c, n)
+        if found is None:
+            return None
+        b, back = found
+        self.leave(b)
+        for i in docs:
+            self.bins[c].remove(i)
+            self.bins[b].append(i)
+        if back is not None:
+            self.bins[b].remove(back)
+            self.bins[c].append(back)
+            n -= self.size[back]
+        self.fill[b] += n
+        self.fill[c] -= n
+        if self.fill[b] < self.capacity:
+            self.enter(b)
+        return b
+
+
+def _lowest(mask: int) -> int:
+    return (mask & -mask).bit_length() - 1
+
+
+def _at_least(mask: int, n: int) -> int:
+    rest = mask >> n
+    return n + _lowest(rest) if rest else 0
+
+
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search over the underfull bins; every step raises the sum of squared fills.
 
-    The emptiest bin first gives documents to fuller ones: a move into free
-    room, an exchange of one for a shorter one, or of two for one that is
-    shorter than both together.  A step shifts ``d > 0`` of length from bin
-    ``c`` to ``b`` with ``fill(b) + d > fill(c)``, so squared fill grows and
-    ``fill(c)`` falls each time: the search ends.  An emptied bin is gone.
-    For exchanges, ``swaps[s]`` has the documents ``i`` of underfull bins that
-    a length of ``s`` can replace so that the bin is exactly full.
+    A bin gives documents to fuller ones: a move into free room, an exchange of
+    one for a shorter one, or of two for one that is shorter than both together.
+    A step shifts ``d > 0`` of length from bin ``c`` to ``b`` with
+    ``fill(b) + d > fill(c)``, so squared fill grows each time and the search
+    ends.  The emptiest bins start; a changed bin is looked at again, until no
+    step is left for any bin or no fewer bins are possible.  Documents of equal
+    length stand for one another, so pairs are tried by distinct lengths.
     """
     size = [int(x) for x in lengths]
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(size) // capacity)
-    alive = len(bins)
-    under = {b for b in range(len(bins)) if fill[b] < capacity}
-    rooms: dict[int, set[int]] = {}
-    swaps: dict[int, set[tuple[int, int]]] = {}
-    room_mask = swap_mask = 0
-
-    def list_bin(b):
-        nonlocal room_mask, swap_mask
-        room = capacity - fill[b]
-        rooms.setdefault(room, set()).add(b)
-        room_mask |= 1 << room
-        for i in bins[b]:
-            swaps.setdefault(size[i] + room, set()).add((b, i))
-            swap_mask |= 1 << (size[i] + room)
-
-    def unlist_bin(b):
-        nonlocal room_mask, swap_mask
-        room = capacity - fill[b]
-        rooms[room].discard(b)
-        if not rooms[room]:
-            room_mask &= ~(1 << room)
-        for i in bins[b]:
-            s = size[i] + room
-            swaps[s].discard((b, i))
-            if not swaps[s]:
-                swap_mask &= ~(1 << s)
-
-    def at_least(mask, n):
-        rest = mask >> n
-        return n + (rest & -rest).bit_length() - 1 if rest else 0
-
-    def exchange(c, give) -> bool:
-        """Give documents from the unlisted bin ``c`` for one or none of another bin."""
-        n = sum(size[i] for i in give)
-        got = None
-        room = at_least(room_mask, n)
-        if room:
-            b = next(iter(rooms[room]))
-            if fill[b] + n > fill[c]:
-                got = (b, None)
-        if got is None or room > n:
-            s = n
-            for _ in range(4):  # the closest fits; what is left of them are other steps
-                s = at_least(swap_mask, s)
-                if not s:
-                    break
-                better = next(((b, i) for b, i in swaps[s] if size[i] < n and fill[b] + n - size[i] > fill[c]), None)
-                if better and (got is None or s == n):
-                    got = better
-                if got:
-                    break
-                s += 1
-        if got is None:
-            return False
-        b, i = got
-        unlist_bin(b)
-        for j in give:
-            bins[c].remove(j)
-            bins[b].append(j)
-        d = n
-        if i is not None:
-            bins[b].remove(i)
-            bins[c].append(i)
-            d -= size[i]
-        fill[b] += d
-        fill[c] -= d
-        if fill[b] < capacity:
-            list_bin(b)
-        return True
-
+    s = _Search(bins, size, capacity)
+    least, alive = -(-sum(size) // capacity), len(bins)
+    under = [b for b in range(len(bins)) if s.fill[b] < capacity]
     for b in under:
-        list_bin(b)
-    for c in sorted(under, key=fill.__getitem__):
-        if alive <= least:
-            break
-        if fill[c] >= capacity:
+        s.enter(b)
+    waiting, due = deque(sorted(under, key=s.fill.__getitem__)), set(under)
+    while waiting and alive > least:
+        c = waiting.popleft()
+        due.discard(c)
+        if not bins[c] or s.fill[c] >= capacity:
             continue
-        unlist_bin(c)
+        s.leave(c)
+        changed = False
         while bins[c]:
-            own = sorted(bins[c], key=size.__getitem__, reverse=True)
-            pairs = ((x, y) for k, x in enumerate(own[:24]) for y in own[k + 1:24])
-            if not (any(exchange(c, (x,)) for x in own) or any(exchange(c, p) for p in pairs)):
+            of = {}
+            for i in bins[c]:
+                of.setdefault(size[i], []).append(i)
+            own = sorted(of, reverse=True)
+            steps = itertools.chain(((of[n][0],) for n in own), ((of[n][0], of[m][m == n]) for k, n in enumerate(own) for m in own[k:] if m != n or len(of[n]) > 1))
+            b = next((x for x in map(lambda docs: s.give(c, docs), steps) if x is not None), None)
+            if b is None:
                 break
+            changed = True
+            if s.fill[b] < capacity and b not in due:
+                waiting.append(b)
+                due.add(b)
         if bins[c]:
-            list_bin(c)
+            s.enter(c)
+            if changed and c not in due:
+                waiting.append(c)
+                due.add(c)
         else:
             alive -= 1
     return [b for b in bins if b]
 
 
+def _places(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed pieces in the order of their bins: ``(piece, bin, offset, whether its bin is full)``."""
+    bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    which = np.concatenate([np.asarray(b, np.int64) for b in bins])
+    seq = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    size = lengths[which]
+    fill = np.bincount(seq, size, len(bins)).astype(np.int64)
+    begins = np.cumsum(size) - size
+    return which, seq, begins - (np.cumsum(fill) - fill)[seq], (fill == capacity)[seq]
+
+
 def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    """Pieces of all documents; ``sequence_id`` and ``offset`` are null where their bin is not full yet."""
     import pyarrow as pa
 
     bounded_batches(docs.sparkSession, 4)
     end = np.array([end_id], "<u4").tobytes()
-    tail = pa.list_(pa.int32()) if with_ids else pa.int64()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-                        ("ids" if with_ids else "ids_crc32", tail)])
+    names = ["doc_id", "piece", "start", "length", "ids" if with_ids else "ids_crc32", "sequence_id", "offset"]
+
+    def batch(cols, ids, seq, offset):
+        """Rows of numpy columns and id bytes."""
+        if with_ids:
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        else:
+            tail = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+        open_ = seq < 0
+        doc, null, piece, start, length = cols
+        return pa.RecordBatch.from_arrays([
+            pa.array(doc, mask=null), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), tail,
+            pa.array(seq, mask=open_), pa.array(offset, mask=open_)], names=names)
 
     def kernel(batches):
+        from pyspark import TaskContext
+
         enc = cached_encoder(tokenizer, byte_bpe_parts)
+        number = TaskContext.get().partitionId() << 33
+        held, held_ids = [], []
+
+        def pack():
+            nonlocal number
+            cols = [np.concatenate(c) for c in zip(*held)]
+            which, seq, offset, full = _places(cols[4], capacity)
+            seq = np.where(full, number + seq, -1)
+            number = max(number, int(seq.max()) + 1)
+            for s in range(0, len(which), 2048):
+                w = which[s:s + 2048]
+                yield batch([c[w] for c in cols], [held_ids[i] for i in w.tolist()], seq[s:s + 2048], offset[s:s + 2048])
+            held.clear()
+            held_ids.clear()
+
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                rows = []
-                for d, x in zip(doc_ids[i:i + 256], enc.encode(texts[i:i + 256])):
-                    x += end
-                    n = len(x) // 4
-                    first = n % capacity or capacity
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                        ids = x[4 * s:4 * e]
-                        rows.append((d, k, s, e - s, np.frombuffer(ids, "<i4") if with_ids else zlib.crc32(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+            doc_ids, texts = b.column(0), b.column(1).to_pylist()
+            for i in range(0, len(texts), 512):
+                ids = [x + end for x in enc.encode(texts[i:i + 512])]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = np.where(n % capacity, n % capacity, capacity)[doc]
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                mine = doc_ids.slice(i, len(n))
+                cols = [np.asarray(mine.fill_null(0))[doc], np.asarray(mine.is_null())[doc], piece, start, length]
+                parts = [ids[d] if not k and z == m else ids[d][4 * a:4 * (a + z)]
+                         for d, k, a, z, m in zip(doc.tolist(), piece.tolist(), start.tolist(), length.tolist(), n[doc].tolist())]
+                full = length == capacity
+                if full.any():
+                    w = np.flatnonzero(full)
+                    seq = number + np.arange(len(w))
+                    number += len(w)
+                    yield batch([c[w] for c in cols], [parts[j] for j in w.tolist()], seq, np.zeros(len(w), np.int64))
+                w = np.flatnonzero(~full)
+                held.append([c[w] for c in cols])
+                held_ids += [parts[j] for j in w.tolist()]
+                if len(held_ids) >= CELL:
+                    yield from pack()
+        if held_ids:
+            yield from pack()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return src.mapInArrow(kernel, "doc_id long, piece int, start long, length long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
+    return src.mapInArrow(kernel, "doc_id long, piece int, start long, length long, "
+                          + ("ids array<int>" if with_ids else "ids_crc32 long") + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id",
@@ -197,23 +285,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     cut = _pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
     pieces = stage(cut.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     cols = ["doc_id", "piece", "start", "length", last]
-    full = pieces.where(F.col("length") == capacity).select(
-        *cols, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = pieces.where(F.col("length") < capacity)
+    full = pieces.where("sequence_id is not null").drop("row")
+    part = pieces.where("sequence_id is null").select(*cols, "row")
     cells = max(1, -(-part.count() // CELL))
     # Only row numbers and lengths go to the cells.
     dealt = part.select("row", "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("long"))
 
     def pack(key, pdf):
         pdf = pdf.sort_values("row", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
-        bins = improve(best_fit(lengths, capacity), lengths, capacity)
-        which = np.concatenate([np.asarray(b, np.int64) for b in bins])
-        seq = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        size = lengths[which]
-        begins = np.r_[0, np.cumsum(size)[:-1]]
-        first = np.r_[True, seq[1:] != seq[:-1]]
-        offset = begins - begins[first][np.cumsum(first) - 1]
+        which, seq, offset, _ = _places(pdf["length"].to_numpy(), capacity)
         return pd.DataFrame({"row": pdf["row"].to_numpy()[which], "sequence_id": -1 - ((int(key[0]) << 32) + seq), "offset": offset})
 
     placed = dealt.groupBy("cell").applyInPandas(pack, "row long, sequence_id long, offset long")

@@ -11,13 +11,14 @@ part ``w`` stands for ``" " + w`` and ``RAW + w`` for ``w`` itself.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable
 
 #: Parts kept in the young generation; the old one holds as many.
-CACHE = 400_000
+CACHE = 800_000
 #: Longer parts are encoded without being remembered.
 LONGEST = 80
 #: Texts above this many characters are cut into segments, so lists stay small.
@@ -119,11 +120,80 @@ class WordCache(dict):
         return out
 
 
-def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
+def _ranks(path: str) -> tuple[dict[bytes, int], str] | None:
+    """Tokens of a byte BPE file as bytes with their ids, where the ids are in merge order; and the end-of-word mark.
+
+    Bytes that end a word carry NUL behind them.  None if the file is of another kind.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout"):
+        return None
+    byte_of, vocab, ranks = {c: b for b, c in enumerate(_byte_letters())}, model["vocab"], {}
+    for token, i in vocab.items():
+        ends = bool(suffix) and token.endswith(suffix) and len(token) > len(suffix)
+        letters = token[:len(token) - len(suffix)] if ends else token
+        if all(c in byte_of for c in letters) and not (suffix and byte_of.get("\u0100") in map(byte_of.get, letters)):
+            ranks[bytes(map(byte_of.get, letters)) + (b"\0" if ends else b"")] = i
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    single = [i for t, i in ranks.items() if len(t.rstrip(b"\0")) <= 1]
+    if merged != sorted(set(merged)) or not merged or max(single) >= merged[0] or len(single) < 256 * (2 if suffix else 1) - 2:
+        return None
+    if suffix:
+        ranks[b"\0"] = vocab[_byte_letters()[0]]  # never left over: every byte takes the NUL behind it first
+    return ranks, suffix
+
+
+#: How byte-level BPE parts a text; fixed value.
+_BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer texts are looked through for runs of ``LONG_RUN`` characters without a cut.
+LONG_TEXT, LONG_RUN = 100_000, 2000
+
+
+class TextEncoder:
+    """Whole texts by a quicker library with the same tokens; texts it might part differently go through the words."""
+
+    def __init__(self, ranks: dict[bytes, int], words: WordCache):
+        import tiktoken
+
+        self.encode_text = tiktoken.Encoding("bytes", pat_str=_BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
+        self.words, self.none = words, set()
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Letters that every version of Unicode has alike, and no run without a cut that is very long."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                if max(text) >= "\u0250":
+                    return False
+        if _odd(text):
+            return False
+        if len(text) > LONG_TEXT:
+            words = text.split()
+            spaces = len(text) - sum(map(len, words)) - len(words)
+            return spaces < LONG_RUN and max(map(len, words), default=0) < LONG_RUN
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.plain(t):
+                out.append(b"".join([bytes(self.encode_text(x, self.none)) for x in segments(t)]))
+            else:
+                out += self.words.encode([t])
+        return out
+
+
+def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache | TextEncoder:
     """A tokenizers file behind a ``WordCache``; special tokens in texts are ordinary text.
 
-    A part of letters only is one word to the pre-splitting, so it goes
-    straight to the library's model in the byte alphabet.  Words around line
+    A part of letters only is one word to the pre-splitting, so its bytes go
+    straight to the merges.  Words around line
     breaks, and a word with signs after it, are parts of their own; all else
     takes the library's whole way.
     """
@@ -133,8 +203,13 @@ def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     model, spaced = tok.model, parts is not word_parts
-    tokenize = model.tokenize
     model._resize_cache(0)  # every part is seen once here
+    found = _ranks(path)
+    if found:
+        import tiktoken
+
+        merge = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=found[0], special_tokens={})._core_bpe.encode_to_tiktoken_buffer
+        end, none = "\0" if found[1] else "", set()
     normalise = tok.normalizer.normalize_str if tok.normalizer else None
     letters = _byte_letters()
     space, mark = letters[32], RAW if spaced else ""
@@ -150,8 +225,10 @@ def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
                 word = word.lower() if word.isascii() else normalise(word)
                 if not word.isalpha():
                     return whole(word)
+            if found:
+                return bytes(merge((" " + word if lead else word) + end, none))
             text = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
-            return array("I", [t.id for t in tokenize(space + text if lead else text)]).tobytes()
+            return array("I", [t.id for t in model.tokenize(space + text if lead else text)]).tobytes()
         if spaced and "\n" in word and len(word.split()) == word.count("\n") + 1:
             first, *rest = word.split("\n")
             line = cache.line
@@ -163,9 +240,19 @@ def library_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
 
     cache = WordCache(parts, one)
     cache.line = whole("\n")
+    if found and spaced and _byte_level(path):
+        return TextEncoder(found[0], cache)
     return cache
 
 
+def _byte_level(path: str) -> bool:
+    """Whether a tokenizers file parts texts by the byte-level pattern and changes nothing before."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    pre = file.get("pre_tokenizer") or {}
+    return file.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
 def _byte_letters() -> list[str]:
     """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for letters from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -173,10 +260,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-_ENCODERS: dict[tuple, WordCache] = {}
+_ENCODERS: dict[tuple, WordCache | TextEncoder] = {}
 
 
-def cached_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache:
+def cached_encoder(path: str, parts: Callable[[str], list[str]]) -> WordCache | TextEncoder:
     """One encoder for each worker process and file."""
     key = (path, parts.__name__)
     if key not in _ENCODERS:
