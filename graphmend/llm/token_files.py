@@ -9,12 +9,15 @@ go to any store Spark can write and survive lost executors.
 
 Block payload, little endian: magic, u32 documents, u32 rules, u32 symbols,
 u32 first nonterminal, u64 ids; then per document i64 id, u8 null flag and
-u64 length; per rule two u32 symbols and a u64 expansion length; the symbols
-as u16 when all fit, else u32 (u8 width before them).
+u64 length; per rule two u32 symbols and a u64 expansion length; u32 numbered
+ids (none where symbols below the first nonterminal are the ids themselves)
+and each of them as u32; the symbols as u16 when all fit, else u32 (u8 width
+before them).
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -25,11 +28,10 @@ from pyspark.sql import functions as F
 from graphmend.llm.common import bounded_batches, text_of
 from graphmend.llm.word_cache import cached_encoder, word_parts
 
-MAGIC = b"GTOK1\0\0\0"
+MAGIC = b"GTOK2\0\0\0"
 _HEAD = struct.Struct("<8sIIIIQ")
 BLOCK_IDS = 1 << 20     # a block is closed once it holds this many ids
-MAX_SYMBOLS = 1 << 16   # ids and nonterminals share 16 bits where ids allow it
-ROUNDS = 3              # rounds of replacement
+NARROW = 1 << 16        # pairs of symbols below this are counted as 32-bit codes, others as 64-bit ones
 LEAST = 32              # a pair is replaced when it occurs at least this often
 
 
@@ -37,61 +39,94 @@ _SLOT_BITS = 18
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
-    slot = code * np.uint32(2654435769)
-    slot >>= np.uint32(32 - _SLOT_BITS)
-    return slot
+    bits = 8 * code.itemsize
+    return (code * code.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits))) >> code.dtype.type(bits - _SLOT_BITS)
 
 
-def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     """``(symbols, first nonterminal, rules, expansion lengths)`` of an id sequence.
 
-    Each round counts all adjacent pairs, gives the most frequent ones
-    nonterminals and replaces their occurrences from left to right.  Stops
-    when no pair occurs ``least`` times, symbols run out, or after ``rounds``.
+    Each round counts all adjacent pairs, gives the frequent ones nonterminals
+    and replaces their occurrences from left to right, until no pair occurs
+    ``least`` times.  A pair that overlaps others of its round may be left with
+    fewer occurrences than counted; with less than a quarter of ``least`` it
+    waits for a later round, unless no other is left.
     """
     seq = ids.astype(np.uint32, copy=True)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     top = base
-    for r in range(rounds):
-        room = (MAX_SYMBOLS - top) // 2 if r + 1 < rounds else MAX_SYMBOLS - top
-        if room <= 0 or len(seq) < 2:
-            break
-        code = seq[:-1] << np.uint32(16)
-        code |= seq[1:]
+    while len(seq) > 1:
+        half = np.dtype(np.uint32 if top <= NARROW else np.uint64)
+        shift = half.type(4 * half.itemsize)
+        code = seq[:-1].astype(half)
+        code <<= shift
+        code |= seq[1:].astype(half, copy=False)
         ordered = np.sort(code)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[edge, len(ordered)])
         often = np.flatnonzero(count >= least)
+        if half.itemsize == 4 and top + len(often) > NARROW:  # more than 16 bits can number: the most frequent first
+            room = NARROW - top
+            if room and len(often) > room:
+                often = often[np.argpartition(count[often], -room)[-room:]]
         if not len(often):
             break
-        if len(often) > room:
-            often = often[np.argpartition(count[often], -room)[-room:]]
         pairs = ordered[edge[often]]
-        slot_of = np.zeros(1 << _SLOT_BITS, np.int32)  # pairs that share a slot: one of them waits for a later round
-        slot_of[_slot(pairs)] = np.arange(len(pairs))
+        # Pairs that share a slot: the more frequent one stays, the others wait for a later round.
+        by_count = np.argsort(count[often], kind="stable")
+        slot_of = np.zeros(1 << _SLOT_BITS, np.int32)
+        slot_of[_slot(pairs[by_count])] = by_count
         which = slot_of[_slot(code)]
         at = np.flatnonzero(pairs[which] == code)
         which = which[at]
         # In a run of overlapping occurrences take every other one.
         start = np.r_[True, at[1:] != at[:-1] + 1]
         take = (at - at[start][np.cumsum(start) - 1]) % 2 == 0
+        uses = np.bincount(which[take], minlength=len(pairs))
+        made = uses >= min(max(2, least // 4), uses.max())
+        if uses.max() < 2:
+            break
+        take &= made[which]
         at, which = at[take], which[take]
-        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        used = np.flatnonzero(made)
         number = np.zeros(len(pairs), np.uint32)
         number[used] = np.arange(top, top + len(used), dtype=np.uint32)
         seq[at] = number[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq.compress(keep)
-        new = np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], axis=1).astype(np.int64)
+        new = np.stack([pairs[used] >> shift, pairs[used] & half.type((1 << int(shift)) - 1)], axis=1).astype(np.int64)
         rules.append(new)
         lengths = np.r_[lengths, lengths[new[:, 0]] + lengths[new[:, 1]]]
         top += len(used)
     return seq, base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths[base:]
 
 
+def expand_all(symbols: np.ndarray, base: int, rules: np.ndarray, expansion: np.ndarray) -> np.ndarray:
+    """``expand`` for a whole block: each rule is written out once, then all symbols are looked up."""
+    size = np.r_[np.ones(base, np.int64), expansion]
+    if not len(rules) or expansion.sum() > 4 * size[symbols].sum():
+        return expand(symbols, base, rules)
+    full: list[list[int]] = []
+    for a, b in rules.tolist():
+        full.append((full[a - base] if a >= base else [a]) + (full[b - base] if b >= base else [b]))
+    flat = np.r_[np.arange(base, dtype=np.uint32), np.fromiter(itertools.chain.from_iterable(full), np.uint32, int(expansion.sum()))]
+    begin = (np.cumsum(size) - size)[symbols]
+    size = size[symbols]
+    ends = np.cumsum(size)
+    return flat[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def renumber(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(numbers, the id of each number)`` where ids are too large for narrow symbols, else the ids and no table."""
+    if not len(ids) or int(ids.max()) + 1 < NARROW:
+        return ids, np.zeros(0, np.uint32)
+    table, numbers = np.unique(ids, return_inverse=True)
+    return numbers.astype(np.uint32), table.astype(np.uint32)
+
+
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
     """Ids that ``symbols`` stand for."""
     seq = symbols.astype(np.int64)
@@ -109,16 +144,14 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
 
 
 def pack_block(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    if len(ids) and int(ids.max()) + 1 >= MAX_SYMBOLS:
-        seq, base, rules, expansion = ids, int(ids.max()) + 1, np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    else:
-        seq, base, rules, expansion = re_pair(ids)
-    width = 2 if base + len(rules) <= MAX_SYMBOLS else 4
+    numbers, table = renumber(ids)
+    seq, base, rules, expansion = re_pair(numbers)
+    width = 2 if base + len(rules) <= 1 << 16 else 4
     return b"".join([
         _HEAD.pack(MAGIC, len(doc_ids), len(rules), len(seq), base, len(ids)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
         np.array(lengths, "<u8").tobytes(), rules.astype("<u4").tobytes(), expansion.astype("<u8").tobytes(),
-        bytes([width]), seq.astype(f"<u{width}").tobytes()])
+        struct.pack("<I", len(table)), table.astype("<u4").tobytes(), bytes([width]), seq.astype(f"<u{width}").tobytes()])
 
 
 class Block:
@@ -140,7 +173,8 @@ class Block:
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, null)]
         self.lengths = take("<u8", docs).astype(np.int64)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        expansion = take("<u8", rules).astype(np.int64)
+        self.expansion = expansion = take("<u8", rules).astype(np.int64)
+        self.table = take("<u4", int(take("<u4", 1)[0]))
         width = int(take("u1", 1)[0])
         self.symbols = take(f"<u{width}", symbols)
         size = np.ones(symbols, np.int64)
@@ -154,11 +188,13 @@ class Block:
         lo, hi = int(self.starts[i]), int(self.starts[i] + self.lengths[i])
         a, z = np.searchsorted(self.ends, [lo, hi - 1], side="right")
         before = int(self.ends[a - 1]) if a else 0
-        ids = expand(self.symbols[a:z + 1], self.base, self.rules)
-        return ids[lo - before:hi - before]
+        return self._ids(expand(self.symbols[a:z + 1], self.base, self.rules))[lo - before:hi - before]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.rules)
+        return self._ids(expand_all(self.symbols, self.base, self.rules, self.expansion))
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        return self.table[numbers] if len(self.table) else numbers
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",

@@ -45,7 +45,7 @@ def crc(ids):
 def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, int), np.array([5]), np.zeros(1000, int), rng.integers(0, 50, 20_000), rng.zipf(1.4, 50_000) % 40_000):
-        seq, base, rules, lengths = token_files.re_pair(ids.astype(np.uint32), rounds=8, least=2)
+        seq, base, rules, lengths = token_files.re_pair(ids.astype(np.uint32), least=2)
         assert (token_files.expand(seq, base, rules) == ids).all()
         assert lengths.tolist() == [len(token_files.expand(np.array([base + k]), base, rules)) for k in range(len(rules))]
     ids = (rng.zipf(1.5, 5000) % 3000).astype(np.uint32)
@@ -204,3 +204,54 @@ def test_unigram_shortest_path_against_all_segmentations():
 def test_digests_follow_ids(spark):
     df = piece_fst.piece_digests(spark.createDataFrame([(1, "a b", "c", 1)], SCHEMA), tokenizer_path("piece_bpe_32k.model"))
     assert df.where(F.col("n_ids") == 2).count() == 1
+
+
+def test_copies_shrink_below_a_hundredth():
+    rng = np.random.default_rng(0)
+    ids = np.tile(rng.integers(0, 40_000, 2000), 500).astype(np.uint32)
+    block = token_files.Block(token_files.pack_block([1, 2], [400_000, 600_000], ids))
+    assert len(block.symbols) < len(ids) / 100
+    assert (block.all() == ids).all() and (block.document(1) == ids[400_000:]).all()
+
+
+def test_large_ids_get_rules():
+    rng = np.random.default_rng(1)
+    ids = (np.tile(rng.integers(0, 3000, 500), 200) * 1_000_003 % (1 << 32)).astype(np.uint32)
+    block = token_files.Block(token_files.pack_block([1], [len(ids)], ids))
+    assert int(ids.max()) > 1 << 16 and len(block.rules) and len(block.symbols) < len(ids) / 20
+    assert (block.all() == ids).all()
+    many = np.r_[np.arange(100_000), np.tile(np.arange(100_000, 100_050), 100)].astype(np.uint32)  # more than 16 bits can number
+    block = token_files.Block(token_files.pack_block([1], [len(many)], many))
+    assert len(block.rules) and (block.all() == many).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_of_few_pieces_against_the_optimum(seed):
+    rng = np.random.default_rng(seed)
+
+    def optimum(lengths, capacity):
+        best = [len(lengths)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(rooms)
+                return
+            for r in {r for r in rooms if r >= lengths[i]}:
+                rest = list(rooms)
+                rest.remove(r)
+                place(i + 1, rest + [r - lengths[i]])
+            place(i + 1, [*rooms, capacity - lengths[i]])
+
+        place(0, [])
+        return best[0]
+
+    exact = 0
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 20, 8))[::-1]
+        n = len(packing.improve(packing.best_fit(lengths, 20), lengths, 20))
+        want = optimum(lengths.tolist(), 20)
+        assert want <= n <= want + 1
+        exact += n == want
+    assert exact >= 57
