@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphmend.functions import text as T
 from graphmend.operators.joins import lookup_join
-from graphmend.operators.similarity import _stack, _unit
+from graphmend.operators.vector_index import stack as _stack, unit as _unit
 from graphmend.session import cut_lineage, ship_package
 
 

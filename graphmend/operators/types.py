@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphmend.functions.text import NULL_TEXT, as_text
 from graphmend.operators.joins import lookup_join
 from graphmend.operators.ordinal import with_ordinal
-from graphmend.operators.similarity import topk_cosine
+from graphmend.operators.similarity import follow_by_rank, topk_cosine
 
 OTHER = "other"
 N_SEEDS = 30  # fixed value: most frequent types seed the reference set
@@ -209,54 +209,14 @@ def decision_mapping(
 
 # ------------------------------------------------------ parallel type resolution
 
-def similarity_edges(vectors: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Pairs (child, parent) with cos >= tau where the parent ranks lower."""
-    from graphmend.operators.similarity import ranked_pairs_above
-
-    return ranked_pairs_above(vectors, tau, id_col, vec_col)
-
-
 def resolve_types(vectors: DataFrame, tau: float = 0.9, n_seeds: int = N_SEEDS) -> DataFrame:
-    """Frequency-ordered "join a parent, else become one", decided in parallel.
-
-    Sequential rule: walk types by rank; a type whose best lower-ranked
-    parent has cos >= tau follows it, otherwise it becomes a parent (the
-    ``n_seeds`` most frequent are parents from the start).  Parallel rounds
-    (lexicographically-first maximal independent set): a type follows as soon
-    as a decided parent is adjacent; it becomes a parent once every
-    lower-ranked neighbour is a follower.  Every round decides at least the
-    lowest open rank, so the rounds end with no type open.  Each round is a
-    join over the thresholded edge table; the state is checkpointed per round.
-    Output: id, parent_node (the most similar adjacent parent), rank.
+    """Frequency-ordered "join a parent, else become one".
+
+    Walk types by rank: a type whose best lower-ranked parent has cos >= tau
+    follows it, otherwise it becomes a parent (the ``n_seeds`` most frequent are
+    parents from the start).  Done block by block of ranks, each against the
+    parents so far and then in itself (``follow_by_rank``), so the reference
+    set grows as in the sequential rule and only child -> parent rows move.
+    Output: id, parent_node (the most similar parent), rank.
     """
-    from graphmend.session import cut_lineage
-
-    edges = cut_lineage(similarity_edges(vectors, tau))
-    state = cut_lineage(vectors.select(
-        "id", "rank",
-        F.when(F.col("rank") <= n_seeds, F.lit("parent")).otherwise(F.lit("open")).alias("state"),
-    ))
-    while True:
-        if not state.filter(F.col("state") == "open").limit(1).count():
-            break
-        nb = edges.join(state.select(F.col("id").alias("parent"), F.col("state").alias("pstate")), "parent")
-        summary = nb.groupBy("child").agg(
-            F.max(F.col("pstate") == "parent").alias("has_parent"),
-            F.max(F.col("pstate") == "open").alias("has_open"),
-        )
-        s = state.join(summary.withColumnRenamed("child", "id"), "id", "left")
-        new_state = (
-            F.when(F.col("state") != "open", F.col("state"))
-            .when(F.coalesce("has_parent", F.lit(False)), F.lit("follower"))
-            .when(~F.coalesce("has_open", F.lit(False)), F.lit("parent"))
-            .otherwise(F.lit("open"))
-        )
-        state = cut_lineage(s.select("id", "rank", new_state.alias("state")))
-    parents = state.filter(F.col("state") == "parent").select(F.col("id").alias("parent"))
-    best = edges.join(parents, "parent", "left_semi").groupBy("child").agg(
-        F.max_by("parent", F.struct("cosine", (-F.col("prank")).alias("r"))).alias("best")
-    )
-    out = state.join(best.withColumnRenamed("child", "id"), "id", "left")
-    return out.select(
-        "id", F.when(F.col("state") == "parent", F.col("id")).otherwise(F.col("best")).alias("parent_node"), "rank"
-    )
+    return follow_by_rank(vectors, tau, n_seeds)

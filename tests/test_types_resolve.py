@@ -48,16 +48,26 @@ def test_fold_rare(spark):
     assert out == {"big": "big", "small": "other"}
 
 
-def test_resolve_types_cogroup_path(spark, monkeypatch):
+def test_resolve_types_in_blocks_of_ranks(spark, monkeypatch):
     from graphmend.operators import similarity
 
     ranked = with_ordinal(fx.vectors(spark, SF01), [F.col("vec_id")], "rank")
     a = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
-    monkeypatch.setattr(similarity, "BROADCAST_VALUES", 0)
-    monkeypatch.setattr(similarity, "GROUP_VALUES", 64 * 120)
     monkeypatch.setattr(similarity, "TILE", (50, 33))
-    b = {r["id"]: r["parent_node"] for r in types.resolve_types(ranked, tau=0.3).collect()}
-    assert a == b
+    out = similarity.follow_by_rank(ranked, 0.3, types.N_SEEDS, block_rows=28)  # 18 blocks
+    rows = out.collect()
+    assert {r["id"]: r["parent_node"] for r in rows} == a and len(rows) == 500
+
+
+def test_resolve_types_odd_vectors(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("zero", 2, [0.0, 0.0]), ("same", 3, [2.0, 0.0]), ("other", 4, [0.0, 1.0]), ("again", 5, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, rank long, embedding array<double>")
+    want = {"a": "a", "zero": "zero", "same": "a", "other": "other", "again": "again"}
+    for size in (1, 2, 100):
+        from graphmend.operators.similarity import follow_by_rank
+
+        assert {r.id: r.parent_node for r in follow_by_rank(df, 0.9, 0, block_rows=size).collect()} == want
+    assert types.resolve_types(df.filter("rank > 9")).count() == 0
 
 
 def test_decision_mapping_resume_and_pending(spark):
