@@ -822,16 +822,29 @@ def q_cosine_pairs(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 
-@query("stream_ingest")
-def q_stream_ingest(spark, sf_dir):
-    from graphmend.session import scratch_path
+def _streamed(spark, sf_dir, blocks=None):
+    """All response files, then the files with redelivered lines in a later run of the stream."""
     from graphmend.streaming import ingest
 
     base = scratch_path(spark, "stream-ingest")
     src, sink, ckpt = (os.path.join(base, p) for p in ("outputs", "parsed", "checkpoint"))
-    ingest.write_line_files(fx.completion_lines(edge_stage(spark, sf_dir)["resp"]), src)
-    parsed = ingest.stream_completions(spark, src, sink, ckpt)
-    return responses.completion_entries(parsed)
+    resp = edge_stage(spark, sf_dir)["resp"]
+    ingest.write_line_files(fx.completion_lines(resp), src)
+    ingest.stream_completions(spark, src, sink, ckpt, max_files_per_trigger=2, blocks=blocks)
+    ingest.write_line_files(fx.redelivered_lines(resp), src, mode="append")
+    return ingest.stream_completions(spark, src, sink, ckpt, blocks=blocks)
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Entries straight from the sink: an id delivered again in a later micro-batch must not be there twice."""
+    ok = _streamed(spark, sf_dir).filter(F.col("status") == responses.OK)
+    return ok.select("custom_id", F.explode("payload").alias("key", "value"))
+
+
+@query("stream_validated")
+def q_stream_validated(spark, sf_dir):
+    return _streamed(spark, sf_dir, edge_stage(spark, sf_dir)["blocks"]).select(*VALIDATION_COLS)
 
 
 @query("contract_report")

@@ -797,9 +797,17 @@ SELECT query_id, ref_id, round(cos, 6) AS cosine FROM (
     row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, r.embedding) DESC, r.id) AS rn
   FROM vec q JOIN vec r ON q.rank > 30 AND r.rank <= 30) x WHERE rn = 1""")
 
-# The stream must end with exactly what the batch reader ingests.
-oracle("stream_ingest", "centries")("""
-SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
+# The stream must hold what the batch reader ingests, with each accepted id once; late lines also mend broken ones.
+FIXTURE_SQL["slines"] = f"""
+SELECT value, source_file FROM clines
+UNION ALL SELECT {_cline('id', 'output_string')}, 'part-later.jsonl' FROM resp WHERE cluster_id % 3 = 1"""
+FIXTURE_SQL["sparsed"] = _parsed("slines")
+FIXTURE_SQL["sentries"] = _entries("sparsed")
+DEPS.update({"slines": ["clines", "resp"], "sparsed": ["slines"], "sentries": ["sparsed"]})
+oracle("stream_ingest", "sentries")("SELECT DISTINCT custom_id, key, value FROM sentries")
+oracle("stream_validated", "statused", "sparsed")("""
+SELECT id, status, output_parsed, list_ok, output_matches_input, representative_in_list, all_edges_same_type, n_groups
+FROM statused WHERE id IN (SELECT custom_id FROM sparsed WHERE status = 'ok')""")
 
 oracle("contract_report", "statused")("""
 SELECT id,

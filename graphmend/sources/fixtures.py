@@ -289,6 +289,12 @@ def completion_lines(resp: DataFrame) -> DataFrame:
     return base.unionByName(dup)
 
 
+def redelivered_lines(resp: DataFrame) -> DataFrame:
+    """Full lines of ``cluster_id % 3 = 1`` once more, in a file of their own: late copies, and retries of broken lines."""
+    full = _completion_line(F.col("id"), F.col("output_string"))
+    return resp.filter(F.pmod("cluster_id", F.lit(3)) == 1).select(full.alias("value"), F.lit("part-later.jsonl").alias("source_file"))
+
+
 def verdict_response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge verdicts over labelled documents as completion lines."""
     v = verdict_lines(spark, sf_dir)

@@ -70,3 +70,23 @@ def test_stream_equals_batch_and_resumes(spark):
     again = ingest.stream_completions(spark, src, sink, ckpt)
     assert again.count() == len(lines) + 1
     assert again.filter(F.col("custom_id") == "99").count() == 1
+
+
+def test_stream_drops_redeliveries_but_not_retries(spark):
+    base = _tmp()
+    src, sink, ckpt = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
+    good = lambda i, v="a": _line(str(i), json.dumps({str(i): f'[["{v}"]]'}))
+    cols = "value string, source_file string"
+
+    def deliver(lines, name, mode="append"):
+        ingest.write_line_files(spark.createDataFrame([(x, name) for x in lines], cols), src, mode=mode)
+        return ingest.stream_completions(spark, src, sink, ckpt, max_files_per_trigger=1)
+
+    deliver([good(1), good(2), good(2), "{broken", "{broken", _line("3", "no object")], "f0.jsonl", "overwrite")
+    out = deliver([good(1, "later"), good(3), good(4)], "f1.jsonl")
+    rows = sorted((r.custom_id or "", r.status, r.content or "") for r in out.collect())
+    text = lambda i, v="a": json.dumps({str(i): f'[["{v}"]]'})
+    assert rows == sorted([("", "corrupt", "")] * 2 + [("1", "ok", text(1)), ("2", "ok", text(2)), ("3", "bad_payload", "no object"),
+                                                       ("3", "ok", text(3)), ("4", "ok", text(4))])
+    again = deliver([good(3), good(4, "x"), good(5)], "f2.jsonl")
+    assert sorted(r.custom_id for r in again.collect() if r.status == "ok") == ["1", "2", "3", "4", "5"]
