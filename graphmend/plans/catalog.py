@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphmend.operators import blocks as blocks_ops
 from graphmend.functions import text as T
 from graphmend.operators import (
-    batching, blocking, edges, embed, nodes, requests, resolvers, responses, sampling, similarity, training, types,
+    batching, blocking, edges, embed, kmeans, nodes, requests, resolvers, responses, sampling, similarity, training, types,
 )
 from graphmend.sources import files, fixtures as fx
 from graphmend.session import cut_lineage, scratch_path
@@ -329,6 +329,29 @@ def q_elbow(spark, sf_dir):
     return blocking.elbow(fx.vectors(spark, sf_dir), k_values=range(2, 21), max_cluster_size=30)
 
 
+@query("kmeans_flat")
+def q_kmeans_flat(spark, sf_dir):
+    """Both backends at one k, judged by what every k-means result must satisfy."""
+    vec, k, out = fx.vectors(spark, sf_dir), 12, None
+    for backend in ("lloyd", "mllib"):
+        labels, centroids = kmeans.kmeans_flat(vec, k, backend=backend)
+        labels = cut_lineage(labels)
+        row = kmeans.violations(vec, labels, centroids).select(
+            F.lit(backend).alias("backend"), "n_points", "not_nearest", "not_mean", F.lit(centroids.count() <= k).alias("within_k"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("elbow_sweep")
+def q_elbow_sweep(spark, sf_dir):
+    """All k in one scan an iteration: every point in a cluster, inertia falling with k, one k chosen."""
+    t = cut_lineage(kmeans.elbow_sweep(fx.vectors(spark, sf_dir), range(2, 21, 2)))
+    first = F.max(F.when(F.col("k") == 2, F.col("inertia"))).over(Window.partitionBy(F.lit(0)))  # a row a k
+    chosen = F.sum(F.col("chosen").cast("int")).over(Window.partitionBy(F.lit(0)))
+    return t.select("k", "n_points", (F.col("n_clusters") <= F.col("k")).alias("within_k"),
+                    ((F.col("k") == 2) | (F.col("inertia") < first)).alias("falls"), (chosen == 1).alias("one_chosen"))
+
+
 def vec_blocks(spark, sf_dir):
     """Vectors blocked by class label, cut into runs of 32 ids (bounded blocks)."""
     v = fx.vectors(spark, sf_dir)

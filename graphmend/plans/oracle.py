@@ -809,6 +809,12 @@ oracle("stream_validated", "statused", "sparsed")("""
 SELECT id, status, output_parsed, list_ok, output_matches_input, representative_in_list, all_edges_same_type, n_groups
 FROM statused WHERE id IN (SELECT custom_id FROM sparsed WHERE status = 'ok')""")
 
+oracle("kmeans_flat")("""
+SELECT backend, count(*) AS n_points, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS not_mean, true AS within_k
+FROM embeddings, (VALUES ('lloyd'), ('mllib')) b(backend) WHERE embedding IS NOT NULL GROUP BY backend""")
+oracle("elbow_sweep")("""
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n_points, true AS within_k, true AS falls, true AS one_chosen
+FROM embeddings, range(2, 21, 2) r(k) WHERE embedding IS NOT NULL GROUP BY k""")
 oracle("contract_report", "statused")("""
 SELECT id,
   len(flat) <> len(list_distinct(flat)) AS has_duplicates,
