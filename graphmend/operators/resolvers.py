@@ -10,15 +10,13 @@ validation / mapping / apply operators as external responses.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmend.functions import text as T
+from graphmend.operators.components import CHUNK_ROWS, block_components
 from graphmend.operators.joins import lookup_join
-from graphmend.operators.vector_index import stack as _stack, unit as _unit
-from graphmend.session import cut_lineage, ship_package
+from graphmend.session import cut_lineage
 
 
 def surface_key(col) -> Column:
@@ -69,44 +67,12 @@ def marked_payload(groups: DataFrame) -> DataFrame:
     return per_block.select(F.col("cluster_id").cast("string").alias("id"), text.alias("output_string"))
 
 
-SIM_SCHEMA = "cluster_id long, member string, component string"
+def similarity_groups(members: DataFrame, tau: float = 0.9, member: str = "member", vec: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Connected components of ``cos >= tau`` inside each block, blocks of any size (``components.block_components``).
 
-
-def similarity_groups(members: DataFrame, tau: float = 0.9, member: str = "member", vec: str = "embedding") -> DataFrame:
-    """Connected components of ``cos >= tau`` inside each block.
-
-    Blocks are size-bounded (the blocking step guarantees it), so each block
-    is one ``applyInPandas`` group; only (member, component) rows come out —
-    pairs are never materialised.  Component id = smallest member text.
+    Component id = smallest member text.
     """
-    def comps(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf[member].astype(str).to_numpy()
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        x = _unit(_stack(pdf[vec].to_numpy()[order]))
-        adj = np.nan_to_num(x @ x.T) >= tau
-        parent = np.arange(len(names))
-        for i in range(len(names)):  # label propagation to the smallest index
-            for j in np.nonzero(adj[i])[0]:
-                a, b = i, j
-                while parent[a] != a:
-                    a = parent[a]
-                while parent[b] != b:
-                    b = parent[b]
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        roots = []
-        for i in range(len(names)):
-            r = i
-            while parent[r] != r:
-                r = parent[r]
-            roots.append(names[r])
-        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], member: names, "component": roots})
-
-    ship_package(members.sparkSession)
-    return members.select("cluster_id", member, vec).groupBy("cluster_id").applyInPandas(
-        comps, SIM_SCHEMA.replace("member", member)
-    )
+    return block_components(members, tau, member, vec, chunk_rows)
 
 
 def collapse_entities(

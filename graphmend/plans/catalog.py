@@ -531,7 +531,9 @@ def q_ingest_report(spark, sf_dir):
 @query("ingest_embeddings")
 def q_ingest_embeddings(spark, sf_dir):
     ok, _ = responses.ingest_embeddings(fx.embedding_lines(spark, sf_dir), dim=64)
-    return ok.select("id", F.size("embedding").cast("bigint").alias("dims"))
+    scaled = F.transform("embedding", lambda x, i: (i + 1) * F.round(x.cast("double") * 10000).cast("bigint"))
+    return ok.select("id", F.size("embedding").cast("bigint").alias("dims"),
+                     F.aggregate(scaled, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("checksum"))
 
 
 @query("embedding_rejects")
@@ -611,7 +613,10 @@ def test_ids(spark, sf_dir):
 
 @query("split_leakage")
 def q_split_leakage(spark, sf_dir):
-    return training.leakage(run_frame_a(spark, sf_dir), test_ids(spark, sf_dir))
+    """Every 50th block of the training run is planted in the test ids; only those may come out."""
+    train = run_frame_a(spark, sf_dir)
+    planted = train.filter(F.pmod("cluster_id", F.lit(50)) == 0).select("cluster_id")
+    return training.leakage(train, test_ids(spark, sf_dir).select("cluster_id").unionByName(planted))
 
 
 @query("semi_blocks")
@@ -811,6 +816,14 @@ def q_similarity_groups(spark, sf_dir):
     return resolvers.similarity_groups(members, tau=0.5)
 
 
+@query("similarity_components")
+def q_similarity_components(spark, sf_dir):
+    """Blocks by label, whatever their size, cut into chunks of 16: most links cross tasks."""
+    v = fx.vectors(spark, sf_dir).filter(F.col("label").isNotNull())
+    members = v.select(F.col("label").cast("bigint").alias("cluster_id"), F.col("id").alias("member"), "embedding")
+    return resolvers.similarity_groups(members, tau=0.5, chunk_rows=16)
+
+
 @query("entity_mapping")
 def q_entity_mapping(spark, sf_dir):
     return resolvers.duplicate_mapping(fx.texts(spark, sf_dir), "doc_id", "text")

@@ -547,8 +547,9 @@ oracle("ingest_completions", "centries")("""
 SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
 oracle("ingest_report", "cparsed")("SELECT source_file, status, count(*) AS n_lines FROM cparsed GROUP BY ALL")
 oracle("ingest_embeddings")("""
-SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS BIGINT) AS dims FROM embeddings
-WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0""")
+SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS BIGINT) AS dims,
+  CAST(list_sum(list_transform(embedding, lambda x, i: i * CAST(round(x::DOUBLE * 10000) AS BIGINT))) AS BIGINT) AS checksum
+FROM embeddings WHERE vec_id % 17 <> 0 AND vec_id % 13 <> 0""")
 oracle("embedding_rejects")("""
 SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS custom_id,
   CASE WHEN vec_id % 17 = 0 THEN 'no_content' ELSE 'wrong_dimension' END AS reason
@@ -615,7 +616,8 @@ SELECT cluster_id, 'a' AS run FROM frame_a WHERE cluster_id NOT IN (SELECT clust
 UNION ALL SELECT cluster_id, 'b' FROM frame_b WHERE cluster_id NOT IN (SELECT cluster_id FROM common)""")
 oracle("common_blocks", "common")("SELECT cluster_id FROM common")
 oracle("split_leakage", "frame_a", "test_ids")(
-    "SELECT cluster_id FROM frame_a INTERSECT SELECT cluster_id FROM test_ids")
+    "SELECT cluster_id FROM frame_a INTERSECT SELECT cluster_id FROM (SELECT cluster_id FROM test_ids"
+    " UNION ALL SELECT cluster_id FROM frame_a WHERE cluster_id % 50 = 0) t")
 oracle("semi_blocks", "dblocks", "run_a")(
     "SELECT cluster_id, cluster_size FROM dblocks WHERE cluster_id IN (SELECT cluster_id FROM run_a)")
 oracle("anti_blocks", "dblocks", "run_a")(
@@ -809,6 +811,17 @@ oracle("stream_validated", "statused", "sparsed")("""
 SELECT id, status, output_parsed, list_ok, output_matches_input, representative_in_list, all_edges_same_type, n_groups
 FROM statused WHERE id IN (SELECT custom_id FROM sparsed WHERE status = 'ok')""")
 
+oracle("similarity_components")("""
+WITH RECURSIVE v AS (
+  SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS member, CAST(label AS BIGINT) AS cluster_id, embedding::DOUBLE[] AS e
+  FROM embeddings WHERE label IS NOT NULL),
+link AS (
+  SELECT a.cluster_id, a.member AS a, b.member AS b FROM v a JOIN v b
+  ON a.cluster_id = b.cluster_id AND a.member <> b.member AND list_cosine_similarity(a.e, b.e) >= 0.5),
+reach AS (
+  SELECT cluster_id, member AS a, member AS b FROM v
+  UNION SELECT r.cluster_id, r.a, l.b FROM reach r JOIN link l ON l.cluster_id = r.cluster_id AND l.a = r.b)
+SELECT cluster_id, a AS member, min(b) AS component FROM reach GROUP BY cluster_id, a""")
 oracle("kmeans_flat")("""
 SELECT backend, count(*) AS n_points, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS not_mean, true AS within_k
 FROM embeddings, (VALUES ('lloyd'), ('mllib')) b(backend) WHERE embedding IS NOT NULL GROUP BY backend""")
