@@ -283,7 +283,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     """Word vectors from all of ``docs``; the network from at most ``train_rows`` labelled documents.
 
     The sample is the first of the labelled rows in order of a hash of their
-    id.  Labels other than 0 and 1, null ids and held-out rows are not used.
+    id, and again the first of the documents that have them, as ids may repeat.  Labels other than 0 and 1, null ids and held-out rows are not used.
     """
     import pandas as pd
     import pyarrow as pa
@@ -301,7 +301,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())],
                                              names=["_id", "_y", "x"])
 
-    got = rows.select("_id", "_y", "text").mapInArrow(kernel, "_id long, _y int, x binary").toPandas()
+    pooled = rows.select("_id", "_y", "text").mapInArrow(kernel, "_id long, _y int, x binary")
+    got = pooled.orderBy(F.xxhash64("_id"), "_id", "_y", "x").limit(train_rows).toPandas()
     got = got.sort_values(["_id", "_y"], ignore_index=True) if len(got) else pd.DataFrame({"_id": [], "_y": [], "x": []})
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, 2 * DIM + 1).astype(np.float64)
     shared.unpersist()

@@ -127,33 +127,41 @@ def findings(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     return paths.join(_by_blob(ledger, rules), "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
 
 
+_PIECE = 4096  # code points of a piece
+
+
 def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]",
            text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, each span (overlapping ones as one) replaced by ``mask``.
 
     Texts without findings, null texts among them, stay as they are.
     """
-    hits = _by_blob(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", F.sha2(text_of(text_col), 256)).join(hits, "_blob", "left")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def merge(acc, s):
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (s["start"] >= F.get(acc, F.size(acc) - 1)["end"])
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        return F.when(apart, F.concat(acc, F.array(own))).otherwise(F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))))
-
-    def between(s, i):
-        begin = F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0))
-        return F.substring(F.col(text_col), (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-
-    merged = joined.withColumn("_spans", F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", empty, merge)))
-    tail = F.substring(F.col(text_col), (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length(text_col))
-    parts = F.concat(F.transform("_spans", between), F.array(tail))
+    each = _by_blob(ledger, rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    in_order = Window.partitionBy("blob").orderBy("start", "end")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("start") < reached, 0).otherwise(1)
+    runs = each.withColumn("apart", apart).withColumn("run", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("blob").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("blob", "_blob")
+    joined = docs.withColumn("_blob", F.sha2(text_of(text_col), 256)).join(merged, "_blob", "left")
+    # A position is found within a piece of bounded size, so a long text with many spans is not walked through for each.
+    joined = joined.withColumn("_pieces", F.when(F.col("_spans").isNotNull(), F.regexp_extract_all(
+        F.col(text_col), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+
+    def piece(i):
+        return F.coalesce(F.get("_pieces", i), F.lit(""))
+
+    def between(begin, end):
+        a, z = (F.floor(x / _PIECE).cast("int") for x in (begin, end))
+        inside = F.substring(piece(a), (begin % _PIECE + 1).cast("int"), (end - begin).cast("int"))
+        across = F.concat(F.substring(piece(a), (begin % _PIECE + 1).cast("int"), F.lit(_PIECE)),
+                          F.array_join(F.slice("_pieces", a + 2, z - a - 1), ""), F.substring(piece(z), F.lit(1), (end % _PIECE).cast("int")))
+        return F.when(a == z, inside).otherwise(across)
+
+    cuts = F.concat(F.col("_spans"), F.array(F.struct(F.length(text_col).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))))
+    parts = F.transform(cuts, lambda s, i: between(F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0).cast("long")), s["start"]))
     text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(parts, mask))
-    return merged.withColumn(text_col, text).select(*docs.columns)
+    return joined.withColumn(text_col, text).select(*docs.columns)
 
 
 def span_text(spans: Column) -> Column:

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     q = entry.queries()
     assert [n for n in q if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in q
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(q)
 
 

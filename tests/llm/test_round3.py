@@ -238,3 +238,48 @@ def test_hilbert_neighbours_are_adjacent():
     cells = np.array([(a, b) for a in side for b in side])
     walk = cells[np.argsort(vc.hilbert_keys(cells, 4))]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_masking_many_spans_is_linear_and_exact(spark):
+    import re as regex
+    import time
+
+    from graphmend.llm import secrets_ledger as sl
+
+    key = "password=abcdef"
+    texts = [" é ".join([key] * 12_000), "x" * 4096 + key, key, "é" * 4095 + key + "ü" * 5000 + key, "none", None, "",
+             "token=" + "f" * 30 + " " + "0123456789abcdef" * 3]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in enumerate(texts)], DOCS)
+    ledger = sl.scan(docs)
+    from graphmend.llm.common import stage
+
+    ledger = stage(ledger, "mask-test")
+    began = time.time()
+    got = {r.doc_id: r.text for r in sl.masked(docs, ledger).collect()}
+    assert time.time() - began < 30
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in sl.findings(docs, ledger).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        merged = []
+        for a, z in sorted(found[i]):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], z)
+            else:
+                merged.append([a, z])
+        for a, z in merged:
+            out.append(t[at:a] + "[SECRET]")
+            at = z
+        assert got[i] == (t if not merged else "".join(out) + t[at:])
+    assert got[0].count("[SECRET]") == 12_000 and not regex.search("abcdef", got[0])
+
+
+def test_fit_is_bounded_where_ids_repeat(spark, monkeypatch):
+    from graphmend.llm import quality
+
+    seen = []
+    real = quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda words, x, y: seen.append(len(x)) or real(words, x, y))
+    rows = [(i % 3, f"good text number {i} with some words", 0, 0, 0) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    quality.fit_quality(spark.createDataFrame(rows, DOCS), labels, train_rows=20)
+    assert seen == [20]
