@@ -866,9 +866,9 @@ def _streamed(spark, sf_dir, blocks=None):
     src, sink, ckpt = (os.path.join(base, p) for p in ("outputs", "parsed", "checkpoint"))
     resp = edge_stage(spark, sf_dir)["resp"]
     ingest.write_line_files(fx.completion_lines(resp), src)
-    ingest.stream_completions(spark, src, sink, ckpt, max_files_per_trigger=2, blocks=blocks)
+    ingest.stream_completions(spark, src, sink, ckpt, 2, dedupe_within=ingest.DEDUPE_WITHIN, blocks=blocks)
     ingest.write_line_files(fx.redelivered_lines(resp), src, mode="append")
-    return ingest.stream_completions(spark, src, sink, ckpt, blocks=blocks)
+    return ingest.stream_completions(spark, src, sink, ckpt, dedupe_within=ingest.DEDUPE_WITHIN, blocks=blocks)
 
 
 @query("stream_ingest")

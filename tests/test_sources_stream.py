@@ -80,7 +80,7 @@ def test_stream_drops_redeliveries_but_not_retries(spark):
 
     def deliver(lines, name, mode="append"):
         ingest.write_line_files(spark.createDataFrame([(x, name) for x in lines], cols), src, mode=mode)
-        return ingest.stream_completions(spark, src, sink, ckpt, max_files_per_trigger=1)
+        return ingest.stream_completions(spark, src, sink, ckpt, max_files_per_trigger=1, dedupe_within=ingest.DEDUPE_WITHIN)
 
     deliver([good(1), good(2), good(2), "{broken", "{broken", _line("3", "no object")], "f0.jsonl", "overwrite")
     out = deliver([good(1, "later"), good(3), good(4)], "f1.jsonl")
