@@ -27,15 +27,23 @@ def surface_key(col) -> Column:
     script are kept, and so is a trailing ``+`` or ``-`` (ions, mutants).  A
     text without letters and digits is its own key, never an empty one.
     """
+    head, body, tail = _surface_parts(col)
+    return F.concat(head, F.lit("|"), _surface_body(body), F.lit("|"), tail)
+
+
+def _surface_parts(col) -> tuple[Column, Column, Column]:
+    """Leading bracket, text between, trailing bracket."""
     c = T._c(col)
     head = F.regexp_extract(c, r"^(\[[^\]]*\])", 1)
     tail = F.regexp_extract(c, r"(\[[^\]]*\])$", 1)
-    body = F.substring(c, F.length(head) + 1, F.greatest(F.length(c) - F.length(head) - F.length(tail), F.lit(0)))
+    return head, F.substring(c, F.length(head) + 1, F.greatest(F.length(c) - F.length(head) - F.length(tail), F.lit(0))), tail
+
+
+def _surface_body(body: Column) -> Column:
     sign = F.regexp_extract(body, r"([+-]+)\s*$", 1)
     norm = F.btrim(F.regexp_replace(F.lower(body), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(" "))
     norm = F.regexp_replace(norm, r"([a-z]{2}[a-rt-z])s\b", "$1")
-    norm = F.when(norm == "", F.concat(F.lit("="), body)).otherwise(F.concat(norm, sign))
-    return F.concat(head, F.lit("|"), norm, F.lit("|"), tail)
+    return F.when(norm == "", F.concat(F.lit("="), body)).otherwise(F.concat(norm, sign))
 
 
 def surface_groups(members: DataFrame, member: str = "member", freq: str | None = None) -> DataFrame:
@@ -53,6 +61,43 @@ def surface_groups(members: DataFrame, member: str = "member", freq: str | None
     ).withColumnRenamed("_key", "key")
 
 
+#: Words that an abbreviation may leave out.
+SMALL_WORDS = ("a", "an", "and", "by", "for", "in", "of", "on", "or", "the", "to", "with")
+
+
+def merge_abbreviations(groups: DataFrame) -> DataFrame:
+    """Groups of ``surface_groups`` with abbreviations joined to their long form.
+
+    A group is an abbreviation if a member's text between the brackets is one
+    word of two or more capitals.  It joins the group of its block whose words
+    (two or more) have these initials, small words counted or left out, under
+    equal bracketed types; the long form keeps key and representative.  If two
+    long forms of the block fit, or none does, the abbreviation stays apart.
+    """
+    def initials(words):
+        return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+
+    def bare(member):
+        return F.btrim(_surface_parts(member)[1], F.lit(" "))
+
+    head, body, tail = _surface_parts("representative")
+    words = F.split(_surface_body(body), " ")
+    g = groups.select("cluster_id", "key", head.alias("_h"), tail.alias("_t"), words.alias("_w"),
+                      F.transform(F.filter("group", lambda m: bare(m).rlike("^[A-Z]{2,}$")), lambda m: F.lower(bare(m))).alias("_short"))
+    big = F.filter("_w", lambda w: ~w.isin(*SMALL_WORDS))
+    forms = g.where(F.size("_w") >= 2).select(
+        "cluster_id", "_h", "_t", F.col("key").alias("_long"), F.explode(F.array_distinct(F.array(initials(F.col("_w")), initials(big)))).alias("_i"))
+    one = forms.groupBy("cluster_id", "_h", "_t", "_i").agg(F.min("_long").alias("_long"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    short = g.where(F.size("_w") == 1).select("cluster_id", "_h", "_t", "key", F.explode(F.array_distinct("_short")).alias("_i"))
+    to = short.join(one, ["cluster_id", "_h", "_t", "_i"]).groupBy("cluster_id", "key").agg(
+        F.min("_long").alias("_long"), F.max("_long").alias("_other")).where("_long = _other").drop("_other")
+    placed = groups.join(to, ["cluster_id", "key"], "left").withColumn("_k", F.coalesce("_long", "key"))
+    return placed.groupBy("cluster_id", F.col("_k")).agg(
+        F.array_sort(F.flatten(F.collect_list("group"))).alias("group"),
+        F.max(F.when(F.col("key") == F.col("_k"), F.col("representative"))).alias("representative"),
+    ).withColumnRenamed("_k", "key")
+
+
 def marked_payload(groups: DataFrame) -> DataFrame:
     """``{"<cluster_id>": "[[...], ...]"}`` response text with ``**rep**`` marks.
 

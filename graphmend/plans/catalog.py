@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphmend.operators import blocks as blocks_ops
 from graphmend.functions import text as T
 from graphmend.operators import (
-    batching, blocking, edges, embed, kmeans, nodes, requests, resolvers, responses, sampling, similarity, training, types,
+    batching, blocking, edges, embed, kmeans, nodes, requests, resolvers, responses, sampling, similarity, sketches, training, types,
 )
 from graphmend.sources import files, fixtures as fx
 from graphmend.session import cut_lineage, scratch_path
@@ -161,6 +161,33 @@ def q_compression_stats(spark, sf_dir):
     return edges.compression_stats(applied_kg(spark, sf_dir))
 
 
+@query("merged_distinct")
+def q_merged_distinct(spark, sf_dir):
+    """Labels before and after over two runs: stored sketches merged, held against the exact union."""
+    applied = cut_lineage(applied_kg(spark, sf_dir))
+    path, columns = scratch_path(spark, "sketches"), ["interaction", "mapped_edge"]
+    for run in (0, 1):
+        sketches.store_sketches(applied.where(F.col("row_id") % 2 == run), path, f"run-{run}", columns)
+    merged = sketches.merged_counts(spark.read.parquet(path))
+    exact = sketches.distinct_sketches(applied, columns).select("column", F.col("n_exact").alias("n_union"))
+    near = F.abs(F.col("estimate") - F.col("n_union")) <= sketches.STATED_ERROR * F.col("n_union")
+    return merged.join(exact, "column").select("column", "n_runs", "n_most", "n_sum", "n_union", near.alias("within_error"))
+
+
+@query("stage_counters")
+def q_stage_counters(spark, sf_dir):
+    """Rows, changed rows and skipped lines, counted by the jobs that write the stages."""
+    from graphmend.plans import flows
+
+    work, rows = scratch_path(spark, "counted"), F.count(F.lit(1))
+    remapped, first = flows.counted_stage(spark, work, "remapped", lambda: remapped_kg(spark, sf_dir), {"rows": rows})
+    applied, last = flows.counted_stage(spark, work, "kg_resolved", lambda: applied_kg(spark, sf_dir), {
+        "rows": rows, "changed": F.count_if(F.col("mapped_edge") != F.col("interaction"))})
+    lines, read = flows.counted_stage(spark, work, "lines", lambda: parsed_completions(spark, sf_dir), flows.per_status(
+        "status", (responses.OK, responses.CORRUPT, responses.NO_CONTENT, responses.BAD_PAYLOAD)))
+    return first.unionByName(last).unionByName(read)
+
+
 # --------------------------------------------------------------- node types
 
 def ranked_vectors(spark, sf_dir):
@@ -496,13 +523,15 @@ def q_ingest_completions_dir(spark, sf_dir):
 
 @query("scan_triples")
 def q_scan_triples(spark, sf_dir):
-    """Triple CSV files written from the triple table and scanned back."""
+    """Triple CSV files, quotes and line breaks in their fields, written from the triple table and scanned back."""
     path = scratch_path(spark, "triples")
     kg = fx.kg(spark, sf_dir)
     cols = [F.col(c.replace(" ", "_")).alias(c) if c.replace(" ", "_") in kg.columns else F.lit(None).cast("string").alias(c)
             for c in files.TRIPLE_COLUMNS]
-    files.write_csv(kg.select(*cols), path)
-    return files.read_triples_csv(spark, path, multiline=False).select(
+    broken = F.when(F.col("row_id") % 13 == 0, F.replace("source_extracted_definition", F.lit(" def "), F.lit(' "def"\n, '))).otherwise(
+        F.col("source_extracted_definition"))
+    files.write_csv(kg.withColumn("source_extracted_definition", broken).select(*cols), path)
+    return files.read_triples_csv(spark, path).select(
         "source", "source_type", "target", "target_type", "source_extracted_definition", "target_extracted_definition")
 
 
@@ -514,6 +543,17 @@ def q_scan_json_table(spark, sf_dir):
     return files.read_json_table(spark, path, ["row_id", "source_type", "interaction", "target_type"], orient="lines")
 
 
+@query("scan_json_columns")
+def q_scan_json_columns(spark, sf_dir):
+    """Column-oriented JSON objects, one for each 5,000 rows, scanned back file by file."""
+    path, columns = scratch_path(spark, "json-columns"), ["source_type", "interaction", "target_type"]
+    index = F.col("row_id").cast("string")
+    whole = F.struct(*[F.map_from_entries(F.collect_list(F.struct(index, F.col(c)))).alias(c) for c in columns])
+    fx.kg(spark, sf_dir).groupBy(F.floor(F.col("row_id") / 5000).alias("part")).agg(F.to_json(whole).alias("value")).write.partitionBy(
+        "part").text(path)
+    return files.read_json_table(spark, path, columns, orient="columns")
+
+
 @query("scan_outputs")
 def q_scan_outputs(spark, sf_dir):
     """Blocks with their member lists through CSV and back."""
@@ -790,6 +830,13 @@ def q_choose_representative(spark, sf_dir):
     return g.select("cluster_id", "key", "representative")
 
 
+@query("abbreviation_groups")
+def q_abbreviation_groups(spark, sf_dir):
+    """Part names in blocks of 24 with planted initials: fitting ones, unrelated ones and some under another type."""
+    groups = resolvers.surface_groups(fx.abbreviated_names(load(spark, sf_dir, "part")))
+    return resolvers.merge_abbreviations(groups).select("cluster_id", "key", "representative", F.to_json("group").alias("group"))
+
+
 @query("wrap_payload")
 def q_wrap_payload(spark, sf_dir):
     _, g = edge_surface(spark, sf_dir)

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,6 +36,40 @@ def stage(spark: SparkSession, workdir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def counted_stage(spark: SparkSession, workdir: str, name: str, build: Callable[[], DataFrame],
+                  counters: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``stage`` and its counters ``(stage, counter, value)``, gathered by the job that writes the table.
+
+    ``counters`` are aggregates such as ``F.count_if(...)``; an ``Observation`` on the written rows collects them, so no
+    second scan is made.  They are stored beside the table.  If a run was lost between the two writes, they are
+    counted from the table.
+    """
+    path, beside = os.path.join(workdir, name), os.path.join(workdir, f"{name}.counts")
+    wanted = [c.cast("bigint").alias(n) for n, c in counters.items()]
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException:
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        write_parquet(build().observe(seen, *wanted), path)
+        _write_counts(spark, name, seen.get, beside)
+        return spark.read.parquet(path), spark.read.parquet(beside)
+    try:
+        return done, spark.read.parquet(beside)
+    except AnalysisException:
+        _write_counts(spark, name, done.agg(*wanted).first().asDict(), beside)
+        return done, spark.read.parquet(beside)
+
+
+def _write_counts(spark: SparkSession, name: str, values: dict, path: str) -> None:
+    rows = [(name, counter, int(value or 0)) for counter, value in values.items()]
+    write_parquet(spark.createDataFrame(rows, "stage string, counter string, value bigint").coalesce(1), path)
+
+
+def per_status(column: str, values: tuple[str, ...]) -> dict[str, Column]:
+    """Counters: all rows, and the rows of each status."""
+    return {"rows": F.count(F.lit(1)), **{v: F.count_if(F.col(column) == v) for v in values}}
+
+
 def _named(flow: str, *parameters) -> str:
     """Folder of a flow's stages: its name and a digest of the parameters that shape them.
 
@@ -57,7 +93,7 @@ def _surface_responses(blocks: DataFrame, freq: DataFrame | None = None) -> Data
     if freq is not None:
         members = members.join(freq, "member", "left")
     groups = resolvers.surface_groups(members, "member", "freq" if freq is not None else None)
-    return resolvers.marked_payload(groups)
+    return resolvers.marked_payload(resolvers.merge_abbreviations(groups))
 
 
 def request_files(blocks: DataFrame, path: str, system_prompt: str, max_batch_size: int = 50_000) -> DataFrame:
@@ -87,24 +123,36 @@ def resolve_edges(
     ``vectors`` (id = signature, embedding) come from an embedding service
     (``responses.ingest_embeddings``); without them signatures are embedded
     with ``hash_embed``.  ``responses`` (id, output_string) come from an
-    external resolver; without them the surface resolver is used.
+    external resolver; without them the surface resolver is used.  ``counts``
+    holds rows, changed rows and responses to ask again, counted while the
+    stages were written; ``remapped`` and ``kg_resolved`` have equal rows.
     """
     spark = kg.sparkSession
     folder = os.path.join(workdir, _named("edges", kg, type_map, responses, vectors, max_cluster_size, k_split, seed))
     st = lambda n, f: stage(spark, folder, n, f)
-    remapped = st("remapped", lambda: nodes.remap_types(kg, type_map))
-    sigs = st("signatures", lambda: edges.edge_signatures(remapped, strip=True))
+    counts = []
+
+    def counted(n, f, counters):
+        table, c = counted_stage(spark, folder, n, f, counters)
+        counts.append(c)
+        return table
+
+    remapped = counted("remapped", lambda: nodes.remap_types(kg, type_map), {"rows": F.count(F.lit(1))})
+    sigs = counted("signatures", lambda: edges.edge_signatures(remapped, strip=True),
+                   {"rows": F.count(F.lit(1)), "triples": F.sum("freq")})
     vecs = vectors if vectors is not None else st("signature_vectors", lambda: embed.hash_embed(sigs, "signature", "signature"))
     blocks = st("blocks", lambda: _blocks_for(vecs, max_cluster_size, k_split, seed))
     freq = sigs.select(F.col("signature").alias("member"), "freq")
     resp = responses if responses is not None else st("responses", lambda: _surface_responses(blocks, freq))
-    validated = st("validated", lambda: edges.validate_outputs(resp, blocks))
+    validated = counted("validated", lambda: edges.validate_outputs(resp, blocks),
+                        {"rows": F.count(F.lit(1)), "rerun": F.count_if(F.col("status") != "ok")})
     mapping = st("mapping", lambda: edges.merge_mapping(edges.extract_mapping(validated)))
-    applied = st("kg_resolved", lambda: edges.apply_edge_mapping(remapped, mapping))
+    applied = counted("kg_resolved", lambda: edges.apply_edge_mapping(remapped, mapping),
+                      {"rows": F.count(F.lit(1)), "changed": F.count_if(F.col("mapped_edge") != F.col("interaction"))})
     return {
         "remapped": remapped, "signatures": sigs, "blocks": blocks, "validated": validated,
         "rerun": edges.rerun_set(validated), "mapping": mapping, "kg": applied,
-        "stats": edges.compression_stats(applied),
+        "stats": edges.compression_stats(applied), "counts": reduce(DataFrame.unionByName, counts),
     }
 
 

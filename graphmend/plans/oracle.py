@@ -269,6 +269,16 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_edge <> interaction) AS
   count(DISTINCT interaction) - count(DISTINCT mapped_edge) AS reduction
 FROM applied""")
 
+FIXTURE_SQL["mlabels"] = """
+SELECT row_id % 2 AS run, 'interaction' AS "column", interaction AS value FROM applied
+UNION ALL SELECT row_id % 2, 'mapped_edge', mapped_edge FROM applied"""
+DEPS["mlabels"] = ["applied"]
+
+oracle("merged_distinct", "mlabels")("""
+SELECT r."column", count(*) AS n_runs, max(n) AS n_most, CAST(sum(n) AS BIGINT) AS n_sum, any_value(u.n_union) AS n_union, true AS within_error
+FROM (SELECT "column", run, count(DISTINCT value) AS n FROM mlabels GROUP BY ALL) r
+JOIN (SELECT "column", count(DISTINCT value) AS n_union FROM mlabels GROUP BY 1) u ON r."column" = u."column" GROUP BY 1""")
+
 
 # ----------------------------------------------------------------- node types
 
@@ -727,7 +737,10 @@ FROM vec v, (SELECT parents FROM walk ORDER BY r DESC LIMIT 1) f""")
 oracle("ingest_completions_dir", "centries")("""
 SELECT custom_id, key, arg_max(value, coalesce(source_file, '')) AS value FROM centries GROUP BY custom_id, key""")
 oracle("scan_triples", "kg")("""
-SELECT source, source_type, target, target_type, source_extracted_definition, target_extracted_definition FROM kg""")
+SELECT source, source_type, target, target_type,
+  CASE WHEN row_id % 13 = 0 THEN replace(source_extracted_definition, ' def ', ' "def"' || chr(10) || ', ') ELSE source_extracted_definition END
+    AS source_extracted_definition, target_extracted_definition FROM kg""")
+oracle("scan_json_columns", "kg")("SELECT row_id AS row_index, source_type, interaction, target_type FROM kg")
 oracle("scan_json_table", "kg")("SELECT row_id, source_type, interaction, target_type FROM kg")
 oracle("scan_outputs", "dblocks")("""
 SELECT cluster_id, cluster_size, CAST(to_json(member_ids) AS VARCHAR) AS members FROM dblocks""")
@@ -765,6 +778,39 @@ DEPS.update({"sgroups": ["blk"], "smap": ["sgroups", "blocks"], "sapplied": ["sm
 oracle("surface_groups", "sgroups")(
     "SELECT cluster_id, key, CAST(to_json(grp) AS VARCHAR) AS \"group\" FROM sgroups")
 oracle("choose_representative", "sgroups")("SELECT cluster_id, key, representative FROM sgroups")
+
+def _initials(words: str) -> str:
+    return f"list_aggregate(list_transform({words}, lambda w: substr(w, 1, 1)), 'string_agg', '')"
+
+
+FIXTURE_SQL["anames"] = f"""
+SELECT DISTINCT p_partkey // 24 AS cluster_id, unnest(list_filter([
+  '[part] ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' of ' ELSE ' ' END || lower(p_type) || ' [item]',
+  CASE WHEN p_partkey % 3 = 0 THEN '[part] ' || i || ' [item]' WHEN p_partkey % 3 = 1 THEN '[part] QXZ [item]'
+       WHEN p_partkey % 9 = 2 THEN '[tool] ' || i || ' [item]' END], lambda m: m IS NOT NULL)) AS member
+FROM (SELECT *, upper({_initials("string_split(p_name || ' ' || p_type, ' ')")}) AS i FROM part) p"""
+FIXTURE_SQL["agroups"] = f"""
+SELECT cluster_id, key, list(member ORDER BY member) AS grp, arg_min(member, rk) AS representative
+FROM (SELECT cluster_id, member, {_surface_key('member')} AS key, row_number() OVER (
+        PARTITION BY cluster_id, {_surface_key('member')} ORDER BY length(member) DESC, member) AS rk FROM anames) x
+GROUP BY cluster_id, key"""
+FIXTURE_SQL["aforms"] = f"""
+SELECT DISTINCT cluster_id, key, h, t, unnest([{_initials('words')},
+  {_initials("list_filter(words, lambda w: w NOT IN ('a','an','and','by','for','in','of','on','or','the','to','with'))")}]) AS i
+FROM (SELECT cluster_id, key, split_part(key, '|', 1) AS h, split_part(key, '|', 3) AS t, string_split(split_part(key, '|', 2), ' ') AS words
+      FROM agroups) g WHERE len(words) >= 2"""
+FIXTURE_SQL["ato"] = """
+SELECT s.cluster_id, s.key, min(f.key) AS long_key
+FROM agroups s JOIN aforms f ON s.cluster_id = f.cluster_id AND split_part(s.key, '|', 1) = f.h AND split_part(s.key, '|', 3) = f.t
+  AND split_part(s.key, '|', 2) = f.i
+WHERE len(list_filter(s.grp, lambda m: regexp_matches(m, '\\] [A-Z]{2,} \\['))) > 0
+GROUP BY s.cluster_id, s.key HAVING count(DISTINCT f.key) = 1"""
+DEPS.update({"agroups": ["anames"], "aforms": ["agroups"], "ato": ["agroups", "aforms"]})
+
+oracle("abbreviation_groups", "ato")("""
+SELECT g.cluster_id, coalesce(a.long_key, g.key) AS key, max(g.representative) FILTER (a.long_key IS NULL) AS representative,
+  CAST(to_json(list_sort(flatten(list(g.grp)))) AS VARCHAR) AS "group"
+FROM agroups g LEFT JOIN ato a ON g.cluster_id = a.cluster_id AND g.key = a.key GROUP BY ALL""")
 oracle("wrap_payload", "sgroups")("""
 SELECT CAST(cluster_id AS VARCHAR) AS id,
   CAST(to_json(MAP([CAST(cluster_id AS VARCHAR)], [CAST(to_json(list(mg ORDER BY key)) AS VARCHAR)])) AS VARCHAR) AS output_string
@@ -864,3 +910,11 @@ FROM restored"""
 
 
 oracle("second_pass_requests", "restored")(_second_pass_sql())
+
+oracle("stage_counters", "remap", "applied", "cparsed")("""
+SELECT 'remapped' AS stage, 'rows' AS counter, count(*) AS value FROM remap
+UNION ALL SELECT 'kg_resolved', 'rows', count(*) FROM applied
+UNION ALL SELECT 'kg_resolved', 'changed', count(*) FILTER (WHERE mapped_edge <> interaction) FROM applied
+UNION ALL SELECT 'lines', 'rows', count(*) FROM cparsed
+UNION ALL SELECT 'lines', s.status, count(c.status) FROM (VALUES ('ok'), ('corrupt'), ('no_content'), ('bad_payload')) s(status)
+  LEFT JOIN cparsed c ON c.status = s.status GROUP BY s.status""")

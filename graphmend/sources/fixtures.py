@@ -332,3 +332,15 @@ def doc_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = d.select(node.alias("source"), F.lit("written_in").alias("relation"), F.concat(F.lit("lang "), F.col("lang")).alias("target"))
     src = d.select(node.alias("source"), F.lit("from").alias("relation"), F.col("source").alias("target"))
     return lang.unionByName(src)
+
+
+def abbreviated_names(part: DataFrame) -> DataFrame:
+    """``(cluster_id, member)``: typed part names, and for some of them initials, unrelated capitals or initials of another type."""
+    k = F.col("p_partkey")
+    between = F.when(k % 2 == 0, F.lit(" of ")).otherwise(F.lit(" "))
+    name = F.concat("p_name", between, F.lower("p_type"))
+    first = F.upper(F.array_join(F.transform(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), lambda w: F.substring(w, 1, 1)), ""))
+    planted = F.when(k % 3 == 0, F.concat(F.lit("[part] "), first, F.lit(" [item]"))).when(
+        k % 3 == 1, F.lit("[part] QXZ [item]")).when(k % 9 == 2, F.concat(F.lit("[tool] "), first, F.lit(" [item]")))
+    members = F.array_compact(F.array(F.concat(F.lit("[part] "), name, F.lit(" [item]")), planted))
+    return part.select(F.floor(k / 24).alias("cluster_id"), F.explode(members).alias("member")).distinct()

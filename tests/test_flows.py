@@ -21,6 +21,10 @@ def test_edge_flow(spark):
     assert out["validated"].filter(F.col("status") != "ok").count() == 0  # surface resolver always marks
     stats = out["stats"].first()
     assert stats["n_rows"] == kg.count() and stats["n_edges_after"] <= stats["n_edges_before"]
+    counts = {(r["stage"], r["counter"]): r["value"] for r in out["counts"].collect()}
+    assert counts["remapped", "rows"] == counts["kg_resolved", "rows"] == stats["n_rows"]
+    assert counts["kg_resolved", "changed"] == stats["n_changed"] and counts["validated", "rerun"] == 0
+    assert counts["signatures", "rows"] == len(sigs)
     again = flows.resolve_edges(kg, tm, work)  # every stage is read back, not rebuilt
     assert sorted(again["mapping"].collect()) == sorted(out["mapping"].collect())
 
