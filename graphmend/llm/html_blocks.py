@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,20 +23,61 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 # Element names and class words, as web pages use them.
 _RAW = {"script", "style"}
-_DROPPED = {"head", "title", "noscript", "template", "svg", "math", "canvas", "select", "textarea", "button", "iframe", "object", "option"}
+_DROPPED = {"head", "title", "noscript", "template", "svg", "canvas", "select", "textarea", "button", "iframe", "object", "option", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-           "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+           "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+           "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder",
+           "munderover", "mstyle", "mpadded", "mphantom", "mspace"}
 _ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 _INSIDE = {"article", "main"}
 _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo recommended "
     "related replies reply share sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_NUMERAL = re.compile(r"&#([0-9]{8,})")
 _WORDS = re.compile(r"[a-z]+")
-_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
+_END = {name: re.compile(rf"</{name}\b", re.I) for name in _RAW}
+
+
+def _attributes(page: str, at: int, loose: bool) -> tuple[int, dict[str, str]] | None:
+    """End of the tag whose name ends at ``at``, and its attributes; the first of a name counts.
+
+    A quoted value is consumed whole.  ``None`` if the page ends before the tag does.  ``loose`` reads no quotes, so the
+    tag ends at the next ``>``.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at == len(page):
+            return None
+        if page[at] == ">":
+            return at + 1, found
+        key = _KEY.match(page, at)
+        at = key.end()
+        value, equals = "", _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            quote = page[at:at + 1]
+            if quote in ('"', "'") and quote and not loose:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1:end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0].strip("\"'"), bare.end()
+        found.setdefault(key[0].lower(), value)
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; numerals beyond all code points, of any length, give U+FFFD."""
+    return html.unescape(_NUMERAL.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or 0}", text))
 
 
 def blocks(page: str) -> list[tuple[str, list[float], int | None]]:
@@ -43,50 +85,83 @@ def blocks(page: str) -> list[tuple[str, list[float], int | None]]:
 
     Block elements bound a block, ``br`` is white space, inline elements are
     nothing.  Character references are decoded and white space becomes one
-    space.  Unclosed elements end with what holds them.  ``label`` is the
-    nearest ``data-main`` attribute, which only the labelled table has.
+    space.  Unclosed elements end with what holds them; a tag that never ends
+    is text.  The page is read once, in time linear in its length, however
+    deep or broken it is.  ``label`` is the nearest ``data-main`` attribute, which only the labelled table has.
     """
     out: list[tuple[str, list[float], int | None]] = []
     stack: list[tuple[str, bool, bool, bool, int | None]] = []  # name, aside, inside, dropped, label
+    opened: Counter[str] = Counter()  # elements on the stack by name
+    asides = insides = drops = 0
     parts: list[str] = []
     linked = total = 0
     in_link = False
     heading = False
+    loose = False  # after a quote that never ends, tags end at the next ">"
 
     def flush():
         nonlocal linked, total
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join(_decoded("".join(parts)).split())
         parts.clear()
         if text:
             words = len(text.split(" "))
-            out.append((text, [words, linked / total if total else 0.0, any(s[1] for s in stack), any(s[2] for s in stack), heading],
-                        next((s[4] for s in reversed(stack) if s[4] is not None), None)))
+            out.append((text, [words, linked / total if total else 0.0, asides > 0, insides > 0, heading], stack[-1][4] if stack else None))
         linked = total = 0
 
     def add(text):
         nonlocal linked, total
-        if text and not any(s[3] for s in stack):
+        if text and not drops:
             parts.append(text)
             n = len(text.split())
             total += n
             linked += n * in_link
 
-    at = 0
+    def close():
+        nonlocal asides, insides, drops
+        name, aside, inside, dropped, _ = stack.pop()
+        opened[name] -= 1
+        asides, insides, drops = asides - aside, insides - inside, drops - dropped
+        return name
+
+    begin = at = 0  # text not added yet, place to search from
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+        at = page.find("<", at)
+        if at < 0:
+            add(page[begin:])
             break
-        add(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        if page.startswith("<!--", at):
+            add(page[begin:at])
+            end = page.find("-->", at + 4)
+            begin = at = end + 3 if end >= 0 else len(page)
             continue
-        closing = bool(m[1] or m[4])
+        tag = _NAME.match(page, at)
+        if tag is None and page[at + 1:at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        end = page.find(">", at)
+        if end < 0:  # no tag ends any more
+            add(page[begin:])
+            break
+        add(page[begin:at])
+        if tag is None:
+            begin = at = end + 1
+            continue
+        attributes: dict[str, str] = {}
+        name, closing = tag[2].lower(), bool(tag[1])
+        if end > tag.end():
+            read = _attributes(page, tag.end(), loose)
+            if read is None:
+                loose = True
+                read = _attributes(page, tag.end(), loose)
+            begin, attributes = read
+        else:
+            begin = end + 1
+        at = begin
         if name in _RAW:
             if not closing:
-                end = _END[name].search(page, at)
-                at = end.end() if end else len(page)
+                last = _END[name].search(page, at)
+                end = page.find(">", last.end()) if last else -1
+                begin = at = end + 1 if end >= 0 else len(page)
             continue
         if name == "br":
             add(" ")
@@ -100,30 +175,29 @@ def blocks(page: str) -> list[tuple[str, list[float], int | None]]:
         in_link = False
         heading = len(name) == 2 and name[0] == "h" and name[1].isdigit() and not closing
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if opened[name] > 0:
+                while close() != name:
                     pass
             continue
         if name == "hr":
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"
                          or stack[-1][0] == "head" and name == "body"):
-            stack.pop()
-        attributes: dict[str, str] = {}
-        for a in _ATTRIBUTE.finditer(m[3] or m[6] or ""):  # values are consumed whole; the first of a name counts
-            attributes.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+            close()
         words = set(_WORDS.findall(" ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower()))
-        within = any(s[2] for s in stack)
         if name in ("html", "body", "main"):
             aside = False
         elif name == "article":
             aside = bool(words & {"comment", "comments", "ad", "advert", "sponsored"})
         else:
             told = words & _ASIDE_WORDS
-            aside = name in _ASIDE or name == "header" and not within or bool(told - {"header"} if within else told)
+            aside = name in _ASIDE or name == "header" and not insides or bool(told - {"header"} if insides else told)
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
-        label = int(attributes["data-main"]) if attributes.get("data-main") in ("0", "1") else None
-        stack.append((name, aside, name in _INSIDE, name in _DROPPED or hidden, label))
+        label = int(attributes["data-main"]) if attributes.get("data-main") in ("0", "1") else stack[-1][4] if stack else None
+        inside, dropped = name in _INSIDE, name in _DROPPED or hidden
+        stack.append((name, aside, inside, dropped, label))
+        opened[name] += 1
+        asides, insides, drops = asides + aside, insides + inside, drops + dropped
     flush()
     return out
 
@@ -140,6 +214,7 @@ def features(found: list[tuple[str, list[float], int | None]]) -> np.ndarray:
 
 _LOREM = ("Rain fell over the harbour all morning while the crews waited for the tide to turn. By noon the first boats left, and those on "
           "shore went back to mending nets and telling stories of the winter before.")
+_LEAD = "The council will meet again on Friday to hear what the fishermen think of the new pier and of its price, nobody expects quick answers."
 _LABELLED = (
     f'<nav data-main=0><ul><li><a>Home</a><li><a>News</a><li><a>Sport</a><li><a>About us</a></ul></nav><div class=ad data-main=0>Buy two, pay for one this '
     f'week only.</div><article data-main=1><h1>Boats return</h1><p>{_LOREM}<p>Yes.<p>{_LOREM} {_LOREM}<p>No one spoke.</article>'
@@ -160,6 +235,21 @@ _LABELLED = (
     f'{_LOREM} {_LOREM}</div><div data-main=0>Printed daily</div><div data-main=0>Page 4</div>',
     f'<div data-main=0>Sport</div><div data-main=1>{_LOREM}</div><div data-main=1>No.</div><div data-main=1>{_LOREM} {_LOREM}</div><div data-main=1>{_LOREM}'
     f'</div><div data-main=0>Letters</div><div data-main=0>Write to the editor</div>',
+    f'<div data-main=0><a>Harbour and fishing</a> <a>Town and country</a> <a>Weather by the hour</a> <a>Tides of the week</a> <a>Letters to us</a> <a>All '
+    f'about the boats</a> <a>Sport on Saturday</a> <a>Older stories here</a></div><div data-main=1>{_LOREM} <a>The first report</a></div><div data-main=1>'
+    f'{_LOREM}</div><div data-main=0><a>{_LOREM}</a></div><div data-main=0><a>Ten things that nobody told you about boats and the people who row them out '
+    f'at night</a> <a>Why the tide is late this year and what it means for all of us on shore</a></div>',
+    f'<table><tr><td data-main=0><a>Front page and the day in pictures</a> <a>Markets and money</a> <a>Culture and books</a> <a>Travel by train</a> <a>Food and '
+    f'drink at home</a> <a>Science and the sea</a></td><td data-main=1><p>{_LOREM}</p><p>{_LOREM} {_LOREM}</p><p>It ended there.</p><p>{_LOREM}</p></td></tr><tr>'
+    f'<td data-main=0>Made by hand</td><td data-main=0><a>Imprint</a></td></tr></table>',
+    f'<div data-main=0><a>Home</a> | <a>Contact</a></div><div data-main=1>{_LEAD}</div><div data-main=1>{_LOREM}</div><div data-main=1>{_LEAD}</div><div '
+    f'data-main=0>Printed daily</div><div data-main=0><a>Terms of use</a></div>',
+    f'<div data-main=1>{_LEAD}</div><div data-main=1>{_LEAD}</div><div data-main=0><a>Up</a></div>',
+    f'<article data-main=1><h1>Short</h1><p>Yes.</p><p>No.</p></article>',
+    f'<main data-main=1><p>One line only.</p><p>{_LOREM}</p><p>And <a>a link</a>.</p></main>',
+    f'<article data-main=1><h2>Two in all</h2><p>{_LOREM}</p><p><a>{_LOREM}</a></p><p>Of.</p></article>',
+    f'<p data-main=1>{_LOREM}</p><p data-main=1>{_LOREM} {_LOREM}</p>',
+    f'<div data-main=0><a>Home</a> <a>News</a></div><p data-main=1>{_LOREM}</p><p data-main=1>{_LOREM}</p>',
     f'<article data-main=1><h1>A list of links</h1><p>Of.</p><ul><li><a>First source of this</a></li><li><a>Second source</a></li></ul><p>It was.</p></article>'
     f'<div class="newsletter" data-main=0><p>{_LOREM}</p></div><footer data-main=0><p>{_LOREM}</p></footer>',
 )

@@ -1,4 +1,7 @@
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -53,6 +56,66 @@ def test_plain_page_by_words_and_links():
     assert html_blocks.main_text(page, TREE) == " ".join((long + long).split())
 
 
+def test_link_density_of_the_block_itself():
+    """A long list of links without any name is no main text, a paragraph of as many words with one link is."""
+    links = " ".join(f"<a href=/{i}>Story number {i} of the day</a>" for i in range(12))
+    text = "The committee met again on Tuesday to talk about the bridge, and after two hours of <a>argument</a> agreed on very little. " * 3
+    plain = " ".join(text.replace("<a>", "").replace("</a>", "").split())
+    assert html_blocks.main_text(f"<div>{links}</div><div>{text}</div><div>{text}</div><div>{links}</div>", TREE) == f"{plain} {plain}"
+
+
+@pytest.mark.parametrize("piece", [
+    '<a "', "<div>x", '<a x="<a x=', "<p title='", "</script ", "<script>a</script ", "<a x=\"b\" y='>", "<", "</", '"><a x=', "<li>x", "<!--", "&#99999999"])
+def test_broken_pages_in_linear_time(piece):
+    """Half a million characters of deep nesting, unclosed quotes or tags take seconds, not hours."""
+    for end in ("", ">"):
+        begun = time.monotonic()
+        html_blocks.main_text(piece * (500_000 // len(piece)) + end, TREE)
+        assert time.monotonic() - begun < 10
+
+
+def test_long_numerals_and_formulas():
+    page = "<article><p>a&#" + "9" * 6000 + ";b &#" + "0" * 5000 + "65; <math><mi>x</mi><mo>=</mo><mn>2</mn></math> y</p></article>"
+    assert html_blocks.main_text(page, TREE) == "a\ufffdb A x=2 y"
+
+
+def test_unclosed_quote_keeps_the_text():
+    assert html_blocks.main_text("<article><p title='never closed>One.</p><p class=\"x\">Two.</p></article>", TREE) == "One. Two."
+
+
+def test_a_plainer_reading_of_the_given_pages():
+    """An independent reading by the standard library's parser: text of the article elements, blocks joined by a space."""
+    import pyarrow.parquet as pq
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.skip, self.parts = 0, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.skip += tag in ("script", "style")
+            self.parts.append((self.depth, " " if tag not in html_blocks._INLINE else ""))
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.skip -= tag in ("script", "style")
+            self.parts.append((self.depth, " " if tag not in html_blocks._INLINE else ""))
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append((self.depth, data))
+
+    table = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    plain = [p for p in table if p and "<article" in p and not re.search("<(?:aside|form|nav)|class=", p[p.index("<article"):p.rindex("</article")])]
+    assert len(plain) > len(table) / 4
+    for page in plain:
+        reader = Article()
+        reader.feed(page)
+        want = " ".join("".join(t for d, t in reader.parts if d > 0).split())
+        assert html_blocks.main_text(page, TREE) == want
+
+
 def test_tree_learns_its_table():
     x, y = html_blocks.labelled_table()
     assert 0.3 < y.mean() < 0.7 and len(y) < 200
