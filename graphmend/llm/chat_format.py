@@ -64,24 +64,31 @@ def read_chats(chats: DataFrame) -> DataFrame:
     """``(conv_id, turns, loss_text, formatted)`` read back from ``formatted`` and ``loss_mask``.
 
     ``turns`` are structs ``(role, text)``, unescaped; ``loss_text`` is the
-    unescaped text under the mask, run after run.  A mask whose runs do not
-    lie on the texts is an error.
+    unescaped text under the mask, run after run.  A mask with a run, template
+    or text, of another length than what it lies on, or with a template run
+    under the loss, is an error: so every run begins where its text does.
     """
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
 
-    def turns_of(block):
+    def turns_of(block, k):
         body = F.substring(block, F.lit(len(START) + 1), F.length(block))
         role = F.regexp_extract(body, r"^([^\n]*)\n", 1)
+        head = F.length(role) + len(START) + 1 + F.when(k > 0, len(END)).otherwise(0)
         texts = F.split(F.substring(body, F.length(role) + 2, F.length(body)), r"<\|im_sep\|>", -1)
-        return F.transform(texts, lambda t: F.struct(F.url_decode(role).alias("role"), t.alias("text")))
+        return F.transform(texts, lambda t, i: F.struct(
+            F.url_decode(role).alias("role"), t.alias("text"), F.when(i == 0, head).otherwise(len(SEP)).cast("long").alias("lead")))
 
     raw = chats.select("conv_id", "formatted", "loss_mask", F.flatten(F.transform(blocks, turns_of)).alias("raw"))
+    lengths = F.concat(F.flatten(F.transform("raw", lambda t: F.array(t["lead"], F.length(t["text"]).cast("long")))),
+                       F.array(F.lit(len(END)).cast("long")))
+    template = F.filter("loss_mask", lambda x, i: i % 2 == 0)
+    fits = (F.transform("loss_mask", lambda x: x["n_chars"]) == lengths) & ~F.exists(template, lambda x: x["loss"])
     of_texts = F.filter("loss_mask", lambda x, i: i % 2 == 1)
-    under = F.zip_with("raw", of_texts, lambda t, m: F.when(
-        ~F.coalesce(F.length(t["text"]) == m["n_chars"], F.lit(False)), F.raise_error(F.lit("loss mask does not fit the text")).cast("string"))
-        .when(m["loss"], unescape(t["text"])).otherwise(F.lit("")))
+    under = F.zip_with("raw", of_texts, lambda t, m: F.when(m["loss"], unescape(t["text"])).otherwise(F.lit("")))
+    loss_text = F.when(F.coalesce(fits, F.lit(False)), F.array_join(under, "")).otherwise(
+        F.raise_error(F.lit("loss mask does not fit the text")).cast("string"))
     return raw.select("conv_id", F.transform("raw", lambda t: F.struct(t["role"].alias("role"), unescape(t["text"]).alias("text"))).alias("turns"),
-                      F.array_join(under, "").alias("loss_text"), "formatted")
+                      loss_text.alias("loss_text"), "formatted")
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
