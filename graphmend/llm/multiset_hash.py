@@ -6,8 +6,9 @@ fingerprint is the sum of the vectors modulo 2**32 in each lane, so the
 order of paragraphs does not matter and one paragraph can be added or taken
 away without the others.
 
-* Lanes 0-7 are independent hashes of the whole paragraph: equal sums mean
-  equal multisets (256 bits).
+* Lanes 0-7 are the eight 32-bit parts of the whole paragraph's SHA-256, so
+  paragraphs that differ agree in all of them only where SHA-256 collides.
+  Sums of lanes are no defence against someone who chooses many paragraphs.
 * Lanes 8-71 are the paragraph's runs of three words hashed to 64 signs each
   and summed.  The squared length of a difference of two such sums estimates in
   how many runs the texts differ, which gives a likeness between 0 and 1.
@@ -28,7 +29,7 @@ _SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def _units(text: Column) -> Column:
-    """Array of ``(whole, h)``: a hash for each paragraph and for each of its word runs."""
+    """Array of ``(digest, h)``: a paragraph's SHA-256 in hex, or a hash of one of its word runs; the other is null."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"[^ \t\x0B\f\r]"))
 
     def runs(p):
@@ -36,18 +37,18 @@ def _units(text: Column) -> Column:
         words = F.array(F.filter(F.split(p, _SPACE), lambda w: w != ""))
         return F.flatten(F.transform(words, lambda ws: F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(ws) - (RUN - 1), F.lit(1))),
-            lambda i: F.struct(F.lit(False).alias("whole"), F.xxhash64(F.slice(ws, i, RUN)).alias("h")))))
+            lambda i: F.struct(F.lit(None).cast("string").alias("digest"), F.xxhash64(F.slice(ws, i, RUN)).alias("h")))))
 
-    whole = F.transform(paragraphs, lambda p: F.struct(F.lit(True).alias("whole"), F.xxhash64(p).alias("h")))
+    whole = F.transform(paragraphs, lambda p: F.struct(F.sha2(p, 256).alias("digest"), F.lit(None).cast("long").alias("h")))
     return F.concat(whole, F.flatten(F.transform(paragraphs, runs)))
 
 
-def _lane_sums(whole: Column, h: Column) -> list[Column]:
+def _lane_sums(digest: Column, h: Column) -> list[Column]:
     """Aggregates: exact lanes, then word-run bits, two 32-bit counters in each long."""
-    exact = [F.sum(F.when(whole, F.xxhash64(F.lit(k), h).bitwiseAND(F.lit(_MASK)))).alias(f"e{k}") for k in range(EXACT)]
+    exact = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")).alias(f"e{k}") for k in range(EXACT)]
     pair = F.lit((1 << 32) | 1)
-    bits = [F.sum(F.when(~whole, F.shiftrightunsigned(h, i).bitwiseAND(pair))).alias(f"b{i}") for i in range(SIGNS // 2)]
-    return [*exact, *bits, F.sum(F.when(~whole, F.lit(1))).cast("long").alias("n")]
+    bits = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(pair)).alias(f"b{i}") for i in range(SIGNS // 2)]
+    return [*exact, *bits, F.count(h).alias("n")]
 
 
 def _lanes() -> Column:
@@ -68,8 +69,8 @@ def lanes_of(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataF
     Texts of one group add up, like their paragraphs in one document.  Null
     and empty texts add nothing: a group of these has all lanes zero.
     """
-    units = texts.select(*keys, F.explode_outer(_units(text_of(text_col))).alias("u")).select(*keys, "u.whole", "u.h")
-    return units.groupBy(*keys).agg(*_lane_sums(F.col("whole"), F.col("h"))).select(*keys, _lanes().alias("lanes"))
+    units = texts.select(*keys, F.explode_outer(_units(text_of(text_col))).alias("u")).select(*keys, "u.digest", "u.h")
+    return units.groupBy(*keys).agg(*_lane_sums(F.col("digest"), F.col("h"))).select(*keys, _lanes().alias("lanes"))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -155,15 +156,15 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = rows.select("b", "rn", "guest", "doc_id", "text", n_chars.alias("n_chars"), F.when(F.col("guest") == 0, edited).alias("edited"))
 
     def side(text, number):
-        return F.transform(_units(text), lambda u: F.struct(F.lit(number).alias("side"), u["whole"].alias("whole"), u["h"].alias("h")))
+        return F.transform(_units(text), lambda u: F.struct(F.lit(number).alias("side"), u["digest"].alias("digest"), u["h"].alias("h")))
 
     # Everything made of texts is made before the explode; after it there is a row for each hash.
     ready = both.select("b", "rn", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.concat(
         side(F.col("text"), 0), side(F.coalesce("edited", F.lit("")), 1)).alias("units"))
     units = ready.select("b", "rn", "guest", "doc_id", "n_chars", "edited_sha256", F.explode_outer("units").alias("u"))
-    sums = units.select("b", "rn", "guest", "doc_id", "n_chars", "edited_sha256", F.coalesce("u.side", F.lit(0)).alias("side"), "u.whole", "u.h")
+    sums = units.select("b", "rn", "guest", "doc_id", "n_chars", "edited_sha256", F.coalesce("u.side", F.lit(0)).alias("side"), "u.digest", "u.h")
     keys = ["b", "rn", "guest", "doc_id", "n_chars", "edited_sha256"]
-    lanes = sums.groupBy(*keys, "side").agg(*_lane_sums(F.col("whole"), F.col("h"))).select(*keys, "side", _lanes().alias("lanes"))
+    lanes = sums.groupBy(*keys, "side").agg(*_lane_sums(F.col("digest"), F.col("h"))).select(*keys, "side", _lanes().alias("lanes"))
     zero = F.array_repeat(F.lit(0).cast("long"), EXACT + SIGNS)
     wide = lanes.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("lanes"))).alias("own"),
                                     F.max(F.when(F.col("side") == 1, F.col("lanes"))).alias("edit"))
