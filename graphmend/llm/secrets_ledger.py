@@ -9,6 +9,7 @@ paths hold it, and findings are joined back to every path by the address.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
     Rule("login", r"://[^\s/:@]+:([^\s/:@]+)@", 1, 3),
-    Rule("prefixed", r"\b(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]+", 0, 20),
+    Rule("prefixed", r"\b(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]+", 0, 20, version=2),
 )
 RULES = BASE_RULES + MORE_RULES
+#: The rules before the last change: fewer prefixes.
+EARLIER_RULES = RULES[:-1] + (Rule("prefixed", r"\b(?:ghp|gho|ghs)_[A-Za-z0-9]+", 0, 20),)
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:bigint,end:bigint>>"
 
@@ -72,9 +75,12 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     rule's version or a later one.  Matches of a rule are leftmost and do not
     overlap; those whose group is too short are dropped after matching.
     Positions are code points, ends exclusive.  Pairs without a finding get a
-    row with no spans.  Null texts are empty texts.
+    row with no spans.  Null texts are empty texts.  Only texts in which a
+    rule may find something are moved; of the others the address goes alone.
     """
-    blobs = texts.select(F.sha2(text_of(text_col), 256).alias("blob"), text_of(text_col).alias("text"))
+    text = text_of(text_col)
+    likely = reduce(lambda a, b: a | b, [text.rlike(_quick(r)) for r in rules], F.lit(False))
+    blobs = texts.select(F.sha2(text, 256).alias("blob"), F.when(likely, text).alias("text"))
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
         due = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("due", F.transform(wanted, lambda x: x["rule"]))
@@ -89,7 +95,7 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     nothing = F.array().cast("array<struct<before:int,size:int,good:boolean>>")
     per_rule = F.array(*[F.struct(
         F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.array_contains("due", r.kind).alias("due"),
-        F.when(F.array_contains("due", r.kind) & F.col("text").rlike(_quick(r)), _parts(r, F.col("text"))).otherwise(nothing).alias("parts"))
+        F.when(F.array_contains("due", r.kind) & F.coalesce(F.col("text").rlike(_quick(r)), F.lit(False)), _parts(r, F.col("text"))).otherwise(nothing).alias("parts"))
         for r in rules])
     rows = due.select("blob", F.explode(per_rule).alias("r")).where("r.due").select("blob", "r.rule", "r.version", "r.parts")
     each = rows.select("blob", "rule", "version", F.posexplode_outer("parts").alias("pos", "p"))

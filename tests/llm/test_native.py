@@ -183,3 +183,35 @@ def test_ledger_ahead_of_the_rules(spark):
         got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in sl.findings(docs, ledger).collect()}
         assert got == {1: [("assign", 0, 17)], 2: []}
         assert {r.doc_id: r.text for r in sl.masked(docs, ledger).collect()} == {1: "[SECRET] end", 2: "plain"}
+
+
+def test_exact_lanes_are_parts_of_sha256(spark):
+    """The first eight lanes of a text are the sums of its paragraphs' digests, part by part."""
+    text = "one line\nanother one here\n \t\none line"
+    lanes = mh.lanes_of(spark.createDataFrame([(1, text)], "k long, text string"), ["k"]).first().lanes
+    digests = [bytes.fromhex(sha(p)) for p in text.split("\n") if p.strip()]
+    assert lanes[:8] == [sum(int.from_bytes(d[4 * k:4 * k + 4], "big") for d in digests) % 2**32 for k in range(8)]
+
+
+@pytest.mark.parametrize("change", [
+    "transform(loss_mask, (m, i) -> named_struct('n_chars', m.n_chars + CASE i WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END, 'loss', m.loss))",  # shifted texts
+    "transform(loss_mask, m -> named_struct('n_chars', m.n_chars, 'loss', true))",  # template under the loss
+    "slice(loss_mask, 1, size(loss_mask) - 1)",
+])
+def test_a_mask_that_does_not_fit_is_an_error(spark, change):
+    df = spark.createDataFrame([t for t in TURNS if t[0] == 1], "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(df)
+    assert len(chat_format.read_chats(chats).collect()) == 1
+    with pytest.raises(Exception, match="loss mask does not fit"):
+        chat_format.read_chats(chats.withColumn("loss_mask", F.expr(change))).collect()
+
+
+def test_two_rounds_of_the_ledger(spark, docs):
+    """After a change of one rule only its pairs are scanned, and findings equal those of a fresh scan."""
+    first = common.stage(sl.scan(docs, sl.EARLIER_RULES), "test-first")
+    later = common.stage(sl.scan(docs, ledger=first), "test-later")
+    assert {(r.rule, r.version) for r in later.select("rule", "version").distinct().collect()} == {("prefixed", 2)}
+    assert later.count() == first.select("blob").distinct().count()
+    both = sl.digests(sl.findings(docs, first.unionByName(later)))
+    fresh = sl.digests(sl.findings(docs, sl.scan(docs)))
+    assert sorted(map(str, both.collect())) == sorted(map(str, fresh.collect()))
