@@ -179,7 +179,7 @@ def test_forest_recall_near_the_threshold(spark, n):
 
 
 def related_group(rng, n, pairs, mean=0.8, dim=64):
-    """``n`` unit vectors of a group with this mean cosine; the first ``pairs`` have partners at cosine 0.901 to 0.93 right after them."""
+    """``n`` unit vectors of a group with this mean cosine; the first ``pairs`` have partners at cosine 0.901 to 0.93 at the end."""
     def around(k):
         v = np.c_[np.zeros(k), rng.standard_normal((k, dim - 1))]
         return v / np.linalg.norm(v, axis=1)[:, None]
@@ -189,27 +189,47 @@ def related_group(rng, n, pairs, mean=0.8, dim=64):
     b -= (a * b).sum(axis=1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
     c = (rng.uniform(0.901, 0.93, (pairs, 1)) - mean) / (1 - mean)
-    group = np.sqrt(1 - mean) * np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, own[pairs:]])
+    group = np.sqrt(1 - mean) * np.concatenate([a, own[pairs:], c * a + np.sqrt(1 - c * c) * b])
     group[:, 0] = np.sqrt(mean)
     return group
 
 
 @pytest.mark.parametrize("n,rest", [(60_000, 0), (20_000, 40_000)])
 def test_trees_keep_pairs_of_a_large_related_group(n, rest):
-    """Mean cosine 0.8, alone and as a third of the rows: planted pairs share a leaf of some tree."""
+    """Mean cosine 0.8, alone and as a third of the rows: planted pairs share a leaf of some tree, and leaves stay small."""
     rng = np.random.default_rng(11)
     pairs = 1000
     other = rng.standard_normal((rest, 64))
     x = np.concatenate([related_group(rng, n, pairs), other / np.linalg.norm(other, axis=1)[:, None]])
     sample = x[rng.random(len(x)) < embedding_forest.FIT_SAMPLE / len(x)]
-    found = np.zeros(pairs, bool)
-    for tree in range(embedding_forest.TREES):
-        root = (tree << 56) | 1
-        splits = {f[0]: (f[1], f[2]) for f in embedding_forest.fit_cell(root, sample, len(x), 0.9)}
-        for _, rows in embedding_forest.route(root, splits, x):
-            inside = np.isin(np.arange(2 * pairs), rows)
-            found |= inside[:pairs] & inside[pairs:]
+    trees, spill, copies = embedding_forest.plan_forest(sample, len(x), 0.9)
+    assert 1 < trees and copies < len(x) / embedding_forest.LEAF
+    found, placed, largest = np.zeros(pairs, bool), 0, 0
+    for tree in range(trees):
+        root = (tree << embedding_forest._SHIFT) | 1
+        fitted, _, _ = embedding_forest.grow(root, sample, len(x), 0.9, spill, embedding_forest.LEAF, embedding_forest.FIT_LEAST)
+        for _, rows in embedding_forest.route(root, {c: (low, high) for c, low, high in fitted}, x):
+            inside = np.zeros(len(x), bool)
+            inside[rows] = True
+            found |= inside[:pairs] & inside[n - pairs:n]
+            placed, largest = placed + len(rows), max(largest, len(rows))
     assert found.mean() >= 0.99
+    assert largest <= 4 * embedding_forest.LEAF
+    assert placed <= 1.2 * copies * len(x)
+
+
+@pytest.mark.parametrize("mean", [0.5, 0.7, 0.8])
+def test_plans_of_related_groups_grow_slower_than_all_pairs(mean):
+    """Declared sizes of a million and of a hundred million: cells split down to the leaf, copies stay far below all pairs."""
+    x = related_group(np.random.default_rng(13), embedding_forest.FIT_SAMPLE, 0, mean)
+    plans = {size: embedding_forest.plan_forest(x, size, 0.9) for size in (10 ** 6, 10 ** 8)}
+    for size, (trees, spill, copies) in plans.items():
+        assert trees and copies <= (0.25 if size == 10 ** 6 else 0.05) * size / embedding_forest.LEAF
+        _, ends, _ = embedding_forest.grow(1, x, size, 0.9, spill, embedding_forest.LEAF, embedding_forest.FIT_LEAST)
+        # What is still above four leaves lacks only sampled vectors, so the next round splits it.
+        assert all(len(stay) < embedding_forest.FIT_LEAST for stay, n, _, whole in ends if n > 4 * embedding_forest.LEAF)
+        assert not any(whole and n > 4 * embedding_forest.LEAF for _, n, _, whole in ends)
+    assert plans[10 ** 8][2] < 15 * plans[10 ** 6][2]
 
 
 def test_links_of_a_related_group(spark, monkeypatch):
