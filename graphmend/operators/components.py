@@ -1,6 +1,7 @@
 """Connected components of similar members inside blocks of any size.
 
-A block that fits a task is one group.  A larger one is cut into chunks;
+A block that fits a task is one group.  A larger one is cut into chunks, a
+bounded number of them as long as a task can hold two;
 every pair of chunks is a task, and only the edges of a spanning forest of
 what it found leave it: at most a row a member, never all similar pairs.  The
 forests are joined by star contraction, whose steps are equi-joins and
@@ -18,31 +19,44 @@ from graphmend.operators.joins import lookup_join
 from graphmend.operators.vector_index import stack, unit
 from graphmend.session import cut_lineage, ship_package
 
-CHUNK_ROWS = 4096  # members one side of a task holds
+CHUNK_ROWS = 4096  # members of a block that one task compares whole
+SIDES = 12         # chunks of a larger block, so each member goes to as many tasks
+SIDE_VALUES = 2_000_000  # doubles (16 MB) a chunk holds at most; blocks beyond SIDES of them have more chunks
 ROWS = 512         # members compared with the others at once
 
 
 def forest(x: np.ndarray, tau: float, split: int | None = None) -> np.ndarray:
     """Smallest row linked to each row, over chains of ``cos >= tau``; with ``split`` only rows on either side of it are compared."""
-    parent = np.arange(len(x))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    low = np.arange(len(x))
     begin, end = (0, len(x)) if split is None else (0, split)
     for a in range(begin, end, ROWS):
         z = min(a + ROWS, end)
         first = a if split is None else split
-        close = np.nan_to_num(x[a:z] @ x[first:].T, nan=-np.inf) >= tau
-        for i in range(a, z):
-            for j in np.flatnonzero(close[i - a]):
-                p, q = root(i), root(first + int(j))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    return np.array([root(i) for i in range(len(x))], dtype=np.int64)
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero(x[a:z] @ x[first:].T >= tau)  # never true for rows without a direction
+        p, q = low[a + i], low[first + j]
+        new = p != q
+        if not new.any():
+            continue
+        # Only pairs of groups that are not one yet are joined, each once.
+        joined: dict[int, int] = {}
+
+        def root(v, joined=joined):
+            while v in joined:
+                up = joined[v]
+                if up in joined:
+                    joined[v] = joined[up]
+                v = up
+            return v
+
+        for pair in np.unique(np.maximum(p, q)[new] * len(x) + np.minimum(p, q)[new]).tolist():
+            u, v = root(pair // len(x)), root(pair % len(x))
+            if u != v:
+                joined[max(u, v)] = min(u, v)
+        to = np.arange(len(x))
+        to[list(joined)] = [root(v) for v in list(joined)]
+        low = to[low]
+    return low
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -64,16 +78,28 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         cur = cut_lineage(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
 
 
+def chunk_counts(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """``(cluster_id, chunks)`` of blocks with rows ``(cluster_id, vec)``.
+
+    All pairs of chunks meet, so a member is copied once a chunk: chunks grow with
+    their block, up to what a task holds.
+    """
+    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    side = F.greatest(F.lit(chunk_rows), F.least(F.ceil(F.count("*") / SIDES), F.lit(max(1, SIDE_VALUES // max(longest, 1)))))
+    return rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / side).cast("long").alias("chunks"))
+
+
 def block_components(members: DataFrame, tau: float, member: str = "member", vec: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(cluster_id, member, component)``: the smallest member linked to each by a chain of ``cos >= tau`` in its block.
 
     Blocks may be of any size.  Members that repeat in a block count once;
-    vectors without a direction are linked with nothing.
+    vectors without a direction are linked with nothing.  ``chunk_rows`` is the
+    largest block that is not cut and the least size of a chunk.
     """
     ship_package(members.sparkSession)
     rows = cut_lineage(members.select("cluster_id", F.col(member).cast("string").alias("member"), F.col(vec).cast("array<double>").alias("vec"))
                        .dropDuplicates(["cluster_id", "member"]))
-    sizes = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
+    sizes = chunk_counts(rows, chunk_rows)
     sized = lookup_join(rows, sizes, ["cluster_id"], how="inner")
     block_type = rows.schema["cluster_id"].dataType.simpleString()
 
