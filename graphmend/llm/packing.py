@@ -26,6 +26,7 @@ from graphmend.llm.common import bounded_batches, stage, text_of
 from graphmend.llm.word_cache import byte_bpe_parts, cached_encoder
 
 CELL = 25_000  # pieces packed together in one task
+OUT_ROWS = 256  # pieces handed back at once: 1 MB of ids
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -221,6 +222,7 @@ def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         enc = cached_encoder(tokenizer, byte_bpe_parts)
         number = TaskContext.get().partitionId() << 33
         held, held_ids = [], []
+        pa.default_memory_pool().release_unused()  # the worker may have run other stages before
 
         def pack():
             nonlocal number
@@ -228,11 +230,14 @@ def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             which, seq, offset, full = _places(cols[4], capacity)
             seq = np.where(full, number + seq, -1)
             number = max(number, int(seq.max()) + 1)
-            for s in range(0, len(which), 2048):
-                w = which[s:s + 2048]
-                yield batch([c[w] for c in cols], [held_ids[i] for i in w.tolist()], seq[s:s + 2048], offset[s:s + 2048])
             held.clear()
+            for s in range(0, len(which), OUT_ROWS):
+                w = which[s:s + OUT_ROWS]
+                yield batch([c[w] for c in cols], [held_ids[i] for i in w.tolist()], seq[s:s + OUT_ROWS], offset[s:s + OUT_ROWS])
+                for i in w.tolist():
+                    held_ids[i] = b""  # handed back
             held_ids.clear()
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             doc_ids, texts = b.column(0), b.column(1).to_pylist()
