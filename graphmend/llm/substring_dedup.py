@@ -26,6 +26,8 @@ matter, so the steps are:
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, compress
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -51,10 +53,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _sequences(words: np.ndarray, k: int, factor: np.uint64) -> np.ndarray:
     """A hash of every ``k`` consecutive word hashes."""
     n = len(words) - k + 1
-    h = words[:n].copy()
-    for i in range(1, k):
-        h *= factor
-        h += words[i:i + n]
+    if k <= 8 or n < 1:
+        h = words[:max(n, 0)].copy()
+        for i in range(1, k):
+            h *= factor
+            h += words[i:i + n]
+        return _mix(h)
+    # The same sums as differences of running sums: factors are odd, so they have an inverse modulo 2**64.
+    powers = np.full(len(words), pow(int(factor), -1, 1 << 64), np.uint64)
+    powers[0] = 1
+    sums = np.cumsum(words * np.multiply.accumulate(powers), dtype=np.uint64)
+    h = sums[k - 1:].copy()
+    h[1:] -= sums[:n - 1]
+    powers = np.full(n, factor, np.uint64)
+    powers[0] = pow(int(factor), k - 1, 1 << 64)
+    h *= np.multiply.accumulate(powers)
     return _mix(h)
 
 
@@ -85,23 +98,41 @@ class _Hashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if len(words) < 2:
+            return np.array([self[w] for w in words], np.uint64)
+        return np.fromiter(itemgetter(*words)(self), np.uint64, len(words))
 
 
 _HASHES = _Hashes()
 
 
-def _hashed(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after another, each text's first place, and which places begin a window."""
+def _split(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Each text's words, their number, and the place of the first among those of all texts."""
     lists = [t.split() for t in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
-    first = np.cumsum(n) - n
-    words = _HASHES.of([w for x in lists for w in x])
+    return lists, n, np.cumsum(n) - n
+
+
+def _hashed(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after another, each text's first place and number of words, and which places begin a window."""
+    lists, n, first = _split(texts)
+    words = _HASHES.of(list(chain.from_iterable(lists)))
     begins = np.ones(len(words), bool)
     for i in range(1, k):  # the last k - 1 words of a text
         last = (first + n - i)[n >= i]
         begins[last] = False
-    return words, first, begins
+    return words, first, n, begins
+
+
+def _hashed_at(lists: list[list[bytes]], begin: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Word hashes of all texts one after another; only those of ``n`` windows from each place ``begin``, the others are zero."""
+    words = np.zeros(sum(map(len, lists)), np.uint64)
+    depth = np.zeros(len(words) + 1, np.int64)
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, begin + n + k - 1, -1)
+    on = np.cumsum(depth[:-1]) > 0
+    words[on] = _HASHES.of(list(compress(chain.from_iterable(lists), on.tolist())))
+    return words
 
 
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,17 +165,17 @@ def _runs(table: DataFrame, k: int) -> DataFrame:
 
     def kernel(batches):
         for b in batches:
-            words, first, begins = _hashed(b.column(2).to_pylist(), k)
+            words, first, lengths, begins = _hashed(b.column(2).to_pylist(), k)
             if not begins.any():
                 continue
             m, h = minimizers(words, k), window_hashes(words, k)
             on = begins[:len(m)]
-            row = np.searchsorted(first, np.arange(len(m)), side="right") - 1  # of equal places the last: the text that has words
+            row = np.repeat(np.arange(len(lengths)), lengths)[:len(m)]
             edge = np.r_[True, (m[1:] != m[:-1]) | (row[1:] != row[:-1]) | ~on[:-1]] & on
             start = np.flatnonzero(edge)
             ends = np.flatnonzero(np.r_[edge[1:] | ~on[1:], True] & on) + 1
             position = np.arange(len(m))
-            place = position - start[np.maximum(np.searchsorted(start, position, side="right") - 1, 0)]
+            place = position - start[np.maximum(np.cumsum(edge) - 1, 0)]
             weighed = np.where(on, h.view(np.uint64) * (2 * place + 1).astype(np.uint64), np.uint64(0))
             x = _mix(np.add.reduceat(weighed, start)).view(np.int64)
             r = row[start]
@@ -174,7 +205,7 @@ def _windows(table: DataFrame, spans: DataFrame, k: int, exact: bool) -> DataFra
     def kernel(batches):
         for b in batches:
             texts = b.column(2).to_pylist()
-            words, first, _ = _hashed(texts, k)
+            lists, _, first = _split(texts)
             at = b.column(0).to_numpy()
             row = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
             begin, n = b.column(3).flatten().to_numpy() - at[row] + first[row], b.column(4).flatten().to_numpy()
@@ -187,7 +218,7 @@ def _windows(table: DataFrame, spans: DataFrame, k: int, exact: bool) -> DataFra
                 pair = np.frombuffer(b"".join(digests(texts, parts, first)), np.int64).reshape(-1, 2)
                 h, g = pair[:, 0], pair[:, 1]
             else:
-                h = window_hashes(words, k)[where]
+                h = window_hashes(_hashed_at(lists, begin, n, k), k)[where] if len(where) else np.zeros(0, np.int64)
                 g = np.zeros(len(h), np.int64)
             cols = (h, g, at[row], at[row] + where - first[row], b.column(1).to_numpy()[row])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
@@ -247,18 +278,21 @@ def _cut(table: DataFrame, spans: DataFrame, k: int) -> DataFrame:
             rows = []
             for at, doc_id, text, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
                 words = text.split()
-                gone, checks = np.zeros(len(words) + 1, np.int64), []
+                gone, checks = [], []
                 for s in spans or ():
                     a, z = s["c"] - at, s["c"] - at + s["n"] + k - 1
                     if s["path"] is not None:
                         x, y = np.frombuffer(hashlib.sha256(b" ".join(words[a:z])).digest()[:16], np.int64).tolist()
                         checks.append({"path": s["path"], "x": x, "y": y})
                     if s["late"]:
-                        gone[a] += 1
-                        gone[z] -= 1
+                        gone.append((a, z))
                 n = len(words)
-                if spans:
-                    words = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
+                if gone:
+                    left, end = [], 0
+                    for a, z in sorted(gone):
+                        left += words[end:a]
+                        end = max(end, z)
+                    words = left + words[end:]
                 kept = b" ".join(words)
                 rows.append((at, doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept, checks))
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), out)] if rows else
