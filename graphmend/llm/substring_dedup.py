@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from itertools import chain, compress
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -53,21 +52,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _sequences(words: np.ndarray, k: int, factor: np.uint64) -> np.ndarray:
     """A hash of every ``k`` consecutive word hashes."""
     n = len(words) - k + 1
-    if k <= 8 or n < 1:
-        h = words[:max(n, 0)].copy()
-        for i in range(1, k):
-            h *= factor
-            h += words[i:i + n]
-        return _mix(h)
-    # The same sums as differences of running sums: factors are odd, so they have an inverse modulo 2**64.
-    powers = np.full(len(words), pow(int(factor), -1, 1 << 64), np.uint64)
-    powers[0] = 1
-    sums = np.cumsum(words * np.multiply.accumulate(powers), dtype=np.uint64)
-    h = sums[k - 1:].copy()
-    h[1:] -= sums[:n - 1]
-    powers = np.full(n, factor, np.uint64)
-    powers[0] = pow(int(factor), k - 1, 1 << 64)
-    h *= np.multiply.accumulate(powers)
+    h = words[:n].copy()
+    for i in range(1, k):
+        h *= factor
+        h += words[i:i + n]
     return _mix(h)
 
 
@@ -98,9 +86,7 @@ class _Hashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(words) < 2:
-            return np.array([self[w] for w in words], np.uint64)
-        return np.fromiter(itemgetter(*words)(self), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _HASHES = _Hashes()
